@@ -6,6 +6,7 @@ n-gram hashes). They hold no state; Spark partitions and shuffles all work.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,6 +38,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/logloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files of the finished part go once the driver drops its handles
     return spark.read.schema(df.schema).parquet(path)
 
 
