@@ -362,6 +362,22 @@ def remove_repeats(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def without_repeats(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs with `text` cut; all columns and rows stay. A character that loses a byte goes as a whole; null stays null."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            texts = []
+            for text, h in zip(batch.column(at), batch.column(len(names)).to_pylist()):
+                raw = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
+                texts.append(raw[~_covered(len(raw), h)].tobytes().decode("utf-8", "ignore") if text.is_valid else None)
+            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.join(hits, "doc_id", "left").select(*(docs[c] for c in names), "hits").mapInArrow(cut, docs.schema)
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
