@@ -1,0 +1,4 @@
+"""Registered queries and the SQL that states their results."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
