@@ -192,21 +192,16 @@ def repeated_starts(strings: np.ndarray, group: np.ndarray, low: np.ndarray, hig
     return out
 
 
-def spans_of(flags: np.ndarray, base: np.ndarray) -> list[list[dict]]:
-    """Bytes that flagged windows cover, as ranges [lo, hi) relative to the anchor."""
-    out = []
-    for f, b in zip(flags, base):
-        at = np.flatnonzero(f)
-        if not len(at):
-            out.append([])
-            continue
-        cut = np.flatnonzero(np.diff(at) > WINDOW)
-        lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + WINDOW
-        out.append([{"lo": int(x + b), "hi": int(y + b)} for x, y in zip(lo, hi)])
-    return out
-
-
-_RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+def spans_of(flags: np.ndarray, base: np.ndarray) -> pa.Array:
+    """Bytes that flagged windows cover, as lists of ranges lo, hi relative to the anchor (they may overlap)."""
+    edge = np.zeros((len(flags), flags.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = flags
+    edge = np.diff(edge, axis=1)
+    row, lo = np.nonzero(edge == 1)
+    _, hi = np.nonzero(edge == -1)
+    offsets = np.searchsorted(row, np.arange(len(flags) + 1)).astype(np.int32)
+    ranges = pa.StructArray.from_arrays([pa.array((lo + base[row]).astype(np.int32)), pa.array((hi - 1 + WINDOW + base[row]).astype(np.int32))], ["lo", "hi"])
+    return pa.ListArray.from_arrays(pa.array(offsets), ranges)
 
 
 def merged_groups(rows: DataFrame) -> DataFrame:
@@ -233,7 +228,7 @@ def merged_groups(rows: DataFrame) -> DataFrame:
         high = np.minimum(low + length - WINDOW, span)
         flags = repeated_starts(strings, group, low, high, starts)
         hit = flags.any(1)
-        return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(sid[hit]), pa.array(spans_of(flags[hit], base[hit]), _RANGES)], ["h", "sid", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(sid[hit]), spans_of(flags[hit], base[hit])], ["h", "sid", "ranges"])
 
     def run(batches):
         held, count, last = [], 0, None
@@ -331,34 +326,43 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", hot: int = HOT) -> Data
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "step", "n", "ranges")).alias("hits"))
 
 
-def _covered(n: int, hits: list[dict] | None) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int32)
-    for hit in hits or ():
-        at = hit["pos"] + hit["step"] * np.arange(hit["n"])
-        for r in hit["ranges"]:
-            np.add.at(edge, np.clip(at + r["lo"], 0, n), 1)
-            np.add.at(edge, np.clip(at + r["hi"], 0, n), -1)
-    return np.cumsum(edge[:n]) > 0
+def _covered(off: np.ndarray, hits: pa.ListArray) -> np.ndarray:
+    """Mask of repeated bytes of a batch of texts that lie one after another at `off`."""
+    edge = np.zeros(int(off[-1]) + 1, np.int32)
+    per_row = np.diff(hits.offsets.to_numpy()) * hits.is_valid().to_numpy(zero_copy_only=False)
+    flat = hits.flatten()  # nulls hold no hits
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    ranges = flat.field("ranges")
+    per_hit = np.diff(ranges.offsets.to_numpy())
+    pair = ranges.flatten()
+    of = np.repeat(np.arange(len(flat)), per_hit)  # a range's hit
+    n = flat.field("n").to_numpy()[of]
+    time = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(flat.field("pos").to_numpy()[of].astype(np.int64), n) + time * np.repeat(flat.field("step").to_numpy()[of], n)
+    first, last = off[:-1][np.repeat(row[of], n)], off[1:][np.repeat(row[of], n)]
+    for field, sign in (("lo", 1), ("hi", -1)):
+        place = np.clip(first + at + np.repeat(pair.field(field).to_numpy(), n), first, last)
+        edge += sign * np.bincount(place, minlength=len(edge)).astype(np.int32)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """docs(doc_id, text) and repeated_spans -> doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
 
     def cut(batches):
-        for batch in batches:
-            out = []
-            for d, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = text.as_buffer() if text.is_valid else b""
-                raw = np.frombuffer(data, np.uint8)
-                gone = _covered(len(raw), h)
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(raw) else 0
-                out.append((d, len(raw), int(gone.sum()), runs, raw[~gone].tobytes()))
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in c[1:4]), pa.array(c[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for batch in passes(batches):
+            raw, off = utf8(batch.column(1))
+            gone = _covered(off, batch.column(2))
+            start = gone & ~np.append(False, gone[:-1])
+            start[off[:-1][np.diff(off) > 0]] = gone[off[:-1][np.diff(off) > 0]]
+            total = lambda x: np.diff(np.append(0, np.cumsum(x))[off])
+            n_gone = total(gone)
+            kept_off = np.append(0, np.cumsum(np.diff(off) - n_gone))
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(raw[~gone])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n_gone), pa.array(total(start)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "hits")
+    joined = docs.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -367,11 +371,11 @@ def without_repeats(docs: DataFrame, hits: DataFrame) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches):
-        for batch in batches:
-            texts = []
-            for text, h in zip(batch.column(at), batch.column(len(names)).to_pylist()):
-                raw = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
-                texts.append(raw[~_covered(len(raw), h)].tobytes().decode("utf-8", "ignore") if text.is_valid else None)
+        for batch in passes(batches, at):
+            raw, off = utf8(batch.column(at))
+            left = ~_covered(off, batch.column(len(names)))
+            known = batch.column(at).is_valid().to_pylist()
+            texts = [raw[a:b][left[a:b]].tobytes().decode("utf-8", "ignore") if ok else None for a, b, ok in zip(off, off[1:], known)]
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
