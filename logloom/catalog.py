@@ -1,4 +1,268 @@
-"""Registered queries and the SQL that states their results."""
+"""Registered queries of the session-log engine and the SQL that states their results, keyed by operator id."""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .constants import REDACT_PATTERNS
+from .functions import display, predicates, privacy
+from .operators import normalize, pricing, quality, search, stats
+from .plans import bindings as b
+from .sources import logs, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _ev(spark: SparkSession, sf: str) -> DataFrame:
+    return b.sessions_from_events(spark, sf)
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.facts(_ev(spark, sf))
+
+
+W, C, R = "WITH " + b.EVENTS_SQL, "WITH " + b.CONV_SQL, "WITH " + b.FRAG_SQL
+_SUM = "count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens"
+
+# --- stats ----------------------------------------------------------------------------------------
+query("a13_totals", W + f"SELECT {_SUM} FROM f")(lambda s, d: stats.totals(_facts(s, d)))
+query("a14_by_tool", W + f"SELECT tool, {_SUM} FROM f GROUP BY tool")(lambda s, d: stats.by(_facts(s, d), "tool"))
+query("a15_by_project", W + f"SELECT project, {_SUM} FROM f GROUP BY project")(lambda s, d: stats.by(_facts(s, d), "project"))
+query("a16_daily_burn", W + f"SELECT day, {_SUM} FROM f GROUP BY day")(lambda s, d: stats.by(_facts(s, d), "day").orderBy("day"))
+query("a17_most_active_days", W + "SELECT day, count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns FROM f GROUP BY day ORDER BY 2 DESC, 3 DESC, day LIMIT 10")(lambda s, d: stats.most_active_days(_facts(s, d)))
+_SEEN = {"input": "i", "output": "o", "cache_read": "cr", "cache_write": "cw", "reasoning": "re"}
+query("a18_token_breakdown", W + "SELECT " + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {n}, coalesce(bool_or({c} IS NOT NULL), false) AS observed_{n}" for n, c in _SEEN.items()) + ", count(*) FILTER (WHERE coalesce(i, o, cr, cw, re) IS NOT NULL) AS observed_sessions FROM f")(lambda s, d: stats.token_breakdown(_ev(s, d)))
+query(
+    "a20_report",
+    W + f"SELECT 'total' AS part, NULL AS key, {_SUM} FROM f UNION ALL SELECT 'tool', tool, {_SUM} FROM f GROUP BY tool UNION ALL SELECT 'project', project, {_SUM} FROM f GROUP BY project UNION ALL SELECT 'day', day, {_SUM} FROM f GROUP BY day",
+)(lambda s, d: stats.report(_facts(s, d)))
+query(
+    "a11_summaries",
+    W + "SELECT session_key, id, tool, regexp_replace(project_path, '^/Users/[^/]+', '~') AS project_path, model, started_at, ended_at, turn_count, coalesce(total, nullif(coalesce(i, 0) + coalesce(o, 0) + coalesce(cr, 0) + coalesce(cw, 0) + coalesce(re, 0), 0)) AS total_tokens, cost_usd FROM s",
+)(lambda s, d: stats.summaries(_ev(s, d)))
+query("a12_session_tokens", W + "SELECT session_key, tokens FROM f")(lambda s, d: _facts(s, d).select("session_key", "tokens"))
+query("w5_tool_rank", W + f", g AS (SELECT tool, {_SUM} FROM f GROUP BY tool) SELECT *, CAST(row_number() OVER (ORDER BY tokens DESC, tool) AS INTEGER) AS rank FROM g")(lambda s, d: stats.ranked(stats.by(_facts(s, d), "tool"), "tool"))
+query(
+    "w6_top_projects", W + f", g AS (SELECT project, {_SUM} FROM f GROUP BY project), r AS (SELECT *, CAST(row_number() OVER (ORDER BY tokens DESC, project) AS INTEGER) AS rank, greatest(count(*) OVER () - 3, 0) AS hidden FROM g) SELECT * FROM r WHERE rank <= 3",
+)(lambda s, d: stats.ranked(stats.by(_facts(s, d), "project"), "project", 3))
+query("w7_last_days", W + f"SELECT day, {_SUM} FROM f GROUP BY day ORDER BY day DESC LIMIT 14")(lambda s, d: stats.last_days(stats.by(_facts(s, d), "day"), 14))
+query(
+    "w8_trend_levels", W + f", g AS (SELECT day, {_SUM} FROM f GROUP BY day) SELECT *, CAST(CASE WHEN max(tokens) OVER () = 0 THEN NULL WHEN min(tokens) OVER () = max(tokens) OVER () THEN 0 ELSE floor(CAST(tokens - min(tokens) OVER () AS DOUBLE) / (max(tokens) OVER () - min(tokens) OVER ()) * 7 + 0.5) END AS INTEGER) AS level FROM g",
+)(lambda s, d: stats.spark_levels(stats.by(_facts(s, d), "day"), "tokens"))
+query(
+    "w9_bars", W + f", g AS (SELECT day, {_SUM} FROM f GROUP BY day) SELECT *, CAST(CASE WHEN max(tokens) OVER () <= 0 OR tokens <= 0 THEN 0 ELSE least(40, greatest(1, floor(CAST(tokens AS DOUBLE) / max(tokens) OVER () * 40 + 0.5))) END AS INTEGER) AS bar FROM g",
+)(lambda s, d: stats.bar_widths(stats.by(_facts(s, d), "day"), "tokens", 40))
+query(
+    "w10_stacked", W + f""", g AS (SELECT tool, {_SUM} FROM f GROUP BY tool), w AS (SELECT *, CAST(floor(CAST(tokens AS DOUBLE) / sum(tokens) OVER () * 50) AS INTEGER) AS x, row_number() OVER (ORDER BY tool) AS k, count(*) OVER () AS n FROM g WHERE tokens > 0)
+ SELECT tool, sessions, turns, tokens, CAST(CASE WHEN k = n THEN 50 - coalesce(sum(x) OVER (ORDER BY tool ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE x END AS INTEGER) AS width FROM w""",
+)(lambda s, d: stats.stacked_widths(stats.by(_facts(s, d), "tool"), "tool", "tokens", 50))
+query(
+    "a25_split_coverage",
+    W + "SELECT CAST(coalesce(sum(i), 0) + coalesce(sum(o), 0) + coalesce(sum(cr), 0) + coalesce(sum(cw), 0) + coalesce(sum(re), 0) AS BIGINT) AS observed_sum, count(*) FILTER (WHERE coalesce(i, o, cr, cw, re) IS NOT NULL) AS observed_sessions, count(*) FILTER (WHERE coalesce(i, o, cr, cw, re) IS NOT NULL) < count(*) AS partial, coalesce(sum(i), 0) + coalesce(sum(o), 0) + coalesce(sum(cr), 0) + coalesce(sum(cw), 0) + coalesce(sum(re), 0) <> sum(tokens) AS divergent FROM f",
+)(lambda s, d: stats.split_coverage(stats.token_breakdown(_ev(s, d)), stats.totals(_facts(s, d))))
+
+# --- pricing --------------------------------------------------------------------------------------
+_PRICED = W + """, pr AS (SELECT f.*, CASE model WHEN 'claude-sonnet-4-5' THEN 3.0 WHEN 'gpt-4o-mini-2024-07-18' THEN 2.5 WHEN 'gpt-5.4' THEN 2.5 END AS ri, CASE model WHEN 'claude-sonnet-4-5' THEN 15.0 WHEN 'gpt-4o-mini-2024-07-18' THEN 10.0 WHEN 'gpt-5.4' THEN 15.0 END AS ro,
+ CASE model WHEN 'claude-sonnet-4-5' THEN 0.3 WHEN 'gpt-4o-mini-2024-07-18' THEN 1.25 WHEN 'gpt-5.4' THEN 0.25 END AS rr, CASE model WHEN 'claude-sonnet-4-5' THEN 3.75 WHEN 'gpt-4o-mini-2024-07-18' THEN 2.5 WHEN 'gpt-5.4' THEN 2.5 END AS rw FROM f),
+ es AS (SELECT *, CASE WHEN ri IS NOT NULL THEN coalesce(i, 0) / 1e6 * ri + coalesce(o, 0) / 1e6 * ro + coalesce(cr, 0) / 1e6 * rr + coalesce(cw, 0) / 1e6 * rw END AS est FROM pr)
+"""
+
+
+def _estimated(s: SparkSession, d: str) -> DataFrame:
+    return pricing.with_estimate(_ev(s, d), pricing.prices(s))
+
+
+query(
+    "p3_estimates",
+    _PRICED + """SELECT session_key, round(est, 10) AS cost, CASE WHEN model IS NULL THEN 'unknown' WHEN ri IS NULL THEN 'fallback' ELSE 'exact' END AS confidence, CASE WHEN model LIKE 'gpt-4o-mini%' THEN 'gpt-4o' WHEN ri IS NOT NULL THEN model END AS matched_alias,
+ CASE WHEN model IS NULL THEN 'missing model; cost estimate unavailable because no model was parsed' WHEN ri IS NULL THEN 'stale or unknown pricing for model ' || model || '; cost estimate unavailable from pricing table 2026-06-27 (https://platform.openai.com/docs/pricing)'
+ WHEN model LIKE 'gpt-4o-mini%' THEN 'matched pricing alias gpt-4o for model ' || model ELSE '' END AS warnings FROM es""",
+)(lambda s, d: _estimated(s, d).select("session_key", F.round("estimate.cost_usd", 10).alias("cost"), "estimate.confidence", "estimate.matched_alias", F.array_join("estimate.warnings", "; ").alias("warnings")))
+_COSTS = "round(sum(cost_usd), 4) AS logged_cost, count(cost_usd) AS logged_sessions, round(sum(CASE WHEN cost_usd IS NULL THEN est END), 4) AS estimated_cost, count(*) FILTER (WHERE cost_usd IS NULL AND est IS NOT NULL) AS estimated_sessions, count(*) FILTER (WHERE cost_usd IS NULL AND est IS NULL) AS unpriced_sessions, CAST(coalesce(sum(tokens) FILTER (WHERE cost_usd IS NULL AND est IS NULL), 0) AS BIGINT) AS unpriced_tokens"
+query("a19_costs", _PRICED + f"SELECT {_COSTS} FROM es")(lambda s, d: stats.cost_partition(_estimated(s, d), True).withColumns({c: F.round(c, 4) for c in ("logged_cost", "estimated_cost")}))
+query("a24_coverage", _PRICED + "SELECT count(*) FILTER (WHERE cost_usd IS NOT NULL OR est IS NOT NULL) AS priced_sessions, count(*) AS sessions, round(coalesce(sum(tokens) FILTER (WHERE cost_usd IS NULL AND est IS NULL), 0) / sum(tokens) * 100, 1) AS unpriced_share FROM es")(
+    lambda s, d: stats.coverage(stats.cost_partition(_estimated(s, d), True), stats.totals(_facts(s, d)))
+)
+query(
+    "x8_list_rows",
+    _PRICED + "SELECT session_key, substr(started_at, 1, 10) AS date, tool, coalesce(regexp_replace(project_path, '^/Users/[^/]+', '~'), '-') AS project, turn_count, CASE WHEN cost_usd IS NOT NULL THEN 'logged' WHEN est IS NOT NULL THEN 'est' ELSE 'unknown' END AS cost_kind, CASE WHEN tokens >= 1000 THEN 'k' ELSE CAST(tokens AS VARCHAR) END AS tokens FROM es WHERE tokens < 999950",
+)(
+    lambda s, d: _estimated(s, d).withColumn("t", stats.stats_tokens(F.col("usage"))).where("t < 999950").select(
+        "session_key", display.date_cell(F.col("started_at")).alias("date"), "tool", display.cut_tail(privacy.anonymize_path(F.col("project_path")), 60).alias("project"), "turn_count",
+        F.regexp_extract(F.when(display.cost_cell(F.col("cost_usd"), F.col("estimate.cost_usd")).startswith("$"), "logged").otherwise(display.cost_cell(F.col("cost_usd"), F.col("estimate.cost_usd"))), "(logged|est|unknown)$", 1).alias("cost_kind"),
+        F.regexp_replace(display.humanize_tokens(F.col("t")), r"^.*k$", "k").alias("tokens"),
+    )
+)
+query(
+    "k6_sessions_csv",
+    W + "SELECT session_key, id || ',' || tool || ',' || coalesce(project_path, '') || ',' || turn_count || ',' || CASE WHEN used THEN CAST(coalesce(total, coalesce(i, 0) + coalesce(o, 0)) AS VARCHAR) ELSE '' END || ',' || CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE 'logged' END AS value FROM s",
+)(lambda s, d: sinks.sessions_csv(_ev(s, d)).withColumn("value", F.regexp_replace("value", r",\d[\d.E]*$", ",logged")).withColumn("value", F.when(F.col("value").endswith("unknown") | F.col("value").endswith("logged"), F.col("value"))))
+
+# --- filters --------------------------------------------------------------------------------------
+query("f1_tools", W + "SELECT session_key FROM s WHERE tool IN ('codex', 'gemini')")(lambda s, d: _ev(s, d).where(predicates.tool_in(F.col("tool"), ["codex", "gemini"])).select("session_key"))
+query("f2_project", W + "SELECT session_key FROM s WHERE project_path = '/Users/u3' OR project_path LIKE '/Users/u3/%'")(lambda s, d: _ev(s, d).where(predicates.project_is(F.col("project_path"), "/Users/u3/")).select("session_key"))
+query("f3_projects", W + "SELECT session_key FROM s WHERE list_contains(string_split(lower(project_path), '/'), 'app1') OR list_contains(string_split(lower(project_path), '/'), 'u2')")(lambda s, d: _ev(s, d).where(predicates.any_project(F.col("project_path"), ["APP1", "u2"])).select("session_key"))
+_SINCE, _UNTIL = datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 20, tzinfo=timezone.utc)
+query("f4_dates", W + "SELECT session_key FROM s WHERE CAST(ended_at AS TIMESTAMP) >= TIMESTAMP '2024-01-05' AND CAST(ended_at AS TIMESTAMP) <= TIMESTAMP '2024-01-20'")(lambda s, d: _ev(s, d).where(predicates.in_dates(F.col("started_at"), F.col("ended_at"), _SINCE, _UNTIL)).select("session_key"))
+query("f10_placeholders", W + "SELECT session_key FROM s WHERE model IS NULL")(lambda s, d: _ev(s, d).where(predicates.placeholder_model(F.col("model"))).select("session_key"))
+query("f11_model_ids", W + "SELECT DISTINCT model FROM s WHERE regexp_matches(model, '^(claude|codex|gemini|gpt|o[0-9])') AND regexp_matches(model, '[0-9-]')")(lambda s, d: _ev(s, d).select("model").distinct().where(predicates.model_id(F.col("model"))))
+query(
+    "f8_session_text",
+    C + "SELECT session_key FROM cs WHERE session_key IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING bool_or(contains(lower(text), 'der')) AND bool_or(contains(lower(text), 'und')))",
+)(lambda s, d: predicates.sessions_with_text(b.sessions_from_conversations(s, d), b.blocks_from_conversations(s, d), predicates.parse_query("der AND und")).select("session_key"))
+query(
+    "f9_combined",
+    C + "SELECT session_key FROM cs WHERE tool = 'codex' AND list_contains(string_split(lower(project_path), '/'), 'app1') AND session_key IN (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING bool_or(contains(lower(text), 'the')) OR bool_or(contains(lower(text), 'der')))",
+)(
+    lambda s, d: predicates.sessions_with_text(
+        b.sessions_from_conversations(s, d).where(predicates.tool_in(F.col("tool"), ["codex"])).where(predicates.any_project(F.col("project_path"), predicates.parse_query("the der project:app1").projects)),
+        b.blocks_from_conversations(s, d), predicates.parse_query("the der project:app1"),
+    ).select("session_key")
+)
+
+# --- search ---------------------------------------------------------------------------------------
+_CLEAN = "{0}"
+for _p in REDACT_PATTERNS:
+    _flags = "gi" if _p.startswith("(?i)") else "gim" if _p.startswith("(?im)") else "g"
+    _CLEAN = "regexp_replace(" + _CLEAN + ", '" + _p.removeprefix("(?i)").removeprefix("(?im)").replace("'", "''") + f"', '[REDACTED]', '{_flags.replace('m', '')}')" if "m" not in _flags else "regexp_replace(" + _CLEAN + ", '(?m)" + _p.removeprefix("(?im)") + "', '[REDACTED]', 'gi')"
+
+
+def _clean(column: str) -> str:
+    return _CLEAN.replace("{0}", column)
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    return search.turn_texts(b.blocks_from_conversations(s, d))
+
+
+query("q2_turn_hits", "SELECT conv_id AS session_key, turn AS turn_index FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'der') AND contains(lower(text), 'und')")(lambda s, d: search.hits(_turns(s, d), "der AND und").select("session_key", "turn_index"))
+query("a21_hit_counts", "SELECT conv_id AS session_key, count(*) AS hits FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'th') GROUP BY conv_id")(lambda s, d: search.hits(_turns(s, d), "th").groupBy("session_key").agg(F.count("*").alias("hits")))
+query("w4_previews", "SELECT conv_id AS session_key, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS preview FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S') GROUP BY conv_id)")(lambda s, d: search.previews(_turns(s, d)))
+query(
+    "q3_snippets",
+    "WITH x AS (SELECT conv_id AS session_key, turn AS turn_index, text, instr(lower(text), 'the') - 1 AS p FROM conversations) SELECT session_key, turn_index, CASE WHEN p < 0 THEN substr(text, 1, 120) ELSE CASE WHEN greatest(p - 60, 0) > 0 THEN '...' ELSE '' END || substr(text, greatest(p - 60, 0) + 1, least(length(text), p + 63) - greatest(p - 60, 0)) || CASE WHEN least(length(text), p + 63) < length(text) THEN '...' ELSE '' END END AS snippet FROM x",
+)(lambda s, d: _turns(s, d).select("session_key", "turn_index", search.snippet(F.col("text"), "the").alias("snippet")))
+query(
+    "q6_search",
+    C + """, h AS (SELECT conv_id AS session_key, turn, text, instr(lower(text), 'there') - 1 AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'there')),
+ g AS (SELECT session_key, count(*) AS total_hits, string_agg(CASE WHEN n <= 3 THEN """ + _clean("CASE WHEN greatest(p - 60, 0) > 0 THEN '...' ELSE '' END || substr(text, greatest(p - 60, 0) + 1, least(length(text), p + 65) - greatest(p - 60, 0)) || CASE WHEN least(length(text), p + 65) < length(text) THEN '...' ELSE '' END") + """ END, '|' ORDER BY n) AS snippets FROM h GROUP BY session_key)
+ SELECT session_key, tool, regexp_replace(project_path, '^/Users/[^/]+', '~') AS project_path, started_at AS timestamp, snippets, total_hits, greatest(total_hits - 3, 0) AS hidden FROM cs JOIN g USING (session_key) WHERE list_contains(string_split(lower(project_path), '/'), 'app2')""",
+)(lambda s, d: search.hidden_hits(search.search(b.sessions_from_conversations(s, d), _turns(s, d), "there project:app2")).withColumn("snippets", F.array_join("snippets", "|")))
+query(
+    "q5_filter_only",
+    C + ", p AS (SELECT conv_id AS session_key, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S') GROUP BY conv_id) SELECT session_key, tool, regexp_replace(project_path, '^/Users/[^/]+', '~') AS project_path, started_at AS timestamp, coalesce(" + _clean("CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END") + ", '(session matched filters)') AS snippets, CAST(1 AS BIGINT) AS total_hits FROM cs LEFT JOIN p USING (session_key) WHERE list_contains(string_split(lower(project_path), '/'), 'app1')",
+)(lambda s, d: search.search(b.sessions_from_conversations(s, d), _turns(s, d), "project:app1").withColumn("snippets", F.array_join("snippets", "|")))
+query("q7_marked", "SELECT conv_id AS session_key, turn AS turn_index, regexp_replace(text, '(und|der)', '<m>\\1</m>', 'gi') AS text FROM conversations")(lambda s, d: _turns(s, d).select("session_key", "turn_index", search.marked(F.col("text"), ["der", "und"]).alias("text")))
+
+# --- normalising ----------------------------------------------------------------------------------
+query(
+    "a1_fragment_merge", R + "SELECT session_key, grp, min(line) AS line, arg_min(ts, line) AS ts FROM fr GROUP BY session_key, grp",
+)(lambda s, d: b.fragments(s, d).groupBy("session_key", "grp").agg(F.min("line").alias("line"), F.min_by("ts", F.when(F.col("ts") != "", F.col("line"))).alias("ts")))
+query("a2_block_dedupe", R + "SELECT session_key, grp, model, line FROM fr QUALIFY row_number() OVER (PARTITION BY session_key, grp, model ORDER BY line) = 1")(lambda s, d: normalize.first_blocks(b.fragments(s, d).withColumn("pos", F.lit(0)), ["session_key", "grp"], "model").select("session_key", "grp", "model", "line"))
+query(
+    "a4_session_usage",
+    R + ", g AS (SELECT session_key, grp, arg_max(q, line) AS q, arg_max(struct_pack(v := cr), line).v AS cr FROM fr GROUP BY session_key, grp) SELECT session_key, CAST(sum(q) AS BIGINT) AS input_tokens, CAST(sum(q) * 2 AS BIGINT) AS output_tokens, CAST(CASE WHEN count(*) = 1 THEN max(cr) ELSE sum(coalesce(cr, 0)) END AS BIGINT) AS cache_read_tokens, CAST(CASE WHEN count(*) = 1 THEN NULL ELSE 0 END AS BIGINT) AS cache_write_tokens, CAST(sum(q) * 3 AS BIGINT) AS total_tokens, count(*) AS groups FROM g GROUP BY session_key",
+)(lambda s, d: normalize.session_usage(normalize.group_usage(b.fragments(s, d))).select("session_key", "usage.input_tokens", "usage.output_tokens", "usage.cache_read_tokens", "usage.cache_write_tokens", "usage.total_tokens", "groups"))
+query("a5_last_total", R + "SELECT session_key, arg_max(q, line) * 3 AS total FROM fr WHERE cr IS NOT NULL GROUP BY session_key")(lambda s, d: normalize.last_value(b.fragments(s, d).where("usage.cache_read_tokens IS NOT NULL").select("session_key", "line", F.col("usage.total_tokens").alias("total")), "total"))
+query("a7_model_mode", R + ", g AS (SELECT session_key, model, sum(q) AS w, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, model FROM g QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY w DESC, line) = 1")(lambda s, d: normalize.model_mode(b.fragments(s, d)))
+query("a8_model_count", R + ", g AS (SELECT session_key, model, count(*) AS w, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, model FROM g QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY w DESC, line) = 1")(lambda s, d: normalize.model_mode(b.fragments(s, d).withColumn("weight", F.lit(1))))
+query("a9_last_model", R + "SELECT session_key, arg_max(model, line) AS model FROM fr GROUP BY 1")(lambda s, d: normalize.last_value(b.fragments(s, d), "model"))
+query("a10_bounds", R + "SELECT session_key, min(ts) AS started_at, max(ts) AS ended_at FROM fr GROUP BY 1")(lambda s, d: b.fragments(s, d).groupBy("session_key").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at")))
+_PAIR = R + ", c AS (SELECT session_key, call_id, min(line) AS call_line FROM fr WHERE NOT is_result GROUP BY 1, 2), h AS (SELECT r.*, coalesce(c.call_line < r.line, false) AS matched FROM fr r LEFT JOIN c USING (session_key, call_id) WHERE r.is_result) "
+
+
+def _pairs(s: SparkSession, d: str):
+    f = b.fragments(s, d)
+    return normalize.paired(f.where("NOT is_result"), f.where("is_result").select("session_key", "call_id", "line", "seq", "output", F.lit(False).alias("is_error")))
+
+
+query("j1_paired", _PAIR + "SELECT session_key, call_id, arg_max(output, line) AS output FROM h WHERE matched GROUP BY 1, 2")(lambda s, d: _pairs(s, d)[0].select("session_key", "call_id", "answer.output"))
+query("j2_unmatched", _PAIR + "SELECT session_key, call_id, line FROM h WHERE NOT matched")(lambda s, d: _pairs(s, d)[1].select("session_key", "call_id", "line"))
+query("w1_turn_index", R + ", t AS (SELECT session_key, grp, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, grp, CAST(row_number() OVER (PARTITION BY session_key ORDER BY line) - 1 AS INTEGER) AS turn_index FROM t")(
+    lambda s, d: b.fragments(s, d).groupBy("session_key", "grp").agg(F.min("line").alias("line")).selectExpr("session_key", "grp", "CAST(row_number() OVER (PARTITION BY session_key ORDER BY line) - 1 AS INT) AS turn_index")
+)
+_PATH = "'/logs/-home-dev-app/c' || conv_id || '.jsonl'"
+for _tool in ("claude-code", "codex", "gemini"):
+    _short = {"claude-code": "a", "codex": "b", "gemini": "c"}[_tool]
+    query(
+        f"n_roundtrip_{_short}", f"SELECT {_PATH} AS session_key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, text FROM conversations WHERE role IN ('user', 'assistant')" + (" AND text <> ''" if _tool == "codex" else ""),
+    )(lambda s, d, t=_tool: (lambda n: n.turns.join(n.blocks, ["session_key", "turn_index"]).select("session_key", "turn_index", "role", "text"))(normalize.normalise(b.raw_lines(s, d, t), t)))
+    _use = {"claude-code": "CAST(sum(length(text) + 7) FILTER (WHERE role = 'assistant') AS BIGINT)", "codex": "CAST(NULL AS BIGINT)", "gemini": "CAST(sum(length(text) + 7) FILTER (WHERE role = 'assistant') AS BIGINT)"}[_tool]
+    query(
+        f"n_sessions_{_short}", f"SELECT {_PATH} AS session_key, 'c' || conv_id AS id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS turn_count, {_use} AS total_tokens FROM conversations GROUP BY conv_id",
+    )(lambda s, d, t=_tool: normalize.normalise(b.raw_lines(s, d, t), t).sessions.select("session_key", "id", "turn_count", "usage.total_tokens"))
+    _role = f" UNION ALL SELECT {_PATH}, 'skipped_role', CAST(turn + 1 AS INTEGER) FROM conversations WHERE role IN ('system', 'developer')" if _tool == "codex" else ""
+    query(
+        f"s9_quarantine_{_short}", f"SELECT {_PATH} AS session_key, c.code, c.line FROM conversations, (VALUES ('malformed_line', 100001), ('invalid_line_shape', 100002)) c(code, line) WHERE turn = 0" + _role,
+    )(lambda s, d, t=_tool: normalize.normalise(b.raw_lines(s, d, t), t).warnings)
+
+# --- sources --------------------------------------------------------------------------------------
+_FILE = "'/r/' || CASE doc_id % 4 WHEN 0 THEN '.codex/sessions/2024/01/' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '/x' WHEN 1 THEN '.gemini/p/chats/session-' WHEN 2 THEN '.claude/projects/q/' ELSE 'else/' END || doc_id || '.jsonl'"
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    mid = F.when(k % 4 == 0, F.format_string(".codex/sessions/2024/01/%02d/x", k % 28 + 1)).when(k % 4 == 1, ".gemini/p/chats/session-").when(k % 4 == 2, ".claude/projects/q/").otherwise("else/")
+    return b.read(s, d, "documents").select(F.concat(F.lit("/r/"), mid, k.cast("string"), F.lit(".jsonl")).alias("source_path"))
+
+
+_TOOL_CASE = "CASE WHEN p LIKE '%/.codex/sessions/%' THEN 'codex' WHEN p LIKE '%/.gemini/%' THEN 'gemini' WHEN p LIKE '%/.claude/projects/%' THEN 'claude-code' END"
+query("s11_infer", f"SELECT p AS source_path, {_TOOL_CASE} AS tool FROM (SELECT {_FILE} AS p FROM documents)")(lambda s, d: _files(s, d).withColumn("tool", logs.infer_from_path(F.col("source_path"))))
+query("s13_resolve", f"SELECT p AS source_path, coalesce({_TOOL_CASE}, 'claude-code') AS tool, false AS mismatch FROM (SELECT {_FILE} AS p FROM documents)")(
+    lambda s, d: _files(s, d).select("source_path", logs.resolve_tool(F.lit(None).cast("string"), F.col("source_path"), F.lit(None).cast("string"))[0].alias("tool"), F.lit(False).alias("mismatch"))
+)
+query("s4_path_dates", f"SELECT p AS source_path FROM (SELECT {_FILE} AS p FROM documents) WHERE regexp_extract(p, '/sessions/(....)/(..)/(..)/', 3) IN ('', '05', '06', '07')")(lambda s, d: logs.within_path_dates(_files(s, d), "2024-01-05", "2024-01-07"))
+query("s16_inventory", f"SELECT t.tool, t.adapter_version, least(coalesce(n, 0), 1000) AS candidates, coalesce(n, 0) > 0 AS detected, CASE WHEN n IS NULL THEN 'not detected' ELSE 'ok' END AS status FROM (VALUES ('claude-code', '0.1.1'), ('codex', '0.1.1'), ('gemini', '0.1.1-experimental')) t(tool, adapter_version) LEFT JOIN (SELECT {_TOOL_CASE} AS tool, count(*) AS n FROM (SELECT {_FILE} AS p FROM documents) GROUP BY 1) USING (tool)")(
+    lambda s, d: logs.inventory(_files(s, d).withColumn("tool", logs.infer_from_path(F.col("source_path"))).where("tool IS NOT NULL"))
+)
+query("n14_project_slug", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/' || source || '/' WHEN doc_id % 3 = 1 THEN '/' || source || '/' || lang ELSE source END AS project FROM documents")(
+    lambda s, d: b.read(s, d, "documents").select("doc_id", logs.project_from_slug(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("-"), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), "source", F.lit("-"), "lang")).otherwise(F.col("source"))).alias("project"))
+)
+
+# --- privacy and text -------------------------------------------------------------------------------
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return b.read(s, d, "documents").select("doc_id", "text")
+
+
+query("r1_redact", f"SELECT doc_id, md5({_clean('text')}) AS digest FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.redact(F.col("text"))).alias("digest")))
+query("r4_paths", "SELECT doc_id, regexp_replace('/home/u' || doc_id || '/x', '^/home/[^/]+', '~') AS path FROM documents")(lambda s, d: _docs(s, d).select("doc_id", privacy.anonymize_path(F.concat(F.lit("/home/u"), F.col("doc_id").cast("string"), F.lit("/x"))).alias("path")))
+query("r5_paths_in_text", "SELECT doc_id, md5(regexp_replace(text || ' at /Users/u' || doc_id || '/x', '/Users/[^/\\s''\"]+', '~', 'g')) AS digest FROM documents WHERE NOT contains(text, '/home/')")(
+    lambda s, d: _docs(s, d).where(~F.contains("text", F.lit("/home/"))).select("doc_id", F.md5(privacy.anonymize_paths_in_text(F.concat("text", F.lit(" at /Users/u"), F.col("doc_id").cast("string"), F.lit("/x")))).alias("digest"))
+)
+query("r9_csv_cells", "WITH x AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS t FROM documents) SELECT doc_id, md5(CASE WHEN regexp_matches(t, '[\",\\n\\r]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END) AS digest FROM x")(lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.csv_cell(F.col("text"))).alias("digest")))
+query("r10_markdown", "SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(html, '<', '&lt;'), '>', '&gt;'), '\\[([^\\]]+)\\]\\(\\s*javascript:[^)]+\\)', '[\\1](#)', 'gi'), '\\[([^\\]]+)\\]\\(\\s*data:[^)]+\\)', '[\\1](#)', 'gi')) AS digest FROM pages")(lambda s, d: b.read(s, d, "pages").select("page_id", F.md5(privacy.neutral_markdown(F.col("html"))).alias("digest")))
+query("r11_control", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{9f}]', '', 'g'), '[\\t\\r\\n]+', ' ', 'g')) AS digest FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.strip_control(F.concat(F.lit("\x1b[31m"), "text", F.lit("\x1b[0m")), inline=True)).alias("digest")))
+query("n19_truncate", "SELECT doc_id, length(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END) AS n FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.length(normalize.bounded(F.col("text"), 500)).cast("bigint").alias("n")))
+query("x6_cut_tail", "SELECT page_id, CASE WHEN length(url) <= 20 THEN url ELSE '...' || right(url, 19) END AS cut FROM pages")(lambda s, d: b.read(s, d, "pages").select("page_id", display.cut_tail(F.col("url"), 20).alias("cut")))
+query("x7_cut_middle", "SELECT page_id, CASE WHEN length(url) <= 20 THEN url ELSE left(url, 10) || '…' || right(url, 9) END AS cut FROM pages")(lambda s, d: b.read(s, d, "pages").select("page_id", display.cut_middle(F.col("url"), 20).alias("cut")))
+query("k4_markdown", C + ", t AS (SELECT conv_id, string_agg('### ' || upper(role) || chr(10) || chr(10) || replace(replace(text, '<', '&lt;'), '>', '&gt;') || chr(10), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) SELECT session_key, md5('# Session ' || session_key || chr(10) || chr(10) || '- Tool: ' || tool || chr(10) || '- Project: ' || coalesce(project_path, 'unknown') || chr(10) || chr(10) || body) AS digest FROM cs JOIN t ON conv_id = session_key")(
+    lambda s, d: sinks.session_markdown(b.sessions_from_conversations(s, d).withColumn("id", F.col("session_key").cast("string")), sinks.turn_markdown(b.blocks_from_conversations(s, d).withColumns({"note": F.lit(""), "name": F.lit(""), "status": F.lit("")}))).select("session_key", F.md5("markdown").alias("digest"))
+)
+
+# --- quality ----------------------------------------------------------------------------------------
+_WARN = "SELECT event_id AS ord, event_type AS code, 'm' || (user_id % 3) AS message, 'session' AS scope, user_id % 5 AS line, 's' || (user_id % 7) AS session_id, '/logs/' || (user_id % 4) AS source_path, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity FROM events"
+
+
+def _warnings(s: SparkSession, d: str) -> DataFrame:
+    u, t = F.col("user_id"), lambda p, n: F.concat(F.lit(p), (F.col("user_id") % n).cast("string"))
+    return b.read(s, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("code"), t("m", 3).alias("message"), F.lit("session").alias("scope"), (u % 5).alias("line"), t("s", 7).alias("session_id"), t("/logs/", 4).alias("source_path"), F.when(F.col("event_id") % 2 == 0, "info").otherwise("warning").alias("severity"))
+
+
+query("u2_merge_warnings", f"WITH w AS ({_WARN}) SELECT code, message, scope, line, session_id, source_path, arg_min(severity, ord) AS severity, min(ord) AS ord FROM w GROUP BY ALL")(lambda s, d: (lambda w: quality.merged_warnings(w.where("ord % 2 = 0"), w.where("ord % 2 = 1")))(_warnings(s, d)))
+query("a23_warning_summary", f"WITH w AS ({_WARN}) SELECT code, message, scope, session_id, source_path, count(*) AS count, arg_min(severity, ord) AS severity FROM w GROUP BY 1, 2, 3, 4, 5")(lambda s, d: quality.warning_summary(_warnings(s, d)))
+query("v1_violations", W + "SELECT session_key, 'tool_unknown' AS rule FROM s WHERE tool = 'gemini' UNION ALL SELECT session_key, 'cost_negative' FROM s WHERE cost_usd > 0")(lambda s, d: quality.violations(_ev(s, d).withColumn("tool", F.when(F.col("tool") != "gemini", F.col("tool")).otherwise("other")).withColumn("cost_usd", -F.col("cost_usd"))))
+query("u1_union", W + "SELECT tool, count(*) AS n FROM s GROUP BY tool")(lambda s, d: (lambda e: e.where("tool = 'codex'").unionByName(e.where("tool <> 'codex'").drop("user_id"), allowMissingColumns=True).groupBy("tool").agg(F.count("*").alias("n")))(_ev(s, d)))
