@@ -18,7 +18,7 @@ def log_files(spark: SparkSession, tool: str, root: str) -> DataFrame:
     """Raw lines of one tool's root: value, source_path, file_size, block_start. A missing root raises AnalysisException."""
     root = root.rstrip("/")
     if tool == "claude-code":
-        raw = spark.read.text([f"{root}/*.jsonl", f"{root}/*/*.jsonl"])
+        raw = spark.read.text(f"{root}/{{*,*/*}}.jsonl")
     elif tool == "codex":
         raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").text(root)
     elif tool == "gemini":
