@@ -64,9 +64,8 @@ def train(sample: DataFrame, rows_of, size: int, shards: int, **kw) -> np.ndarra
 
     dealt = sample.select("doc_id", "text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     weights = dealt.groupBy("shard").applyInArrow(one, "feature int, w double").groupBy("feature").agg(F.sum("w").alias("w"))
-    out = np.zeros(size)
-    for feature, w in weights.toPandas().itertuples(index=False):  # at most `size` rows
-        out[feature] = w / shards
+    found, out = weights.toArrow(), np.zeros(size)  # at most `size` rows of two numbers
+    out[found["feature"].to_numpy()] = found["w"].to_numpy() / shards
     return out
 
 

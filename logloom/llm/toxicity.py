@@ -69,17 +69,16 @@ def ratios(sample: DataFrame) -> np.ndarray:
             label = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(int)
             slot, doc = present(batch)
             n[:, :] += np.bincount(label[doc] * SIZE + slot, minlength=2 * SIZE).reshape(2, SIZE).astype(np.int32)
-            n[:, SIZE - 1] += np.bincount(label, minlength=2)[:2]
         at = np.flatnonzero(n.sum(0) > 0).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at].astype(np.int64)), pa.array(n[1, at].astype(np.int64))], ["slot", "clean", "toxic"])
 
-    counts = sample.select("doc_id", "text", "label").mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    n = np.zeros((2, SIZE))
-    n[0, counts.slot], n[1, counts.slot] = counts.clean, counts.toxic
-    rows = n[:, -1] + 1
-    r = np.log((n[1] + 0.5) / rows[1]) - np.log((n[0] + 0.5) / rows[0])
-    r[np.abs(r) < MIN_RATIO] = 0
-    r[n.sum(0) < 3] = 0  # too rare to tell
+    counts = sample.select("doc_id", "text", "label").mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    every = sample.agg(F.count_if(F.col("label") != 1).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).first()
+    log = lambda c: F.log((F.col(c) + 0.5) / (every[c] + 1.0))
+    told = counts.withColumn("r", log("toxic") - log("clean")).where((F.abs("r") >= MIN_RATIO) & (F.col("clean") + F.col("toxic") >= 3))
+    found = told.select("slot", F.col("r").cast("float")).toArrow()  # two numbers a slot, 2**20 slots at most
+    r = np.zeros(SIZE)
+    r[found["slot"].to_numpy()] = found["r"].to_numpy()
     r[-1] = 1
     return r
 
