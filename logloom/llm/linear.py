@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import passes
+
 
 class Ftrl:
     def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
@@ -57,7 +59,10 @@ def train(sample: DataFrame, rows_of, size: int, shards: int, **kw) -> np.ndarra
     def one(batch: pa.Table) -> pa.Table:
         batch = batch.combine_chunks().sort_by("doc_id")
         labels = batch.column("label").to_numpy().astype(float)
-        rows = [(i, x, labels[k]) for b in batch.select(["doc_id", "text"]).to_batches() for k, i, x in rows_of(b)]
+        rows, at = [], 0
+        for part in passes(batch.select(["doc_id", "text"]).to_batches()):  # bounded slices, as in scoring
+            rows += [(i.astype(np.int32), x.astype(np.float32), labels[at + k]) for k, i, x in rows_of(part)]
+            at += part.num_rows
         w = fit(rows, size, seed=int(batch.column("shard")[0].as_py()), **kw)
         at = np.flatnonzero(w)
         return pa.table({"feature": at.astype(np.int32), "w": w[at]})

@@ -68,7 +68,10 @@ def ratios(sample: DataFrame) -> np.ndarray:
         for batch in passes(batches):
             label = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(int)
             slot, doc = present(batch)
-            n[:, :] += np.bincount(label[doc] * SIZE + slot, minlength=2 * SIZE).reshape(2, SIZE).astype(np.int32)
+            for k in (0, 1):
+                at = np.sort(slot[label[doc] == k])
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                n[k, at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
         at = np.flatnonzero(n.sum(0) > 0).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at].astype(np.int64)), pa.array(n[1, at].astype(np.int64))], ["slot", "clean", "toxic"])
 
@@ -98,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", max_
         cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         for k in range(batch.num_rows):
             at = slot[cut[k] : cut[k + 1]]
-            yield k, at, scale[at].astype(float)
+            yield k, at, scale[at]
 
     w = linear.train(sample, rows, SIZE, SHARDS, epochs=4, alpha=0.1, beta=1.0, l1=0.1, l2=0.1, balance=1.0)
     return w * r
