@@ -40,12 +40,14 @@ def oracle(sql, sf_dir):
 
 
 def rows(frame):
-    import math
+    import pandas as pd
 
-    def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+    def cell(v):  # a null turns a column of whole numbers into floats on one side only
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "NULL"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            return str(int(v)) if v.is_integer() else f"{v:.6g}"
+        return str(v)
 
     names = sorted(frame.columns)
     return names, sorted(tuple(cell(v) for v in r) for r in frame[names].astype(object).itertuples(index=False))
