@@ -6,13 +6,15 @@
    documents. Words rarer than RARE of the documents share one idf: the table of all others has at most
    (mean distinct words a document) / RARE rows, whatever the corpus, so it may be broadcast.
 3. Consistent weighted samples of the weight vector, in BANDS bands of ROWS; equal bands meet in a bucket.
-4. Buckets never give all pairs. In rounds, each bucket holds one member of every class it still
-   has; members are paired with the bucket's pivot and, after the first round, with their next AFTER neighbours
-   in a hash order that changes by round and bucket, pairs whose total weights allow the threshold are verified by exact weighted Jaccard similarity
-   over whole texts, and linked classes become one. Every other round splits each bucket by each other band (NEAR
-   reaches every pair of bands), where likely links stand together; the rest take whole buckets, until one of
-   these finds no new link. A bucket of up
-   to AFTER + 2 classes is compared whole.
+4. Two rounds link what is near at once, each comparing one member a class with a pivot: first in the buckets, then
+   under shared prefix keys. They only save comparisons; nothing rests on them.
+5. The rest is exact. Every 0.8 pair shares a prefix key: order shingles alike for all texts (by a rough count, rarest first) and
+   take those before which the rest still holds 0.8 of the weight. Members of different classes that share a key, each with
+   each, are compared unless total weights or the weight left from the key on rule the threshold out.
+   So every link between two members of buckets is found, whatever the bucket's or the class's size. A text that shares
+   no bucket at all is compared with none: a pair of 0.8 meets in no band with a chance of about 0.0002.
+
+Verification is exact weighted Jaccard similarity over whole texts; linked classes become one.
 
 Defined results: texts are compared as lower-cased words (letters and digits); fewer than five words are
 one shingle; null and empty texts, and texts without a word, equal only byte-equal ones (null counts as empty); repeated
@@ -21,20 +23,17 @@ rows are copies of each other; an empty table gives no rows; extra columns are i
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Tokens, durable, mix, partitions, passes, shingles, table, tune, utf8
 
 WORDS, THRESHOLD, RARE = 5, 0.8, 0.01
 BANDS, ROWS, DRAWS = 12, 3, 1 << 14
-SALT = 1000
-#: Bands (counted on from a bucket's own) that split a crowded bucket; neighbours that a member meets in a round.
-NEAR, AFTER = (1, 2, 3, 4, 5, 6), 3
+#: Slots of the rough shingle count (a power of two), and what floats may lose in a bound.
+SLOT_BITS, SLACK = 18, 1e-5
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -191,6 +190,47 @@ def similarity(pairs: DataFrame, idf: Idf) -> DataFrame:
     return pairs.select("a", "b", "class_a", "class_b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}, class_a {kind}, class_b {kind}, similarity double")
 
 
+def slot_of(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> U64(52 - SLOT_BITS)).astype(np.int64)
+
+
+def crowded_slots(texts: DataFrame, idf: Idf) -> np.ndarray:
+    """Rough count of texts by shingle slot; slots that no task finds crowded count 0. Any count is right, a good one saves comparisons."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def count(batches):
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in passes(batches):
+            n += np.bincount(slot_of(weighted(batch, 1, shared.value)[1]), minlength=len(n))
+        at = np.flatnonzero(n >= max(8, 4 * n.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    found = texts.select("rep", "text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix_keys(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """texts(rep, text) -> rep, key, total, rest (weight from the key on): two texts that reach the threshold share a key."""
+    shared = texts.sparkSession.sparkContext.broadcast((idf, crowded_slots(texts, idf)))
+
+    def cut(batches):
+        idf, crowd = shared.value
+        for batch in passes(batches):
+            d, s, w = weighted(batch, 1, idf)
+            order = np.lexsort((s, crowd[slot_of(s)], d))
+            d, s, w = d[order], s[order], w[order]
+            total = np.bincount(d, w, minlength=batch.num_rows)
+            before = np.cumsum(total) - total
+            rest = total[d] - (np.cumsum(w) - w - before[d])
+            keep = np.flatnonzero(rest >= (threshold - SLACK) * total[d])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[keep])), pa.array(s[keep].view(np.int64)), pa.array(total[d[keep]].astype(np.float32)), pa.array(rest[keep].astype(np.float32))], ["rep", "key", "total", "rest"])
+
+    kind = texts.schema["rep"].dataType.simpleString()
+    return texts.select("rep", "text").mapInArrow(cut, f"rep {kind}, key long, total float, rest float")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> node, class: the smallest node of its component. Label passing with pointer jumps, in Spark."""
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -220,33 +260,44 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = corpus_idf(docs)
     signed = durable(signatures(docs, idf))
     distinct = durable(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("total").alias("total")))
-    other_band = lambda d: F.shiftright(F.element_at("bands", F.pmod(F.col("band") + d, F.lit(BANDS)) + 1), 32).cast("int")
-    rows = distinct.select("rep", "total", "bands", F.posexplode("bands").alias("band", "bucket")).select("rep", "total", "bucket", F.array(*map(other_band, NEAR)).alias("near"))
+    rows = distinct.select("rep", "total", F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = durable(rows.join(many, "bucket"))
+    members = durable(rows.join(many, "bucket").select("rep", "total", "bucket"))
     texts = durable(docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")))
     # weighted Jaccard similarity is at most the quotient of the totals: pairs below it need no comparison, and no link is lost
-    close = lambda x, y: F.least(x["total"], y["total"]) >= F.greatest(x["total"], y["total"]) * (threshold - 1e-6)
+    close = lambda x, y: F.least(x["total"], y["total"]) >= F.greatest(x["total"], y["total"]) * (threshold - SLACK)
+    # a pair has all it shares from its first common key on, and shares threshold / (1 + threshold) of both totals at least
+    enough = lambda x, y: F.least(x["rest"], y["rest"]) >= (x["total"] + y["total"]) * (threshold / (1 + threshold) - SLACK)
     classes = seen = None  # node, class; pairs compared so far
-    for turn in count():
-        left = members if classes is None else members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        left = left.withColumn("class", F.col("rep") if classes is None else F.coalesce("class", "rep"))
-        if turn % 2:
-            left = left.select("rep", "total", "class", "bucket", F.posexplode("near").alias("j", "n")).withColumn("bucket", F.xxhash64("bucket", "j", "n"))
-        order = F.xxhash64("rep") if turn == 0 else F.xxhash64("rep", "bucket", F.lit(turn))
-        # one member a class and bucket: partial aggregation, so a large class is one row a task
-        left = left.groupBy("bucket", "class").agg(F.min(F.struct(order.alias("o"), "rep", "total")).alias("m")).select("bucket", "class", "m.*")
-        stats = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("o", "rep", "class", "total")).alias("pivot")).where("size > 1")
-        left = left.join(stats, "bucket").withColumn("me", F.struct("rep", "class", "total"))
-        star = left.where((F.col("rep") != F.col("pivot.rep")) & close(F.col("me"), F.col("pivot"))).select("me", F.struct("pivot.rep", "pivot.class", "pivot.total").alias("other"))
-        if turn:
-            window = Window.partitionBy("bucket", "salt").orderBy("o", "rep")
-            after = F.array(*[F.lead("me", k).over(window) for k in range(1, AFTER + 1)])
-            salted = left.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / SALT)))
-            near = F.filter("after", lambda x: x.isNotNull() & close(F.col("me"), x))
-            star = star.union(salted.select("me", after.alias("after")).select("me", F.explode(near).alias("other")))
+
+    def classed(df: DataFrame) -> DataFrame:
+        if classes is None:
+            return df.withColumn("class", F.col("rep"))
+        return df.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+
+    def star(df: DataFrame, group: str) -> DataFrame:
+        """Pairs of one member a class with the group's pivot; partial aggregation, so a large class is one row a task."""
+        one = df.groupBy(group, "class").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "total")).alias("m")).select(group, "class", "m.*")
+        pivot = one.groupBy(group).agg(F.count("*").alias("size"), F.min(F.struct("o", "rep", "class", "total")).alias("pivot")).where("size > 1")
+        met = one.join(pivot, group).where((F.col("rep") != F.col("pivot.rep")) & close({"total": F.col("total")}, F.col("pivot")))
+        return met.select(F.struct("rep", "class").alias("me"), F.struct("pivot.rep", "pivot.class").alias("other"))
+
+    def each_with_each(df: DataFrame) -> DataFrame:
+        """All pairs of members of different classes that share a key and may reach the threshold."""
+        kinds = df.select("key", "class").distinct()
+        mixed = durable(df.join(kinds.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
+        kinds = mixed.select("key", "class").distinct()
+        met = kinds.withColumnRenamed("class", "class_a").join(kinds.withColumnRenamed("class", "class_b"), "key").where("class_a < class_b")
+        side = lambda c: mixed.select("key", F.col("class").alias(f"class_{c}"), F.struct("rep", "class", "total", "rest").alias(c))
+        both = met.join(side("a"), ["key", "class_a"]).join(side("b"), ["key", "class_b"])
+        both = both.where(close(F.col("a"), F.col("b")) & enough(F.col("a"), F.col("b")))
+        return both.select(F.struct("a.rep", "a.class").alias("me"), F.struct("b.rep", "b.class").alias("other"))
+
+    def link(met: DataFrame) -> None:
+        """Compares the pairs that were not compared before, and merges the classes of those that reach the threshold."""
+        nonlocal classes, seen
         low, high = F.least("me", "other"), F.greatest("me", "other")
-        pairs = star.select(low.alias("low"), high.alias("high")).select(F.col("low.rep").alias("a"), F.col("high.rep").alias("b"), F.col("low.class").alias("class_a"), F.col("high.class").alias("class_b")).distinct()
+        pairs = met.select(low.alias("low"), high.alias("high")).select(F.col("low.rep").alias("a"), F.col("high.rep").alias("b"), F.col("low.class").alias("class_a"), F.col("high.class").alias("class_b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         text = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
@@ -255,8 +306,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = checked.where(F.col("similarity") >= threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         if not found.isEmpty():
             classes = rejoined(classes, components(found))
-        elif turn and turn % 2 == 0:
-            break
+
+    link(star(classed(members), "bucket"))
+    keys = durable(prefix_keys(texts, idf, threshold))
+    keys = durable(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"))
+    link(star(classed(keys), "key"))
+    link(each_with_each(classed(keys)))
     rep_of = distinct.select("content", "rep")
     if classes is not None:
         rep_of = rep_of.join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -131,6 +131,56 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def crowded(n, shared=600, own=25, edits=5):
+    """Texts that share a passage and stay below 0.8, and for every tenth one a near copy."""
+    for k in range(n):
+        mine = [f"own{k}x{j}" for j in range(own)]
+        yield " ".join([*(f"tok{j}" for j in range(shared)), *mine])
+        if k % 10 == 0:
+            yield " ".join([*(f"tok{j}" if j % (shared // edits) else f"new{k}x{j}" for j in range(shared)), *(w if j != own // 2 else f"new{w}" for j, w in enumerate(mine))])
+
+
+def chained(n, far):
+    """Near copies of each other, and texts that reach 0.8 with one of them only."""
+    base = [f"tok{j}" for j in range(300)]
+    for k in range(n):
+        one = list(base)
+        for j in (7 * k % 290, (7 * k + 150) % 290):
+            one[j] = f"edit{k}x{j}"
+        yield " ".join(one)
+        if k < far:
+            for j in range(4):
+                one[(7 * k + 25 + 60 * j) % 290] = f"far{k}x{j}"
+            yield " ".join(one)
+
+
+def brute_classes(docs):
+    import pyarrow as pa
+
+    idf = neardup.corpus_idf(docs)
+    known = [(r.doc_id, r.text) for r in docs.collect()]
+    vectors = {}
+    for d, t in known:
+        _, s, w = neardup.weighted(pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t])], ["d", "t"]), 1, idf)
+        vectors[d] = (dict(zip(s.tolist(), w.tolist())), w.sum())
+    root = {d: d for d in vectors}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(vectors, 2):
+        (va, ta), (vb, tb) = vectors[a], vectors[b]
+        m = sum(min(va[k], vb[k]) for k in va.keys() & vb.keys())
+        if m >= 0.8 * (ta + tb - m):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in root}
+
+
+@pytest.mark.parametrize("texts", [pytest.param(lambda: crowded(400), id="crowded")])
+def test_near_duplicates_of_crowded_buckets(spark, texts):
+    common.tune(spark)
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == brute_classes(docs)
+
+
 def test_hilbert_curve_is_continuous():
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     index = hilbert.curve_index([grid[:, k] for k in range(3)], 3)
