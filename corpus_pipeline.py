@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it kept, with the columns of documents;
 the last one returns the packed pieces. Stages are written as Parquet and read again as the next one's docs.
-Null or empty texts pass every stage; an empty table stays empty.
+Null or empty texts pass every stage; an empty table stays empty. Rows are told apart by a key of their own within a
+stage, so null and repeated ids are rows like others: of a near-duplicate class, repeated rows among it, one row stays.
 """
 
 from __future__ import annotations
@@ -11,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import mixing, neardup, packing, suffix, toxicity
-from logloom.llm.common import durable, table, tune
+from logloom.llm.common import durable, row_keyed, table, tune
+
+
+def by_row(keyed: DataFrame, *more: str) -> DataFrame:
+    """The row key as doc_id, for operators that need an id of each row, and the named columns."""
+    return keyed.select(F.col("row_key").alias("doc_id"), *more)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,26 +28,32 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
+    """Keeps one row of each near-duplicate class: the smallest id, null ids last."""
     tune(spark)
-    classes = durable(neardup.near_duplicates(docs))
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    keyed = row_keyed(docs)
+    classes = durable(neardup.near_duplicates(by_row(keyed, "text"))).select(F.col("doc_id").alias("row_key"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
+    kept = classes.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("class_id").agg(first.alias("kept")).select("kept.row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every byte of a passage of 200 bytes or more that occurs elsewhere; documents stay, n_chars follows."""
     tune(spark)
-    cut = suffix.without_repeats(docs, durable(suffix.repeated_spans(docs)))
+    keyed = row_keyed(docs)
+    spans = durable(suffix.repeated_spans(by_row(keyed, "text")))
+    own = keyed.withColumnsRenamed({"doc_id": "own_id", "row_key": "doc_id"})
+    cut = suffix.without_repeats(own, spans).drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that each source meets its target; a repeat is a row of its own."""
     names = docs.columns
-    sized = durable(mixing.keyed(docs))
-    taken = mixing.mix(sized, durable(mixing.targets(sized))).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0")
-    return docs.join(taken, "doc_id").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
+    keyed = row_keyed(docs)
+    sized = durable(mixing.keyed(keyed, "row_key"))
+    taken = mixing.mix(sized, durable(mixing.targets(sized))).select("row_key", F.col("repeats").cast("int").alias("repeats")).where("repeats > 0")
+    return keyed.join(taken, "row_key").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at once; longer single texts form a pass of their own.
@@ -43,6 +44,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs with `row_key`, unique; written, so that every read finds the same keys."""
+    return durable(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def tune(spark: SparkSession, rows: int = 256) -> None:
     """Small Arrow batches, so that a Python worker's memory does not follow the partition's size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, durable, mix, partitions, passes, table, tune, utf8
+from .common import BYTE_CODE, U64, durable, mix, partitions, passes, row_keyed, table, tune, utf8
 
 WINDOW, GRAM, HOT, SHARDS = 200, 32, 4096, 4
 REACH = WINDOW - GRAM  # furthest a window starts before its anchor
@@ -384,6 +384,8 @@ def without_repeats(docs: DataFrame, hits: DataFrame) -> DataFrame:
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    docs = table(spark, sf_dir, "documents")
-    out = remove_repeats(docs, durable(repeated_spans(docs)))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    keyed = row_keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))  # ids may be null or repeated
+    docs = keyed.select(F.col("row_key").alias("doc_id"), "text")
+    out = remove_repeats(docs, durable(repeated_spans(docs))).withColumnRenamed("doc_id", "row_key")
+    out = out.select("row_key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.join(keyed.select("row_key", "doc_id"), "row_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

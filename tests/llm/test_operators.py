@@ -174,7 +174,7 @@ def brute_classes(docs):
     return {d: find(d) for d in root}
 
 
-@pytest.mark.parametrize("texts", [pytest.param(lambda: crowded(400), id="crowded")])
+@pytest.mark.parametrize("texts", [pytest.param(lambda: crowded(400), id="crowded"), pytest.param(lambda: chained(150, 20), id="chained")])
 def test_near_duplicates_of_crowded_buckets(spark, texts):
     common.tune(spark)
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
@@ -234,6 +234,18 @@ def test_packing(spark, odd, empty):
     assert packing.pack(common.durable(packing.pieces(empty, path))).count() == 0
 
 
+def test_packing_of_quoted_marks(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    marks = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = [f"it ends with {m} and goes on" for m in marks] + [m.upper() for m in marks] + ["".join(marks), "é" + marks[0], "<|end of text|>"]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    ids = [np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert got == {k: (len(i), zlib.crc32(i.tobytes())) for k, i in enumerate(ids)}
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.Generator(np.random.PCG64(3))
     n, c = np.unique(np.minimum(2048, rng.lognormal(6, 1, 20_000).astype(int) + 1), return_counts=True)
@@ -283,3 +295,32 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    passage = " ".join(f"pass{k}" for k in range(60))
+    own = lambda k: " ".join(f"only{k}x{j}" for j in range(150))
+    texts = [(None, f"{own(0)} {passage}"), (None, f"{own(1)} {passage}"), (7, own(2)), (7, own(2)), (7, own(3)), (None, own(2)), (None, own(4)), (None, own(4)), (8, None), (None, "")]
+    docs = common.durable(spark.createDataFrame([(d, t, "en", "s", None) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = common.durable(c.drop_near_duplicates(spark, docs, ""))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([texts[0], texts[1], texts[2], texts[4], texts[6], texts[8]], key=str)
+    assert kept.columns == docs.columns
+    cut = common.durable(c.cut_repeated_passages(spark, kept, ""))
+    assert cut.columns == docs.columns and cut.count() == 6
+    assert all(passage not in (r.text or "") for r in cut.collect())
+    assert {(r.doc_id, r.text) for r in c.mix_sources(spark, cut, "").collect()} <= {(r.doc_id, r.text) for r in cut.collect()}
+    twice = common.durable(docs.where("text is not null and text <> ''"))
+    mixed = [(r.doc_id, r.text) for r in c.mix_sources(spark, twice, "").collect()]
+    known = [x for x in texts if x[1]]
+    assert set(mixed) == set(known) and all(known.count(x) <= mixed.count(x) <= 2 * known.count(x) for x in known)
+
+
+def test_repeats_of_null_ids_are_removed(spark, tmp_path):
+    passage = " ".join(f"pass{k}" for k in range(60))
+    rows = [(None, f"first {passage}"), (None, f"second {passage}"), (3, "third alone"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.op2_suffix(spark, str(tmp_path)).collect())
+    n = len(passage) + 1  # and the space before it
+    assert got == sorted([(0, 5 + n, n, 1), (0, 6 + n, n, 1), (3, 11, 0, 0), (0, 0, 0, 0)])
