@@ -25,7 +25,7 @@ from .common import durable, env_path, table, tune
 from .hilbert import ranked
 
 CAPACITY, END, GROUPS = 2048, 0, 40
-#: Texts of these characters alone are split here and looked up by word; others go through the tokenizer whole.
+#: Texts of these characters alone, without the content of an added token, are split here and looked up by word; others go through the tokenizer whole.
 PLAIN = regex.compile("[\\t\\n\\r -~¡-ſ]*")
 PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CACHED_WORDS = 500_000
@@ -51,7 +51,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.marks = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.model, self.letters, self.cache = self.whole.model, byte_letters(), {}
 
     def word(self, w: str) -> list[int]:
@@ -62,11 +62,12 @@ class WordIds:
         return ids
 
     def text(self, s: str) -> list[int]:
-        if not PLAIN.fullmatch(s):
+        low = s.lower()
+        if not PLAIN.fullmatch(s) or any(m in low for m in self.marks):
             return self.whole.encode(s, add_special_tokens=False).ids
         out: list[int] = []
         cache = self.cache
-        for w in PART.findall(s.lower()):
+        for w in PART.findall(low):
             ids = cache.get(w)
             out += self.word(w) if ids is None else ids
         return out
