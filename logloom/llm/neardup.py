@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Tokens, durable, mix, partitions, passes, shingles, table, tune, utf8
@@ -202,7 +202,7 @@ def crowded_slots(texts: DataFrame, idf: Idf) -> np.ndarray:
         n = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in passes(batches):
             n += np.bincount(slot_of(weighted(batch, 1, shared.value)[1]), minlength=len(n))
-        at = np.flatnonzero(n >= max(8, 4 * n.mean()))
+        at = np.flatnonzero(n >= max(2, 2 * n.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
 
     found = texts.select("rep", "text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -266,8 +266,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = durable(docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")))
     # weighted Jaccard similarity is at most the quotient of the totals: pairs below it need no comparison, and no link is lost
     close = lambda x, y: F.least(x["total"], y["total"]) >= F.greatest(x["total"], y["total"]) * (threshold - SLACK)
-    # a pair has all it shares from its first common key on, and shares threshold / (1 + threshold) of both totals at least
-    enough = lambda x, y: F.least(x["rest"], y["rest"]) >= (x["total"] + y["total"]) * (threshold / (1 + threshold) - SLACK)
     classes = seen = None  # node, class; pairs compared so far
 
     def classed(df: DataFrame) -> DataFrame:
@@ -286,11 +284,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """All pairs of members of different classes that share a key and may reach the threshold."""
         kinds = df.select("key", "class").distinct()
         mixed = durable(df.join(kinds.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
-        kinds = mixed.select("key", "class").distinct()
-        met = kinds.withColumnRenamed("class", "class_a").join(kinds.withColumnRenamed("class", "class_b"), "key").where("class_a < class_b")
-        side = lambda c: mixed.select("key", F.col("class").alias(f"class_{c}"), F.struct("rep", "class", "total", "rest").alias(c))
-        both = met.join(side("a"), ["key", "class_a"]).join(side("b"), ["key", "class_b"])
-        both = both.where(close(F.col("a"), F.col("b")) & enough(F.col("a"), F.col("b")))
+        # the bounds of a pair, first with a class's widest values, then with one member's, then with both members'
+        kinds = mixed.groupBy("key", "class").agg(F.min("total").alias("lo"), F.max("total").alias("hi"), F.max("rest").alias("rest"))
+        kind = lambda c: kinds.select("key", F.col("class").alias(f"class_{c}"), F.struct("lo", "hi", "rest").alias(f"kind_{c}"))
+        side = lambda c: mixed.select("key", F.col("class").alias(f"class_{c}"), F.struct("rep", "class", F.col("total").alias("lo"), F.col("total").alias("hi"), "rest").alias(c))
+
+        def may(x: Column, y: Column) -> Column:
+            near = (x["hi"] >= y["lo"] * (threshold - SLACK)) & (y["hi"] >= x["lo"] * (threshold - SLACK))
+            # a pair has all it shares from its first common key on, and shares threshold / (1 + threshold) of both totals at least
+            return near & (F.least(x["rest"], y["rest"]) >= (x["lo"] + y["lo"]) * (threshold / (1 + threshold) - SLACK))
+
+        x, y = kind("a").alias("x"), kind("b").alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("class_a") < F.col("class_b")) & may(F.col("kind_a"), F.col("kind_b"))).select("x.key", "class_a", "class_b", "kind_b")
+        met, one = met.alias("m"), side("a").alias("s")
+        met = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_a") == F.col("s.class_a")) & may(F.col("a"), F.col("kind_b"))).select("m.key", "class_b", "a")
+        met, one = met.alias("m"), side("b").alias("s")
+        both = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_b") == F.col("s.class_b")) & may(F.col("a"), F.col("b")))
         return both.select(F.struct("a.rep", "a.class").alias("me"), F.struct("b.rep", "b.class").alias("other"))
 
     def link(met: DataFrame) -> None:
