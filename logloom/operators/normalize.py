@@ -6,6 +6,7 @@ All windows and groups are keyed by session, so one shuffle by session serves th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,8 +79,11 @@ def bounded(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
 
-def normalise(lines: DataFrame, tool: str, max_turn_chars: int = MAX_TURN_CHARS, max_output_chars: int = MAX_TOOL_OUTPUT_CHARS) -> Normalised:
-    """Numbered lines (source_path, line, value) of one tool -> flat tables. Every source path gives a session."""
+def normalise(lines: DataFrame, tool: str, max_turn_chars: int = MAX_TURN_CHARS, max_output_chars: int = MAX_TOOL_OUTPUT_CHARS, files: DataFrame | None = None, too_large: DataFrame | None = None) -> Normalised:
+    """Numbered lines (source_path, line, value) of one tool -> flat tables. Every source path of `files` (of the lines, if none is given) gives a session.
+
+    files(source_path) holds empty, blank and oversized files too; too_large(source_path, code) is size_guard's second table.
+    """
     read = checked(lines.withColumn("session_key", F.col("source_path")), tool)
     good = read.where("problem IS NULL")
     p: Parsed = ADAPTERS[tool](good.select("session_key", "line", "value"))
@@ -121,12 +125,15 @@ def normalise(lines: DataFrame, tool: str, max_turn_chars: int = MAX_TURN_CHARS,
     tool_calls = blocks.where("kind = 'tool_use'").select("session_key", "turn_index", F.col("block_pos").alias("call_pos"), F.col("tool_use_id").alias("id"), "name", "input", "output", "status")
     warn = lambda df, code: df.select("session_key", (F.lit(code) if isinstance(code, str) else code).alias("code"), F.col("line").cast("int").alias("line"))
     warnings = warn(read.where("problem IS NOT NULL"), F.col("problem")).union(warn(p.warnings, F.col("code"))).union(warn(orphans, "unmatched_tool_result")).union(warn(blocks.where("cut"), "truncated_turn")).union(warn(results.where(cut), "truncated_tool_output"))
-    sessions = build_sessions(lines, tool, p, turns)
+    if too_large is not None:
+        warnings = warnings.union(too_large.select(F.col("source_path").alias("session_key"), "code", F.lit(None).cast("int").alias("line")))
+    paths = [x.select("source_path") for x in (lines, files, too_large) if x is not None]
+    sessions = build_sessions(reduce(DataFrame.union, paths), tool, p, turns)
     return Normalised(sessions, turns.select("session_key", "turn_index", turn_id.alias("turn_id"), "role", F.col("ts").alias("timestamp"), F.col("line").alias("source_line")), blocks.drop("cut", "line", "pos"), tool_calls, warnings)
 
 
-def build_sessions(lines: DataFrame, tool: str, p: Parsed, turns: DataFrame) -> DataFrame:
-    files = lines.select(F.col("source_path").alias("session_key")).distinct()
+def build_sessions(paths: DataFrame, tool: str, p: Parsed, turns: DataFrame) -> DataFrame:
+    files = paths.select(F.col("source_path").alias("session_key")).distinct()
     counts = turns.groupBy("session_key").agg(F.count("*").alias("turn_count"), F.min(F.nullif(F.col("ts"), F.lit(""))).alias("started_at"), F.max(F.nullif(F.col("ts"), F.lit(""))).alias("ended_at"))
     used = session_usage(group_usage(p.records))
     if tool == "codex":

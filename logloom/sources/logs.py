@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TOOL, INVENTORY_LIMIT, MAX_FILE_BYTES, TOOL_A_LINE_TYPES, TOOL_B_LINE_TYPES, TOOLS
@@ -14,17 +14,27 @@ ADAPTER_VERSIONS = {"claude-code": "0.1.1", "codex": "0.1.1", "gemini": "0.1.1-e
 # --- end of fixed values -------------------------------------------------------------------------
 
 
+def _paths(tool: str, root: str) -> str:
+    tails = {"claude-code": "/{*,*/*}.jsonl", "codex": "", "gemini": "/*/chats/session-*.jsonl"}
+    if tool not in tails:
+        raise ValueError(f"unknown tool {tool!r}")
+    return root.rstrip("/") + tails[tool]
+
+
+def _reader(spark: SparkSession, tool: str, kind: str) -> DataFrameReader:
+    read = spark.read.format(kind)
+    return read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl") if tool == "codex" else read
+
+
+def file_table(spark: SparkSession, tool: str, root: str) -> DataFrame:
+    """Every file of one tool's root by the driver's file index, since scans skip empty files: tool, source_path (local ones spelt as _metadata spells them)."""
+    found = _reader(spark, tool, "text").load(_paths(tool, root)).inputFiles()
+    return spark.createDataFrame([(tool, path.replace("file:///", "file:/", 1)) for path in found], "tool string, source_path string")
+
+
 def log_files(spark: SparkSession, tool: str, root: str) -> DataFrame:
     """Raw lines of one tool's root: value, source_path, file_size, block_start. A missing root raises AnalysisException."""
-    root = root.rstrip("/")
-    if tool == "claude-code":
-        raw = spark.read.text(f"{root}/{{*,*/*}}.jsonl")
-    elif tool == "codex":
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").text(root)
-    elif tool == "gemini":
-        raw = spark.read.text(f"{root}/*/chats/session-*.jsonl")
-    else:
-        raise ValueError(f"unknown tool {tool!r}")
+    raw = _reader(spark, tool, "text").load(_paths(tool, root))
     m = F.col("_metadata")
     return raw.select(F.lit(tool).alias("tool"), "value", m["file_path"].alias("source_path"), m["file_size"].alias("file_size"), m["file_block_start"].alias("block_start"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalise
-from ..sources.logs import numbered
+from ..sources.logs import numbered, size_guard
 
 
 def ingest(spark: SparkSession, path: str, tool: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -18,7 +18,8 @@ def ingest(spark: SparkSession, path: str, tool: str, checkpoint: str, sink: Cal
     lines = spark.readStream.text(path).select("value", m["file_path"].alias("source_path"), m["file_size"].alias("file_size"), m["file_block_start"].alias("block_start"))
 
     def each(batch: DataFrame, k: int) -> None:
-        sink(normalise(numbered(batch), tool).sessions, k)
+        small, big = size_guard(batch)
+        sink(normalise(numbered(small), tool, files=batch, too_large=big).sessions, k)
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -84,6 +84,17 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_every_file_gives_a_session(spark, tmp_path):
+    write(tmp_path / "a" / "x.jsonl", [said("user", 0, "hello")])
+    write(tmp_path / "a" / "large.jsonl", [said("user", 0, "hello" * 200)])
+    (tmp_path / "a" / "empty.jsonl").write_text("")
+    (tmp_path / "a" / "blank.jsonl").write_text("\n \n")
+    small, big = logs.size_guard(logs.log_files(spark, "claude-code", str(tmp_path)), 500)
+    n = normalize.normalise(logs.numbered(small), "claude-code", files=logs.file_table(spark, "claude-code", str(tmp_path)), too_large=big)
+    assert sorted((r.id, r.turn_count) for r in n.sessions.collect()) == [("blank", 0), ("empty", 0), ("large", 0), ("x", 1)]
+    assert [(r.session_key.split("/")[-1], r.code) for r in n.warnings.collect()] == [("large.jsonl", "file_too_large")]
+
+
 def test_guard_sniff_and_missing_roots(spark, tmp_path):
     write(tmp_path / "a" / "x.jsonl", [{"type": "user", "message": {}}])
     raw = logs.log_files(spark, "claude-code", str(tmp_path))
