@@ -1,16 +1,18 @@
 """Op 4. Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-1. Byte-equal texts collapse to one representative by a digest (grouped, so a huge group of copies is one row).
-2. Shingles of five words weigh tf * idf; the idf of a shingle is the mean of its words' smoothed idf
-   (shingles themselves are nearly all unique, so words carry the corpus statistics), counted over all
-   documents. Words rarer than RARE of the documents share one idf: the table of all others has at most
-   (mean distinct words a document) / RARE rows, whatever the corpus, so it may be broadcast.
-3. Consistent weighted samples of the weight vector, in BANDS bands of ROWS; equal bands meet in a bucket.
-4. Two rounds link what is near at once, each comparing one member a class with a pivot: first in the buckets, then
-   under shared prefix keys. They only save comparisons; nothing rests on them.
-5. The rest is exact. Every 0.8 pair shares a prefix key: order shingles alike for all texts (by a rough count, rarest first) and
-   take those before which the rest still holds 0.8 of the weight. Members of different classes that share a key, each with
-   each, are compared unless total weights or the weight left from the key on rule the threshold out.
+1. Byte-equal texts collapse to one node by a digest (grouped, so a huge group of copies is one row).
+2. Shingles of five words weigh tf * idf, with a smoothed idf from the number of documents that hold the shingle,
+   over all documents. Shingles in fewer than RARE of the documents share one idf: the table of all others has at most
+   (mean distinct shingles a document) / RARE rows, whatever the corpus, so it may be broadcast. It is found in
+   two passes: counts by slot of a hash, then exact counts of the shingles in slots that can hold a common one.
+3. Consistent weighted samples of the weight vector, in BANDS bands of ROWS; equal bands meet in a bucket. A shingle's
+   draws come from its own hash, by the inverse distribution functions.
+4. A few rounds link what is near at once: under shared prefix keys (5.) one member a class is compared with a pivot,
+   and ever more pivots are tried. They only save comparisons; nothing rests on them.
+5. The rest is exact. Every 0.8 pair shares a prefix key: order shingles alike for all texts (by their count among the
+   texts in buckets, rarest first) and take those before which the rest still holds 0.8 of the weight. Members of
+   different classes that share a key, each with each, are compared unless total weights or the weight left
+   from the key on rule the threshold out.
    So every link between two members of buckets is found, whatever the bucket's or the class's size. A text that shares
    no bucket at all is compared with none: a pair of 0.8 meets in no band with a chance of about 0.0002.
 
@@ -18,119 +20,144 @@ Verification is exact weighted Jaccard similarity over whole texts; linked class
 
 Defined results: texts are compared as lower-cased words (letters and digits); fewer than five words are
 one shingle; null and empty texts, and texts without a word, equal only byte-equal ones (null counts as empty); repeated
-rows are copies of each other; an empty table gives no rows; extra columns are ignored.
+rows are copies of each other; different texts under one id, or under none, stay different texts, and a class without
+any id has a negative number as class_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Tokens, durable, mix, partitions, passes, shingles, table, tune, utf8
 
 WORDS, THRESHOLD, RARE = 5, 0.8, 0.01
-BANDS, ROWS, DRAWS = 12, 3, 1 << 14
-#: Slots of the rough shingle count (a power of two), and what floats may lose in a bound.
-SLOT_BITS, SLACK = 18, 1e-5
+BANDS, ROWS = 12, 3
+#: Slots of the first count (a power of two), and what floats may lose in a bound.
+SLOT_BITS, SLACK = 17, 1e-5
+#: Orders of members that keys deal out, by round.
+PIVOTS = (8, 64, 512, 4096)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, documents that hold it) over all documents, summed in each task first."""
+def content(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
-    def count(batches):
-        held, size = [], 0
+
+def vectors(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, shingle, how often), distinct and ordered by doc and shingle; shingles have 52 bits."""
+    t = Tokens(*utf8(batch.column(column), lower=True), punctuation=False)
+    s, d = shingles(t.hashes(), t.doc, batch.num_rows, WORDS)
+    key = np.sort((d.astype(U64) << U64(52)) | (s >> U64(12)))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> U64(52)).astype(np.int64), key & U64((1 << 52) - 1), tf
+
+
+def slot_of(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> U64(52 - SLOT_BITS)).astype(np.int64)
+
+
+def common_shingles(docs: DataFrame, least: float) -> DataFrame:
+    """docs(doc_id, text) -> shingle, docs: every shingle that `least` documents or more hold, with its exact count."""
+
+    def by_slot(batches):
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in passes(batches):
+            n += np.bincount(slot_of(vectors(batch, 1)[1]), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    texts = docs.select("doc_id", "text")
+    slots = texts.mapInArrow(by_slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least)).select("slot")
+    full = np.zeros(1 << SLOT_BITS, bool)
+    full[slots.toArrow()["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(full)
+
+    def exact(batches):
+        held = []
 
         def merged():
-            w = np.concatenate([x for x, _ in held])
-            n = np.concatenate([x for _, x in held])
-            order = np.argsort(w)
-            w, n = w[order], n[order]
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            return w[first], np.add.reduceat(n, first)
+            every = np.concatenate([s for s, _ in held])
+            order = np.argsort(every)
+            every, n = every[order], np.concatenate([n for _, n in held])[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            return every[first], np.add.reduceat(n, first)
 
+        size = 0
         for batch in passes(batches):
-            t = Tokens(*utf8(batch.column(1), lower=True), punctuation=False)
-            if not t.n:
-                continue
-            order = np.lexsort((t.doc, h := t.hashes()))
-            h, d = h[order], t.doc[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-            w, n = np.unique(h[new], return_counts=True)
-            held.append((w, n))
-            size += len(w)
+            s = vectors(batch, 1)[1]
+            s, n = np.unique(s[shared.value[slot_of(s)]], return_counts=True)
+            held.append((s, n))
+            size += len(s)
             if size > 1 << 21:
                 held = [merged()]
                 size = len(held[0][0])
-        if held:
-            w, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "docs"])
+        if size:
+            s, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "docs"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    found = texts.mapInArrow(exact, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+    return found.where(F.col("docs") >= F.lit(least))
 
 
 class Idf:
-    """Smoothed idf by word hash; words that are not in the table are rare."""
+    """Smoothed idf by shingle; shingles that are not in the table are rare."""
 
-    def __init__(self, words: np.ndarray, docs: np.ndarray, n: int):
-        order = np.argsort(words)
-        self.words = words[order]
+    def __init__(self, shingle: np.ndarray, docs: np.ndarray, n: int):
+        order = np.argsort(shingle)
+        self.shingle = shingle[order]
         self.idf = 1 + np.log((1 + n) / (1 + docs[order]))
         self.rare = 1 + np.log((1 + n) / (1 + RARE * n))
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(h), self.rare)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, np.minimum(self.idf[at], self.rare), self.rare)
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingle):
+            return np.full(len(s), self.rare)
+        at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        return np.where(self.shingle[at] == s, np.minimum(self.idf[at], self.rare), self.rare)
 
 
 def corpus_idf(docs: DataFrame) -> Idf:
     n = docs.count()
-    common = word_counts(docs).where(F.col("docs") >= F.lit(RARE * n)).toArrow()
-    return Idf(common["word"].to_numpy().view(U64), common["docs"].to_numpy().astype(float), n)
+    common = common_shingles(docs, RARE * n).toArrow()
+    return Idf(common["shingle"].to_numpy().view(U64), common["docs"].to_numpy().astype(float), n)
 
 
 def weighted(batch: pa.RecordBatch, column: int, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, shingle, weight), ordered by doc and shingle."""
-    t = Tokens(*utf8(batch.column(column), lower=True), punctuation=False)
-    h = t.hashes()
-    s, d = shingles(h, t.doc, batch.num_rows, WORDS)
-    each = np.concatenate([[0], np.cumsum(idf.of(h))])
-    count = np.bincount(t.doc, minlength=batch.num_rows)
-    begin = np.cumsum(count) - count
-    runs = np.maximum(count - WORDS + 1, (count > 0).astype(int))
-    at = np.arange(len(s)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(begin, runs)
-    width = np.repeat(np.minimum(count, WORDS), runs)
-    mean = (each[at + width] - each[at]) / np.maximum(width, 1)
-    key = (d.astype(U64) << U64(52)) | (s >> U64(12))
-    order = np.argsort(key)
-    key, mean = key[order], mean[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    tf = np.diff(np.append(first, len(key)))
-    key = key[first]
-    return (key >> U64(52)).astype(np.int64), key & U64((1 << 52) - 1), mean[first] * tf
+    d, s, tf = vectors(batch, column)
+    return d, s, tf * idf.of(s)
+
 
+def _gamma_quantiles(bits: int) -> np.ndarray:
+    """Gamma(2, 1) at the middles of 2**bits equal shares: its distribution function is 1 - (1 + x) exp(-x)."""
+    x = np.concatenate([np.geomspace(1e-4, 1, 1 << 14), np.linspace(1, 40, 1 << 16)[1:]])
+    return np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), 1 - (1 + x) * np.exp(-x), x)
 
-_rng = np.random.Generator(np.random.PCG64(90210))
-_r = _rng.gamma(2, 1, DRAWS).astype(np.float32)
-_c = np.log(_rng.gamma(2, 1, DRAWS)).astype(np.float32)
-_b = _rng.uniform(0, 1, DRAWS).astype(np.float32)
+
+_BITS = 14
+_R = _gamma_quantiles(_BITS).astype(np.float32)
+_C = np.log(_gamma_quantiles(_BITS)).astype(np.float32)
 _STEP = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
-def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(documents that have shingles, their BANDS * ROWS consistent weighted samples as hashes)."""
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     log_w = np.log(weight).astype(np.float32)
     reps = np.diff(np.append(first, len(doc)))
     out = np.zeros((len(first), BANDS * ROWS), U64)
     for j in range(BANDS * ROWS if len(first) else 0):
-        at = ((shingle * _STEP[j]) >> U64(64 - 14)).astype(np.int64) if DRAWS == 1 << 14 else None
-        r = _r[at]
-        t = np.floor(log_w / r + _b[at])
-        a = _c[at] - r * (t - _b[at] + 1)
+        x = shingle * _STEP[j]
+        x ^= x >> U64(32)
+        x *= U64(0xD6E8FEB86659FD93)  # three fields of its bits are the shingle's draws r, c and b
+        r = _R[(x >> U64(64 - _BITS)).astype(np.int64)]
+        c = _C[((x >> U64(64 - 2 * _BITS)) & U64((1 << _BITS) - 1)).astype(np.int64)]
+        b = ((x >> U64(12)) & U64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
+        t = np.floor(log_w / r + b)
+        a = c - r * (t - b + 1)
         low = np.minimum.reduceat(a, first)
         here = np.flatnonzero(a == np.repeat(low, reps))
         seg = np.searchsorted(first, here, side="right") - 1
@@ -148,7 +175,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
     def sign(batches):
         for batch in passes(batches):
             d, s, w = weighted(batch, 1, shared.value)
-            doc, out = samples(d, s, w, batch.num_rows)
+            doc, out = samples(d, s, w)
             band = np.zeros((len(doc), BANDS), U64)
             for k in range(BANDS):
                 h = np.full(len(doc), k + 1, U64)
@@ -163,8 +190,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, total], ["doc_id", "content", "bands", "total"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("content")).mapInArrow(sign, f"doc_id {kind}, content binary, bands array<long>, total double")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", content(F.col("text"))).mapInArrow(sign, f"doc_id {kind}, content binary, bands array<long>, total double")
 
 
 def similarity(pairs: DataFrame, idf: Idf) -> DataFrame:
@@ -186,49 +212,29 @@ def similarity(pairs: DataFrame, idf: Idf) -> DataFrame:
             sim = shared_w / np.maximum(total - shared_w, 1e-12)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sim)], ["a", "b", "class_a", "class_b", "similarity"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "class_a", "class_b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}, class_a {kind}, class_b {kind}, similarity double")
-
+    return pairs.select("a", "b", "class_a", "class_b", "text_a", "text_b").mapInArrow(compare, "a long, b long, class_a long, class_b long, similarity double")
 
-def slot_of(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> U64(52 - SLOT_BITS)).astype(np.int64)
 
+def prefix_keys(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """texts(node, text) -> node, key, total, rest (weight from the key on): two texts that reach the threshold share a key.
 
-def crowded_slots(texts: DataFrame, idf: Idf) -> np.ndarray:
-    """Rough count of texts by shingle slot; slots that no task finds crowded count 0. Any count is right, a good one saves comparisons."""
+    Shingles are ordered by the number of these texts that hold them, rarest first, counted by a shuffle of hashes;
+    what one text alone holds can't be shared and gives no row.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
-    def count(batches):
-        n = np.zeros(1 << SLOT_BITS, np.int64)
+    def spread(batches):
         for batch in passes(batches):
-            n += np.bincount(slot_of(weighted(batch, 1, shared.value)[1]), minlength=len(n))
-        at = np.flatnonzero(n >= max(2, 2 * n.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
-
-    found = texts.select("rep", "text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def prefix_keys(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
-    """texts(rep, text) -> rep, key, total, rest (weight from the key on): two texts that reach the threshold share a key."""
-    shared = texts.sparkSession.sparkContext.broadcast((idf, crowded_slots(texts, idf)))
-
-    def cut(batches):
-        idf, crowd = shared.value
-        for batch in passes(batches):
-            d, s, w = weighted(batch, 1, idf)
-            order = np.lexsort((s, crowd[slot_of(s)], d))
-            d, s, w = d[order], s[order], w[order]
-            total = np.bincount(d, w, minlength=batch.num_rows)
-            before = np.cumsum(total) - total
-            rest = total[d] - (np.cumsum(w) - w - before[d])
-            keep = np.flatnonzero(rest >= (threshold - SLACK) * total[d])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[keep])), pa.array(s[keep].view(np.int64)), pa.array(total[d[keep]].astype(np.float32)), pa.array(rest[keep].astype(np.float32))], ["rep", "key", "total", "rest"])
+            d, s, w = weighted(batch, 1, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w.astype(np.float32))], ["node", "key", "w"])
 
-    kind = texts.schema["rep"].dataType.simpleString()
-    return texts.select("rep", "text").mapInArrow(cut, f"rep {kind}, key long, total float, rest float")
+    held = durable(texts.select("node", "text").mapInArrow(spread, "node long, key long, w float"))
+    counts = held.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    up_to = Window.partitionBy("node").orderBy(F.coalesce("texts", F.lit(1)), "key").rowsBetween(Window.unboundedPreceding, -1)
+    w = F.col("w").cast("double")
+    placed = held.join(counts, "key", "left").select("node", "key", "texts", w.alias("w"), F.coalesce(F.sum(w).over(up_to), F.lit(0.0)).alias("before"), F.sum(w).over(Window.partitionBy("node")).alias("total"))
+    rest = F.col("total") - F.col("before")
+    return placed.where((rest >= F.col("total") * (threshold - SLACK)) & F.col("texts").isNotNull()).select("node", "key", F.col("total").cast("float").alias("total"), rest.cast("float").alias("rest"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,77 +261,91 @@ def rejoined(classes: DataFrame | None, merged: DataFrame) -> DataFrame:
     return durable(moved.union(merged.join(classes.select("node"), "node", "left_anti").select("node", "class")))
 
 
+def star(keys: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of one member a class with a key's pivot. Keys deal out `pivots` orders of the members, so that keys of the
+    same members meet different pivots; partial aggregation, so a large class is one row a task."""
+    order = F.xxhash64("node", F.pmod("key", F.lit(pivots)), F.lit(pivots))
+    one = keys.groupBy("key", "class").agg(F.min(F.struct(order.alias("o"), "node", "total")).alias("m")).select("key", "class", "m.*")
+    pivot = one.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("o", "node", "class", "total")).alias("pivot")).where("size > 1")
+    met = one.join(pivot, "key").where((F.col("node") != F.col("pivot.node")) & close(F.col("total"), F.col("pivot.total")))
+    return met.select(F.struct("node", "class").alias("me"), F.struct("pivot.node", "pivot.class").alias("other"))
+
+
+def close(x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
+    """Weighted Jaccard similarity is at most the quotient of the totals: pairs below it need no comparison, and no link is lost."""
+    return F.least(x, y) >= F.greatest(x, y) * (threshold - SLACK)
+
+
+def each_with_each(keys: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of members of different classes that share a key and may reach the threshold."""
+    kinds = keys.select("key", "class").distinct()
+    mixed = durable(keys.join(kinds.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
+    # the bounds of a pair, first with a class's widest values, then with one member's, then with both members'
+    kinds = mixed.groupBy("key", "class").agg(F.min("total").alias("lo"), F.max("total").alias("hi"), F.max("rest").alias("rest"))
+    kind = lambda c: kinds.select("key", F.col("class").alias(f"class_{c}"), F.struct("lo", "hi", "rest").alias(f"kind_{c}"))
+    side = lambda c: mixed.select("key", F.col("class").alias(f"class_{c}"), F.struct("node", "class", F.col("total").alias("lo"), F.col("total").alias("hi"), "rest").alias(c))
+
+    def may(x: Column, y: Column) -> Column:
+        near = (x["hi"] >= y["lo"] * (threshold - SLACK)) & (y["hi"] >= x["lo"] * (threshold - SLACK))
+        # a pair has all it shares from its first common key on, and shares threshold / (1 + threshold) of both totals at least
+        return near & (F.least(x["rest"], y["rest"]) >= (x["lo"] + y["lo"]) * (threshold / (1 + threshold) - SLACK))
+
+    x, y = kind("a").alias("x"), kind("b").alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("class_a") < F.col("class_b")) & may(F.col("kind_a"), F.col("kind_b"))).select("x.key", "class_a", "class_b", "kind_b")
+    met, one = met.alias("m"), side("a").alias("s")
+    met = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_a") == F.col("s.class_a")) & may(F.col("a"), F.col("kind_b"))).select("m.key", "class_b", "a")
+    met, one = met.alias("m"), side("b").alias("s")
+    both = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_b") == F.col("s.class_b")) & may(F.col("a"), F.col("b")))
+    return both.select(F.struct("a.node", "a.class").alias("me"), F.struct("b.node", "b.class").alias("other"))
+
+
+def classed(df: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """df with the class of each node; a node that is in no class yet is its own."""
+    if classes is None:
+        return df.withColumn("class", F.col("node"))
+    return df.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id (smallest doc_id of the class), representative (of byte-equal texts)."""
     idf = corpus_idf(docs)
     signed = durable(signatures(docs, idf))
-    distinct = durable(signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("total").alias("total")))
-    rows = distinct.select("rep", "total", F.explode("bands").alias("bucket"))
+    distinct = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("total").alias("total"))
+    distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))  # written, so that every read finds the same nodes
+    rows = distinct.select("node", F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = durable(rows.join(many, "bucket").select("rep", "total", "bucket"))
-    texts = durable(docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")))
-    # weighted Jaccard similarity is at most the quotient of the totals: pairs below it need no comparison, and no link is lost
-    close = lambda x, y: F.least(x["total"], y["total"]) >= F.greatest(x["total"], y["total"]) * (threshold - SLACK)
+    members = rows.join(many, "bucket").select("node").distinct()
+    wanted = distinct.join(members, "node").select("node", "content", F.col("rep").alias("doc_id"))
+    held = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", content(F.col("text")))
+    found = held.join(wanted, (F.col("digest") == F.col("content")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    texts = durable(found.groupBy("node").agg(F.first("text").alias("text")))
+    keys = durable(prefix_keys(texts, idf, threshold))
     classes = seen = None  # node, class; pairs compared so far
 
-    def classed(df: DataFrame) -> DataFrame:
-        if classes is None:
-            return df.withColumn("class", F.col("rep"))
-        return df.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-
-    def star(df: DataFrame, group: str) -> DataFrame:
-        """Pairs of one member a class with the group's pivot; partial aggregation, so a large class is one row a task."""
-        one = df.groupBy(group, "class").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "total")).alias("m")).select(group, "class", "m.*")
-        pivot = one.groupBy(group).agg(F.count("*").alias("size"), F.min(F.struct("o", "rep", "class", "total")).alias("pivot")).where("size > 1")
-        met = one.join(pivot, group).where((F.col("rep") != F.col("pivot.rep")) & close({"total": F.col("total")}, F.col("pivot")))
-        return met.select(F.struct("rep", "class").alias("me"), F.struct("pivot.rep", "pivot.class").alias("other"))
-
-    def each_with_each(df: DataFrame) -> DataFrame:
-        """All pairs of members of different classes that share a key and may reach the threshold."""
-        kinds = df.select("key", "class").distinct()
-        mixed = durable(df.join(kinds.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
-        # the bounds of a pair, first with a class's widest values, then with one member's, then with both members'
-        kinds = mixed.groupBy("key", "class").agg(F.min("total").alias("lo"), F.max("total").alias("hi"), F.max("rest").alias("rest"))
-        kind = lambda c: kinds.select("key", F.col("class").alias(f"class_{c}"), F.struct("lo", "hi", "rest").alias(f"kind_{c}"))
-        side = lambda c: mixed.select("key", F.col("class").alias(f"class_{c}"), F.struct("rep", "class", F.col("total").alias("lo"), F.col("total").alias("hi"), "rest").alias(c))
-
-        def may(x: Column, y: Column) -> Column:
-            near = (x["hi"] >= y["lo"] * (threshold - SLACK)) & (y["hi"] >= x["lo"] * (threshold - SLACK))
-            # a pair has all it shares from its first common key on, and shares threshold / (1 + threshold) of both totals at least
-            return near & (F.least(x["rest"], y["rest"]) >= (x["lo"] + y["lo"]) * (threshold / (1 + threshold) - SLACK))
-
-        x, y = kind("a").alias("x"), kind("b").alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("class_a") < F.col("class_b")) & may(F.col("kind_a"), F.col("kind_b"))).select("x.key", "class_a", "class_b", "kind_b")
-        met, one = met.alias("m"), side("a").alias("s")
-        met = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_a") == F.col("s.class_a")) & may(F.col("a"), F.col("kind_b"))).select("m.key", "class_b", "a")
-        met, one = met.alias("m"), side("b").alias("s")
-        both = met.join(one, (F.col("m.key") == F.col("s.key")) & (F.col("m.class_b") == F.col("s.class_b")) & may(F.col("a"), F.col("b")))
-        return both.select(F.struct("a.rep", "a.class").alias("me"), F.struct("b.rep", "b.class").alias("other"))
-
-    def link(met: DataFrame) -> None:
+    def link(met: DataFrame) -> bool:
         """Compares the pairs that were not compared before, and merges the classes of those that reach the threshold."""
         nonlocal classes, seen
         low, high = F.least("me", "other"), F.greatest("me", "other")
-        pairs = met.select(low.alias("low"), high.alias("high")).select(F.col("low.rep").alias("a"), F.col("high.rep").alias("b"), F.col("low.class").alias("class_a"), F.col("high.class").alias("class_b")).distinct()
+        pairs = met.select(low.alias("low"), high.alias("high")).select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.class").alias("class_a"), F.col("high.class").alias("class_b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        text = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+        text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         checked = durable(similarity(pairs.join(text("a"), "a").join(text("b"), "b").repartition(partitions(docs.sparkSession)), idf))
         seen = checked.select("a", "b") if seen is None else seen.union(checked.select("a", "b"))
-        found = checked.where(F.col("similarity") >= threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        if not found.isEmpty():
-            classes = rejoined(classes, components(found))
-
-    link(star(classed(members), "bucket"))
-    keys = durable(prefix_keys(texts, idf, threshold))
-    keys = durable(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"))
-    link(star(classed(keys), "key"))
-    link(each_with_each(classed(keys)))
-    rep_of = distinct.select("content", "rep")
-    if classes is not None:
-        rep_of = rep_of.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    rep_of = rep_of.select("content", "rep", F.coalesce("class", "rep").alias("class_id") if classes is not None else F.col("rep").alias("class_id"))
-    return signed.select("doc_id", "content").join(rep_of, "content").select("doc_id", "class_id", F.col("rep").alias("representative"))
+        links = checked.where(F.col("similarity") >= threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        if links.isEmpty():
+            return False
+        classes = rejoined(classes, components(links))
+        return True
+
+    for pivots in PIVOTS:
+        if not link(star(classed(keys, classes), pivots)):
+            break
+    link(each_with_each(classed(keys, classes), threshold))
+    of = classed(distinct.select("content", "rep", "node"), classes)
+    own = (F.lit(-1) - F.col("class")).cast(docs.schema["doc_id"].dataType)
+    ids = of.groupBy("class").agg(F.min("rep").alias("least")).select("class", F.coalesce("least", own).alias("class_id"))
+    return signed.select("doc_id", "content").join(of.join(ids, "class"), "content").select("doc_id", "class_id", F.coalesce("rep", "class_id").alias("representative"))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
