@@ -21,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, env_path, table, tune
+from .common import POWERS, U64, durable, env_path, mix, passes, table, tune
 from .hilbert import ranked
 
 CAPACITY, END, GROUPS = 2048, 0, 40
-#: Texts of these characters alone, without the content of an added token, are split here and looked up by word; others go through the tokenizer whole.
-PLAIN = regex.compile("[\\t\\n\\r -~¡-ſ]*")
-PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_WORDS = 500_000
+#: Characters below this are looked up in tables; a text with others, with the content of an added token or with a word of WORD characters or more goes through the tokenizer whole.
+LATIN, WORD, CACHED_WORDS = 0x180, 4096, 1_000_000
+PLAIN = regex.compile("[\\t\\n\\r -~¡-ſ]")
+APOSTROPHE = 39
 
 
 def tokenizer_path() -> str:
@@ -37,40 +37,99 @@ def tokenizer_path() -> str:
     return env_path("LOGLOOM_TOKENIZER", public_tokenizers.path("word_bpe_49k.json"))
 
 
-def byte_letters() -> dict[int, str]:
-    """Byte-level alphabet by its rule: printable bytes stand for themselves, others for 256 onwards."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By character: its small letter, its kind (0 space, 1 letter, 2 number, 3 other), whether the tables hold for it."""
+    chars = [chr(c) for c in range(LATIN)]
+    kind = [0 if c.isspace() else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in chars]
+    lower = [ord(c.lower()) if len(c.lower()) == 1 else LATIN for c in chars]
+    known = [bool(PLAIN.match(c)) and low < LATIN for c, low in zip(chars, lower)]
+    return np.array([*lower, LATIN], np.uint16), np.array([*kind, 3], np.uint8), np.array([*known, False])
 
 
 class WordIds:
-    """Token ids of texts with a bounded cache of words; words never join across their boundaries."""
+    """Token ids of texts. Words are split and hashed for a whole batch at once; each distinct word meets the tokenizer once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.marks = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values() if t.content]
-        self.model, self.letters, self.cache = self.whole.model, byte_letters(), {}
-
-    def word(self, w: str) -> list[int]:
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-        ids = self.cache[w] = [t.id for t in self.model.tokenize(spelt)]
-        return ids
-
-    def text(self, s: str) -> list[int]:
-        low = s.lower()
-        if not PLAIN.fullmatch(s) or any(m in low for m in self.marks):
-            return self.whole.encode(s, add_special_tokens=False).ids
-        out: list[int] = []
-        cache = self.cache
-        for w in PART.findall(low):
-            ids = cache.get(w)
-            out += self.word(w) if ids is None else ids
-        return out
+        self.lower, self.kind, self.plain = _tables()
+        self.code = mix(np.arange(1, LATIN + 2, dtype=U64)) | U64(1)
+        self.reset()
+
+    def reset(self) -> None:
+        self.known, self.first, self.count, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, c: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Adds words of c (hashes ascending): one call of the tokenizer, which splits at the spaces between them."""
+        base = np.cumsum(length + 1) - length - 1
+        spelt = np.full(int((length + 1).sum()), ord(" "), "<u4")
+        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        spelt[place + np.repeat(base, length)] = c[place + np.repeat(start, length)]
+        found = self.whole.encode(spelt.tobytes().decode("utf-32-le"), add_special_tokens=False)
+        count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(start))
+        if len(count) != len(start):
+            raise ValueError("the tokenizer splits words in another way")
+        first = len(self.pool) + np.cumsum(count) - count
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.first, self.count = np.insert(self.known, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.pool = np.append(self.pool, np.array(found.ids, np.uint32))
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, hashes)
+        return np.append(self.known, U64(0))[at] != hashes
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, with END last."""
+        marked = [any(m in s or m in s.lower() for m in self.marks) for s in texts]
+        size = np.array([len(s) for s in texts], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        c = np.minimum(np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), LATIN).astype(np.uint16)
+        c = self.lower[c]
+        kind = self.kind[c]
+        before = np.append(np.uint8(0), kind[:-1])
+        cut = (kind != before) | (kind == 2)
+        # an apostrophe alone before a letter: the contractions 's 't 'm 'd and 're 've 'll are words of their own
+        at = np.flatnonzero((c == APOSTROPHE) & (before != 3))
+        at = at[kind[at + 1] == 1]  # the last character is a line end
+        one, two = c[at + 1], c[np.minimum(at + 2, len(c) - 1)]
+        r, v, e, l = map(ord, "rvel")
+        short = np.isin(one, [*map(ord, "stmd")])
+        long_ = ((one == r) | (one == v)) & (two == e) | (one == l) & (two == l)
+        at, step = at[short | long_], np.where(short, 2, 3)[short | long_]
+        cut[at + 1] = False
+        cut[at + step] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(np.append(start, len(c)))
+        keep = kind[start] > 0
+        start, length = start[keep], length[keep]
+        doc = np.searchsorted(begin, start, side="right") - 1
+        slow = np.array(marked) | (np.add.reduceat(~self.plain[c], begin) > 0)
+        slow[doc[length >= WORD]] = True
+        fast = ~slow[doc]
+        start, length, doc = start[fast], length[fast], doc[fast]
+        word = np.zeros(0, np.int64)
+        if len(start):
+            base = np.cumsum(length) - length
+            place = np.arange(int(length.sum())) - np.repeat(base, length)
+            h = mix(np.add.reduceat(self.code[c[place + np.repeat(start, length)]] * POWERS[place], base) + length.astype(U64))
+            distinct, one, word = np.unique(h, return_index=True, return_inverse=True)
+            new = self.new(distinct)
+            if len(self.known) + int(new.sum()) > CACHED_WORDS:
+                self.reset()
+                new[:] = True
+            if new.any():
+                self.learn(distinct[new], c, start[one[new]], length[one[new]])
+            word = np.searchsorted(self.known, distinct)[word]
+        n, first = self.count[word], self.first[word]
+        per_doc = np.bincount(doc, n, minlength=len(texts)).astype(np.int64)
+        ids = np.full(int(n.sum()) + len(texts), END, "<u4")
+        of = np.repeat(np.cumsum(n) - n, n)
+        place = np.arange(len(of))
+        ids[place + np.repeat(doc, n)] = self.pool[place - of + np.repeat(first, n)]
+        end = np.cumsum(per_doc + 1)
+        return [np.array([*self.whole.encode(s, add_special_tokens=False).ids, END], "<u4") if slow[k] else ids[end[k] - per_doc[k] - 1 : end[k]] for k, s in enumerate(texts)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -81,14 +140,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def cut(batches):
         ids_of = _loaded.setdefault(path, None) or _loaded.__setitem__(path, WordIds(path)) or _loaded[path]
-        for batch in batches:
+        for batch in passes(batches):
             rows = []
-            for d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*(ids_of.text(s) if s else ()), END], "<u4")
-                rows += [(d, k, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.column(0).type), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for d, ids in zip(batch.column(0).to_pylist(), ids_of.texts([s or "" for s in batch.column(1).to_pylist()])):
+                rows += [(d, k, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity])) for k, at in enumerate(range(0, len(ids), capacity))]
+            c = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.column(0).type), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

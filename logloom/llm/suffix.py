@@ -5,13 +5,13 @@ A byte is repeated if a window of WINDOW bytes that covers it starts anywhere el
 1. Anchors. Every window holds 169 grams of 32 bytes; the leftmost of the smallest gram hash is its
    anchor, which depends on the window's bytes alone. Equal windows therefore have equal anchors at equal
    offsets, and meet by anchor. All windows of an anchor lie in its snippet, the 368 bytes around it.
-2. Pre-aggregation. Equal snippets are one row with a count; all windows of a snippet that occurs twice
-   are repeated. Where an anchor has one snippet only, nothing is left to do.
-3. Otherwise an anchor's snippets, aligned at the anchor, are dealt to shards. A shard keeps the
-   Burrows-Wheeler transform of each column: the byte before each suffix, in suffix order. Shards are merged
-   from right to left: the interleave of one column, stably parted by the transforms' bytes, is the interleave
-   of the column before it. No suffix is sorted again; common prefix lengths follow from the range minimum
-   of the column after, and runs of WINDOW or more are the repeated intervals.
+2. Pre-aggregation. Equal snippets of an anchor are one row with a count. An anchor that occurs once has nothing
+   repeated. Hashes only route: whether a window is repeated is read from merged transforms, copies counted.
+3. An anchor's snippets, aligned at the anchor, are dealt to shards, which are built in tasks of their own. A shard
+   keeps the Burrows-Wheeler transform of each column: the byte before each suffix, in suffix order. Another
+   task merges an anchor's transforms from right to left, without the strings: the interleave of one column, stably
+   parted by the transforms' bytes, is the interleave of the column before it. No suffix is sorted again; common prefix
+   lengths follow from the range minimum of the column after, and runs of WINDOW or more are the repeated intervals.
 4. An anchor with more than HOT distinct snippets (a common passage in varied surroundings) is split by
    ranges of window starts: windows of a range share a core of bytes, whose hash is the new anchor, and the
    narrower snippets collapse again. Ranges shrink to single windows, so any group is split exactly.
@@ -118,43 +118,37 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, h long, sid long, pos int, step int, n int")
 
 
-class ShardBwt:
-    """Columns of one shard's aligned strings: suffix order and transform (byte before each suffix)."""
-
-    def __init__(self, strings: np.ndarray, group: np.ndarray):
-        n, width = strings.shape
-        self.group = group
-        self.order = np.empty((width + 1, n), np.int32)
-        self.bwt = np.zeros((width + 1, n), np.uint8)
-        order = np.arange(n)  # strings come by group: past the last column all suffixes of a group are equal
-        for c in range(width, -1, -1):
-            self.order[c] = order
-            if c:
-                before = strings[order, c - 1]
-                self.bwt[c] = before
-                order = order[np.argsort(group[order].astype(np.int32) * 256 + before, kind="stable")]
-
-
-def merge(shards: list[ShardBwt], width: int, starts: int):
-    """For window-start columns starts-1 .. 0: (column, shard, place in the shard, group, common prefix with the row above)."""
-    group = np.concatenate([s.group for s in shards])
-    z = np.concatenate([np.full(len(s.group), k, np.int8) for k, s in enumerate(shards)])
-    first = np.argsort(group, kind="stable")
-    z, group = z[first], group[first]
+def transform(strings: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Burrows-Wheeler transform of aligned strings by column: row c holds the byte before each suffix that starts
+    in column c, in suffix order; places of a group stay together, in the order of the strings past the last column."""
+    n, width = strings.shape
+    bwt = np.zeros((width + 1, n), np.uint8)
+    order = np.arange(n)  # strings come by group: past the last column all suffixes of a group are equal
+    for c in range(width, 0, -1):
+        before = strings[order, c - 1]
+        bwt[c] = before
+        order = order[np.argsort(group[order].astype(np.int32) * 256 + before, kind="stable")]
+    return bwt
+
+
+def merge(shards: list[np.ndarray], groups: list[np.ndarray], starts: int):
+    """Shard transforms and the groups of their places -> for window-start columns starts-1 .. 0: (column, string of each
+    merged place (numbered shard by shard, as past the last column), its group, common prefix with the place above)."""
+    width = len(shards[0]) - 1
+    group = np.concatenate(groups)
+    z = np.concatenate([np.full(len(g), k, np.int8) for k, g in enumerate(groups)])
+    who = np.argsort(group, kind="stable")
+    z, group = z[who], group[who]
     new_group = np.append(True, group[1:] != group[:-1])
     lcp = np.where(new_group, -1, 0).astype(np.int32)
-    place = np.empty(len(z), np.int64)
     for c in range(width, -1, -1):
-        at = [np.flatnonzero(z == k) for k in range(len(shards))]
-        for a in at:
-            place[a] = np.arange(len(a))
         if c < starts:
-            yield c, z, place, group, lcp
+            yield c, who, group, lcp
         if not c:
             return
         symbol = np.empty(len(z), np.int32)
-        for k, s in enumerate(shards):
-            symbol[at[k]] = s.bwt[c]
+        for k, bwt in enumerate(shards):
+            symbol[z == k] = bwt[c]
         key = group * 256 + symbol
         step = np.argsort(key, kind="stable")
         key = key[step]
@@ -166,28 +160,19 @@ def merge(shards: list[ShardBwt], width: int, starts: int):
             bounds = np.column_stack([lo, hi]).ravel()
             low = np.minimum.reduceat(np.append(lcp, 0), bounds)[::2]
             out[near] = low + 1
-        z, lcp = z[step], out
+        z, who, lcp = z[step], who[step], out
 
 
-def repeated_starts(strings: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, starts: int) -> np.ndarray:
-    """Bool (string, window start): another string of the group has the same window at that column.
+def repeated_starts(shards: list[np.ndarray], groups: list[np.ndarray], copies: np.ndarray, low: np.ndarray, high: np.ndarray, starts: int) -> np.ndarray:
+    """Bool (string, window start): the group has the same window at that column twice, copies counted.
 
-    Windows of string i start in columns low[i] .. high[i]; group is ascending.
+    Windows of string i start in columns low[i] .. high[i]; strings are numbered shard by shard.
     """
-    n, width = strings.shape
-    dealt = np.arange(n) % SHARDS
-    rows = [np.flatnonzero(dealt == k) for k in range(SHARDS)]
-    rows = [r for r in rows if len(r)]
-    shards = [ShardBwt(strings[r], group[r].astype(np.int32)) for r in rows]
-    out = np.zeros((n, starts), bool)
-    for c, z, place, _, lcp in merge(shards, width, starts):
-        who = np.empty(n, np.int64)
-        for k, s in enumerate(shards):
-            mine = z == k
-            who[mine] = rows[k][s.order[c][place[mine]]]
+    out = np.zeros((len(low), starts), bool)
+    for c, who, _, lcp in merge(shards, groups, starts):
         valid = (low[who] <= c) & (c <= high[who])
         interval = np.cumsum(lcp < WINDOW)
-        count = np.bincount(interval, valid)
+        count = np.bincount(interval, valid * copies[who])
         out[who, c] = valid & (count[interval] >= 2)
     return out
 
@@ -204,61 +189,112 @@ def spans_of(flags: np.ndarray, base: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), ranges)
 
 
+def whole_groups(batches, keys: int):
+    """Lists of column lists of about BATCH_ROWS rows that end where the first `keys` columns change."""
+    held, count, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        by = np.column_stack([batch.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            mine = tuple(by[s].tolist())
+            if count >= BATCH_ROWS and mine != last:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+            held.append(batch.slice(s, e - s))
+            count += e - s
+            last = mine
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def binary_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[off[0] : off[-1]], off - off[0]
+
+
+SHARD = "h long, shard int, place int, sid long, copies long, low int, high int, base int, span int, bwt binary"
+
+
+def shard_transforms(rows: DataFrame) -> DataFrame:
+    """rows(h, sid, copies, bytes, first, base, span) -> one row a string: its shard's transform at its place, all columns.
+
+    An anchor's strings are dealt to SHARDS shards, and shards to tasks of their own; no task sees another's strings.
+    """
+
+    def build(batches):
+        for t in whole_groups(batches, 2):
+            number = lambda name: t[name].to_numpy()
+            h, shard, first, base, span = map(number, ("h", "shard", "first", "base", "span"))
+            raw, off = binary_rows(t["bytes"])
+            length = np.diff(off)
+            new = np.append(True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]))
+            group = np.cumsum(new) - 1
+            place = np.arange(len(h)) - np.flatnonzero(new)[group]
+            width = int(span.max()) + WINDOW
+            low = first - base
+            strings = np.zeros((len(h), width), np.uint8)
+            row = np.repeat(np.arange(len(h)), length)
+            strings[row, np.arange(len(raw)) - np.repeat(off[:-1] - low, length)] = raw
+            high = np.minimum(low + length - WINDOW, span)
+            bwt = np.ascontiguousarray(transform(strings, group).T)
+            cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(np.arange(len(h) + 1) * (width + 1)), pa.py_buffer(bwt)]).cast(pa.binary())
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), ints(shard), ints(place), pa.array(number("sid")), pa.array(number("copies")), *map(ints, (low, high, base, span)), cells], [x.split()[0] for x in SHARD.split(", ")]
+            )
+
+    dealt = rows.withColumn("shard", F.pmod("sid", F.lit(SHARDS)).cast("int")).select("h", "shard", "sid", "copies", "bytes", "first", "base", "span")
+    return dealt.repartition(partitions(rows.sparkSession), "h", "shard").sortWithinPartitions("h", "shard", "sid").mapInArrow(build, SHARD)
+
+
 def merged_groups(rows: DataFrame) -> DataFrame:
-    """rows(h, sid, bytes, first, base, span), by h -> h, sid, ranges. Whole groups, in batches of bounded size."""
+    """rows(h, sid, copies, bytes, first, base, span) -> h, sid, ranges: the shards' transforms, merged by anchor, whole groups in bounded batches."""
 
-    def solve(held: list):
-        h, sid, data, first, base, span = (np.concatenate(c) if k != 2 else sum(c, []) for k, c in enumerate(zip(*held)))
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        number = lambda name: t[name].to_numpy()
+        h, copies = number("h"), number("copies")
         new = np.append(True, h[1:] != h[:-1])
         group = np.cumsum(new) - 1
-        size = np.bincount(group)[group]
-        keep = np.flatnonzero(size > 1)
-        if not len(keep):
+        keep = np.bincount(group, copies)[group] > 1
+        if not keep.any():
             return None
-        h, sid, first, base, span, group = h[keep], sid[keep], first[keep], base[keep], span[keep], group[keep]
+        t, h, copies, group = t.filter(pa.array(keep)), h[keep], copies[keep], group[keep]
+        shard, span, base, sid = number("shard"), number("span"), number("base"), number("sid")
         starts = int(span.max()) + 1
-        width = starts - 1 + WINDOW
-        strings = np.zeros((len(keep), width), np.uint8)
-        length = np.empty(len(keep), np.int64)
-        for i, k in enumerate(keep):
-            b = np.frombuffer(data[k], np.uint8)
-            strings[i, first[i] - base[i] : first[i] - base[i] + len(b)] = b
-            length[i] = len(b)
-        low = first - base
-        high = np.minimum(low + length - WINDOW, span)
-        flags = repeated_starts(strings, group, low, high, starts)
+        raw, off = binary_rows(t["bwt"])
+        bwt = np.zeros((len(h), starts + WINDOW), np.uint8)  # one column more than a string has bytes
+        size = np.diff(off)
+        bwt[np.repeat(np.arange(len(h)), size), np.arange(len(raw)) - np.repeat(off[:-1], size)] = raw
+        rows = [np.flatnonzero(shard == k) for k in range(SHARDS)]
+        rows = [r for r in rows if len(r)]
+        of = np.concatenate(rows)
+        flags = np.empty((len(h), starts), bool)
+        flags[of] = repeated_starts([bwt[r].T for r in rows], [group[r].astype(np.int32) for r in rows], copies[of], number("low")[of], number("high")[of], starts)
         hit = flags.any(1)
         return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(sid[hit]), spans_of(flags[hit], base[hit])], ["h", "sid", "ranges"])
 
     def run(batches):
-        held, count, last = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = [batch.column(k).to_numpy() if k != 2 else batch.column(2).to_pylist() for k in range(6)]
-            cuts = [0, *(np.flatnonzero(np.diff(c[0])) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if count >= BATCH_ROWS and c[0][s] != last:
-                    if (out := solve(held)) is not None:
-                        yield out
-                    held, count = [], 0
-                held.append([x[s:e] for x in c])
-                count += e - s
-                last = c[0][s]
-        if held and (out := solve(held)) is not None:
-            yield out
-
-    by = rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "sid")
-    return by.select("h", "sid", "bytes", "first", "base", "span").mapInArrow(run, "h long, sid long, ranges array<struct<lo:int,hi:int>>")
+        for t in whole_groups(batches, 1):
+            if (out := solve(t)) is not None:
+                yield out
+
+    by = shard_transforms(rows).repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "shard", "place")
+    return by.mapInArrow(run, "h long, sid long, ranges array<struct<lo:int,hi:int>>")
 
 
 def split(rows: DataFrame, width: int) -> DataFrame:
-    """Rows of crowded groups by narrower ranges of `width` window starts: adds the parents' h and sid."""
+    """Rows of crowded groups by narrower ranges of `width` window starts: adds the parents' h and sid; copies stay."""
 
     def part(batches):
         for batch in batches:
             out = []
-            for h, sid, data, first, base, span in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for h, sid, data, first, base, span, copies in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 last = min(base + span, first + len(data) - WINDOW)
                 for lo in range(base, base + span + 1, width):
                     hi = min(lo + width - 1, base + span)
@@ -269,12 +305,12 @@ def split(rows: DataFrame, width: int) -> DataFrame:
                     sub = data[x - first : hi - first + WINDOW]
                     key = hashlib.blake2b(core, digest_size=8, salt=struct.pack("<ii", lo, hi)).digest()
                     mine = hashlib.blake2b(sub, digest_size=8, salt=struct.pack("<i", x)).digest()
-                    out.append((int.from_bytes(key, "little", signed=True), int.from_bytes(mine, "little", signed=True), sub, x, lo, hi - lo, h, sid))
+                    out.append((int.from_bytes(key, "little", signed=True), int.from_bytes(mine, "little", signed=True), sub, x, lo, hi - lo, h, sid, copies))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), *(pa.array(x, pa.int32()) for x in c[3:6]), pa.array(c[6], pa.int64()), pa.array(c[7], pa.int64())], ["h", "sid", "bytes", "first", "base", "span", "up_h", "up_sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), *(pa.array(x, pa.int32()) for x in c[3:6]), *(pa.array(x, pa.int64()) for x in c[6:9])], ["h", "sid", "bytes", "first", "base", "span", "up_h", "up_sid", "copies"])
 
-    return rows.select("h", "sid", "bytes", "first", "base", "span").mapInArrow(part, "h long, sid long, bytes binary, first int, base int, span int, up_h long, up_sid long")
+    return rows.select("h", "sid", "bytes", "first", "base", "span", "copies").mapInArrow(part, "h long, sid long, bytes binary, first int, base int, span int, up_h long, up_sid long, copies long")
 
 
 def resolve(rows: DataFrame, level: int = 0, hot: int = HOT) -> DataFrame:
@@ -283,17 +319,15 @@ def resolve(rows: DataFrame, level: int = 0, hot: int = HOT) -> DataFrame:
     if level == len(SPLITS) or crowded.isEmpty():
         return merged_groups(rows)
     narrow = durable(split(rows.join(crowded, "h", "left_semi"), SPLITS[level]))
-    one = narrow.groupBy("h", "sid").agg(F.first("bytes").alias("bytes"), F.first("first").alias("first"), F.first("base").alias("base"), F.first("span").alias("span"), F.count("*").alias("copies"))
-    one = durable(one)
-    twice = one.where("copies > 1").select("h", "sid", F.array(F.struct(F.col("base").alias("lo"), (F.col("base") + F.col("span") + WINDOW).alias("hi"))).alias("ranges"))
-    below = resolve(one.drop("copies"), level + 1, hot).union(twice)
+    one = narrow.groupBy("h", "sid").agg(F.first("bytes").alias("bytes"), F.first("first").alias("first"), F.first("base").alias("base"), F.first("span").alias("span"), F.sum("copies").alias("copies"))
+    below = resolve(durable(one), level + 1, hot)
     up = narrow.select("h", "sid", "up_h", "up_sid").join(below, ["h", "sid"]).select(F.col("up_h").alias("h"), F.col("up_sid").alias("sid"), "ranges")
     return merged_groups(rows.join(crowded, "h", "left_anti")).union(up)
 
 
 def snippets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(doc_id, h, sid, pos) -> h, sid, bytes, first, base, span: cut out of the documents."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "sid", "pos")).alias("wanted"))
+    """wanted(doc_id, h, sid, pos, copies) -> h, sid, bytes, first, copies, base, span: cut out of the documents."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "sid", "pos", "copies")).alias("wanted"))
 
     def cut(batches):
         for batch in batches:
@@ -302,12 +336,12 @@ def snippets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = text.as_buffer().to_pybytes()
                 for w in want:
                     a = max(0, w["pos"] - REACH)
-                    out.append((w["h"], w["sid"], data[a : w["pos"] + WINDOW], a - w["pos"]))
+                    out.append((w["h"], w["sid"], data[a : w["pos"] + WINDOW], a - w["pos"], w["copies"]))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int32())], ["h", "sid", "bytes", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64())], ["h", "sid", "bytes", "first", "copies"])
 
-    cut_out = docs.select("doc_id", "text").join(lists, "doc_id").select(F.col("text").cast("binary"), "wanted").mapInArrow(cut, "h long, sid long, bytes binary, first int")
+    cut_out = docs.select("doc_id", "text").join(lists, "doc_id").select(F.col("text").cast("binary"), "wanted").mapInArrow(cut, "h long, sid long, bytes binary, first int, copies long")
     return cut_out.withColumns({"base": F.lit(-REACH), "span": F.lit(REACH)})
 
 
@@ -316,12 +350,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", hot: int = HOT) -> Data
     found = durable(anchors(docs))
     often = found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h")
     place = durable(found.join(often, "h"))
-    by_sid = durable(place.groupBy("h", "sid").agg(F.sum("n").alias("places"), F.min(F.struct("doc_id", "pos")).alias("at")))
-    varied = by_sid.groupBy("h").count().where("count > 1").select("h")
-    wanted = by_sid.join(varied, "h").select("h", "sid", "at.doc_id", "at.pos")
+    by_sid = place.groupBy("h", "sid").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    wanted = by_sid.select("h", "sid", "copies", "at.doc_id", "at.pos")
     partial = resolve(durable(snippets(docs, wanted)), hot=hot)
-    whole = by_sid.where("places > 1").select("h", "sid", F.array(F.struct(F.lit(-REACH).alias("lo"), F.lit(WINDOW).alias("hi"))).alias("ranges"))
-    marks = durable(partial.union(whole).groupBy("h", "sid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    marks = durable(partial.groupBy("h", "sid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     hits = place.join(marks, ["h", "sid"]).select("doc_id", "pos", "step", "n", "ranges")
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "step", "n", "ranges")).alias("hits"))
 
