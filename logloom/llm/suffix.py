@@ -242,8 +242,9 @@ def shard_transforms(rows: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(h)), length)
             strings[row, np.arange(len(raw)) - np.repeat(off[:-1] - low, length)] = raw
             high = np.minimum(low + length - WINDOW, span)
-            bwt = np.ascontiguousarray(transform(strings, group).T)
-            cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(np.arange(len(h) + 1) * (width + 1)), pa.py_buffer(bwt)]).cast(pa.binary())
+            own = span + WINDOW + 1  # columns of an anchor's strings; further ones belong to others of the batch
+            bwt = transform(strings, group).T[np.arange(width + 1) < own[:, None]]
+            cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(np.append(0, np.cumsum(own, dtype=np.int64))), pa.py_buffer(bwt)]).cast(pa.binary())
             ints = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h), ints(shard), ints(place), pa.array(number("sid")), pa.array(number("copies")), *map(ints, (low, high, base, span)), cells], [x.split()[0] for x in SHARD.split(", ")]
