@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Tokens, durable, mix, partitions, passes, shingles, table, tune, utf8
+from .common import U64, Tokens, discard, durable, mix, partitions, passes, shingles, table, tune, utf8
 
 WORDS, THRESHOLD, RARE = 5, 0.8, 0.01
 BANDS, ROWS = 12, 3
@@ -219,7 +219,7 @@ def prefix_keys(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """texts(node, text) -> node, key, total, rest (weight from the key on): two texts that reach the threshold share a key.
 
     Shingles are ordered by the number of these texts that hold them, rarest first, counted by a shuffle of hashes;
-    what one text alone holds can't be shared and gives no row.
+    what one text alone holds can't be shared and gives no row. Written.
     """
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
@@ -234,7 +234,10 @@ def prefix_keys(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     w = F.col("w").cast("double")
     placed = held.join(counts, "key", "left").select("node", "key", "texts", w.alias("w"), F.coalesce(F.sum(w).over(up_to), F.lit(0.0)).alias("before"), F.sum(w).over(Window.partitionBy("node")).alias("total"))
     rest = F.col("total") - F.col("before")
-    return placed.where((rest >= F.col("total") * (threshold - SLACK)) & F.col("texts").isNotNull()).select("node", "key", F.col("total").cast("float").alias("total"), rest.cast("float").alias("rest"))
+    keys = placed.where((rest >= F.col("total") * (threshold - SLACK)) & F.col("texts").isNotNull())
+    keys = durable(keys.select("node", "key", F.col("total").cast("float").alias("total"), rest.cast("float").alias("rest")))
+    discard(held)
+    return keys
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,8 +322,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", content(F.col("text")))
     found = held.join(wanted, (F.col("digest") == F.col("content")) & F.col("id").eqNullSafe(F.col("doc_id")))
     texts = durable(found.groupBy("node").agg(F.first("text").alias("text")))
-    keys = durable(prefix_keys(texts, idf, threshold))
+    keys = prefix_keys(texts, idf, threshold)
     classes = seen = None  # node, class; pairs compared so far
+    tried = []
 
     def link(met: DataFrame) -> bool:
         """Compares the pairs that were not compared before, and merges the classes of those that reach the threshold."""
@@ -331,6 +335,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         checked = durable(similarity(pairs.join(text("a"), "a").join(text("b"), "b").repartition(partitions(docs.sparkSession)), idf))
+        tried.append(checked)
         seen = checked.select("a", "b") if seen is None else seen.union(checked.select("a", "b"))
         links = checked.where(F.col("similarity") >= threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         if links.isEmpty():
@@ -342,6 +347,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not link(star(classed(keys, classes), pivots)):
             break
     link(each_with_each(classed(keys, classes), threshold))
+    discard(texts, keys, *tried)
     of = classed(distinct.select("content", "rep", "node"), classes)
     own = (F.lit(-1) - F.col("class")).cast(docs.schema["doc_id"].dataType)
     ids = of.groupBy("class").agg(F.min("rep").alias("least")).select("class", F.coalesce("least", own).alias("class_id"))

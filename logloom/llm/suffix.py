@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, durable, mix, partitions, passes, row_keyed, table, tune, utf8
+from .common import BYTE_CODE, U64, discard, durable, mix, partitions, passes, row_keyed, table, tune, utf8
 
 WINDOW, GRAM, HOT, SHARDS = 200, 32, 4096, 4
 REACH = WINDOW - GRAM  # furthest a window starts before its anchor
@@ -346,17 +346,20 @@ def snippets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_out.withColumns({"base": F.lit(-REACH), "span": F.lit(REACH)})
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", hot: int = HOT) -> DataFrame:
-    """docs(doc_id, text), doc_id unique -> doc_id, spans: array of byte ranges [lo, hi) that are repeated (may overlap)."""
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs(doc_id, text), doc_id unique -> doc_id, hits: places (pos, step, n) with their repeated byte ranges [lo, hi); written."""
     found = durable(anchors(docs))
     often = found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h")
     place = durable(found.join(often, "h"))
+    discard(found)
     by_sid = place.groupBy("h", "sid").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "pos")).alias("at"))
-    wanted = by_sid.select("h", "sid", "copies", "at.doc_id", "at.pos")
-    partial = resolve(durable(snippets(docs, wanted)), hot=hot)
-    marks = durable(partial.groupBy("h", "sid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    pieces = durable(snippets(docs, by_sid.select("h", "sid", "copies", "at.doc_id", "at.pos")))
+    marks = durable(resolve(pieces, hot=hot).groupBy("h", "sid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    discard(pieces)
     hits = place.join(marks, ["h", "sid"]).select("doc_id", "pos", "step", "n", "ranges")
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "step", "n", "ranges")).alias("hits"))
+    hits = durable(hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "step", "n", "ranges")).alias("hits")))
+    discard(place, marks)
+    return hits
 
 
 def _covered(off: np.ndarray, hits: pa.ListArray) -> np.ndarray:
@@ -419,6 +422,6 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     keyed = row_keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))  # ids may be null or repeated
     docs = keyed.select(F.col("row_key").alias("doc_id"), "text")
-    out = remove_repeats(docs, durable(repeated_spans(docs))).withColumnRenamed("doc_id", "row_key")
+    out = remove_repeats(docs, repeated_spans(docs)).withColumnRenamed("doc_id", "row_key")
     out = out.select("row_key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     return out.join(keyed.select("row_key", "doc_id"), "row_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
