@@ -41,7 +41,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Removes every byte of a passage of 200 bytes or more that occurs elsewhere; documents stay, n_chars follows."""
     tune(spark)
     keyed = row_keyed(docs)
-    spans = durable(suffix.repeated_spans(by_row(keyed, "text")))
+    spans = suffix.repeated_spans(by_row(keyed, "text"))
     own = keyed.withColumnsRenamed({"doc_id": "own_id", "row_key": "doc_id"})
     cut = suffix.without_repeats(own, spans).drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
