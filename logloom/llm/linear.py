@@ -50,14 +50,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, epochs: int
 
 
 def train(sample: DataFrame, rows_of, size: int, shards: int, **kw) -> np.ndarray:
-    """sample(doc_id, text, label) -> weights, averaged over shards.
+    """sample(doc_id, text, label) -> weights, averaged over the shards that have rows.
 
     rows_of(pyarrow batch of doc_id, text) yields (row number, feature ids, values).
     An empty sample, or one with a single label, gives the weights that those rows support (0 for none).
     """
 
     def one(batch: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks().sort_by("doc_id")
+        batch = batch.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
         labels = batch.column("label").to_numpy().astype(float)
         rows, at = [], 0
         for part in passes(batch.select(["doc_id", "text"]).to_batches()):  # bounded slices, as in scoring
@@ -65,13 +65,13 @@ def train(sample: DataFrame, rows_of, size: int, shards: int, **kw) -> np.ndarra
             at += part.num_rows
         w = fit(rows, size, seed=int(batch.column("shard")[0].as_py()), **kw)
         at = np.flatnonzero(w)
-        return pa.table({"feature": at.astype(np.int32), "w": w[at]})
+        return pa.table({"feature": np.append(at, size).astype(np.int32), "w": np.append(w[at], 1.0)})  # the last row counts filled shards
 
     dealt = sample.select("doc_id", "text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     weights = dealt.groupBy("shard").applyInArrow(one, "feature int, w double").groupBy("feature").agg(F.sum("w").alias("w"))
-    found, out = weights.toArrow(), np.zeros(size)  # at most `size` rows of two numbers
-    out[found["feature"].to_numpy()] = found["w"].to_numpy() / shards
-    return out
+    found, out = weights.toArrow(), np.zeros(size + 1)  # at most `size` + 1 rows of two numbers
+    out[found["feature"].to_numpy()] = found["w"].to_numpy()
+    return out[:size] / max(out[size], 1.0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int) -> DataFrame:

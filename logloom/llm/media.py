@@ -156,23 +156,24 @@ def elements(html: str | None) -> list[dict]:
     return [{"position": k, "kind": kind, "text": text, "digest": digest, "caption": caption} for k, (kind, text, digest, caption) in enumerate(page.out)]
 
 
-def parsed(pages: DataFrame, key: str) -> DataFrame:
-    """pages(key, html) -> key, elements."""
+def parsed(pages: DataFrame, key: str, *more: str) -> DataFrame:
+    """pages(key, html, ...) -> key, elements and the other named columns."""
     struct_ = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def parse(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([elements(h) for h in batch.column(1).to_pylist()], struct_)], [key, "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([elements(h) for h in batch.column(1).to_pylist()], struct_), *batch.columns[2:]], [key, "elements", *more])
 
-    return pages.select(key, "html").mapInArrow(parse, f"{key} {pages.schema[key].dataType.simpleString()}, elements {ELEMENTS}")
+    kind = lambda c: f"{c} {pages.schema[c].dataType.simpleString()}"
+    return pages.select(key, "html", *more).mapInArrow(parse, ", ".join([kind(key), f"elements {ELEMENTS}", *map(kind, more)]))
 
 
-def resolved(sequences: DataFrame, key: str, described_media: DataFrame) -> DataFrame:
-    """One row a media reference: key, position, caption, digest and what the store says of it (null: unresolved).
+def resolved(sequences: DataFrame, key: str, described_media: DataFrame, *more: str) -> DataFrame:
+    """One row a media reference: key, position, caption, digest, the named columns and what the store says of it (null: unresolved).
 
     The text elements stay in `sequences`, aligned by position; only references are joined.
     """
-    refs = sequences.select(key, F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")).select(key, "e.position", "e.caption", "e.digest")
+    refs = sequences.select(key, *more, F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")).select(key, *more, "e.position", "e.caption", "e.digest")
     return refs.join(described_media, "digest", "left")
 
 
@@ -193,10 +194,9 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = sized.withColumn("payload", F.concat(F.col("text").cast("binary"), filler)).withColumn("digest", F.sha2("payload", 256))
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     html = F.concat(F.lit("<article><p>"), escaped, F.lit('</p><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
-    seq = parsed(payload.select("doc_id", html.alias("html")), "doc_id")
-    found = resolved(seq, "doc_id", described(store(payload)))
+    seq = parsed(payload.select("doc_id", html.alias("html"), "n_bytes"), "doc_id", "n_bytes")
+    outline = F.transform("elements", lambda e: F.struct(e["position"].alias("position"), e["kind"].alias("kind"), e["caption"].alias("caption"), F.crc32(e["text"]).alias("text_crc32")))
+    found = resolved(seq.withColumn("outline", outline), "doc_id", described(store(payload)), "n_bytes", "outline")
     return found.select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position",
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", F.to_json("outline").alias("elements"),
     )
-
-

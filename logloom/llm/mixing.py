@@ -6,8 +6,12 @@ threshold found without sorting: sizes are summed by (source, hash bucket), the
 budget is found from running sums, and only that bucket's rows are summed again by the next bits.
 A document is taken once more if its hash lies below the threshold, so smaller budgets are nested.
 
+Sources are few against documents: up to BROADCAST_SOURCES of them (counted first) their rows are broadcast, so that a source
+with a third of all documents is no hot key; beyond that they are joined by shuffles. Windows run over sources only.
+
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of its own, last;
-repeated rows share a hash and are taken alike; an empty table gives no rows; extra columns are ignored.
+a row without an id is told apart by its text; rows of one id (or of none and one text) share a hash and are taken alike; no
+row is repeated more than the cap; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL, CAP = 1.5, 2
 #: Bits of the hash and bits that one refinement adds.
 BITS, STEP = 60, 12
+BROADCAST_SOURCES = 50_000
 
 
 def hash60(c: Column) -> Column:
@@ -40,36 +45,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return s.select("key", "source_size", F.least(F.coalesce(F.col("final"), F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, goal: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     """docs(key, size, h, ...) and goal(key, source_size, target) -> docs with source_size, target, repeats."""
+    small = F.broadcast if goal.count() <= BROADCAST_SOURCES else (lambda df: df)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     edge = goal.select("key", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
     for shift in range(BITS - STEP, -1, -STEP):
         at = F.shiftright("h", shift)
-        parts = docs.select("key", "size", "h").join(edge.select("key", "prefix"), "key").where(F.shiftright(at, STEP) == F.col("prefix"))
+        parts = docs.select("key", "size", "h").join(small(edge.select("key", "prefix")), "key").where(F.shiftright(at, STEP) == F.col("prefix"))
         sums = parts.groupBy("key", at.alias("bucket")).agg(F.sum("size").alias("inside"))
         w = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.join(edge.select("key", "budget", "below"), "key").withColumn("below", F.col("below") + F.coalesce(F.sum("inside").over(w), F.lit(0)))
+        sums = sums.join(small(edge.select("key", "budget", "below")), "key").withColumn("below", F.col("below") + F.coalesce(F.sum("inside").over(w), F.lit(0)))
         first = F.struct("bucket", "below", "inside")
         found = sums.groupBy("key", "budget").agg(
             F.coalesce(F.min(F.when(F.col("below") + F.col("inside") > F.col("budget"), first)), F.max(first)).alias("at")
         )
-        edge = found.select("key", "budget", F.col("at.bucket").alias("prefix"), F.col("at.below").alias("below"), F.col("at.inside").alias("inside"))
-        if shift == BITS - STEP:
-            edge = durable(edge)
+        edge = durable(found.select("key", "budget", F.col("at.bucket").alias("prefix"), F.col("at.below").alias("below"), F.col("at.inside").alias("inside")))
     with_edge = F.col("below") + F.col("inside") - F.col("budget") < F.col("budget") - F.col("below")
     last = edge.select("key", F.col("prefix").alias("edge"), with_edge.alias("with_edge"))
     more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("with_edge"))
-    joined = docs.join(goal.select("key", "source_size", "target", "whole").join(last, "key", "left"), "key")
-    return joined.withColumn("repeats", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")).drop("whole", "edge", "with_edge")
+    joined = docs.join(small(goal.select("key", "source_size", "target", "whole").join(last, "key", "left")), "key")
+    repeats = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+    return joined.withColumn("repeats", F.least(repeats, F.lit(cap)).cast("long")).drop("whole", "edge", "with_edge")
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, key (source with null last), size in words, h, and the named columns."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", key.alias("key"), size.alias("size"), F.coalesce(hash60(F.col("doc_id")), F.lit(0)).alias("h"), *more)
+    return docs.select("doc_id", key.alias("key"), size.alias("size"), F.coalesce(hash60(F.col("doc_id")), hash60(F.col("text")), F.lit(0)).alias("h"), *more)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,19 @@
 Vectors become integers. Distances from every vector to a fixed number of pivots are computed once and
 kept beside the vectors in packed blocks. For a query q and a candidate x each pivot p gives the lower
 bound |d(q,p) - d(x,p)| on their distance; the largest of them bounds the score from above by
-(|q|^2 + |x|^2 - bound^2) / 2. Candidates are scored in the order of that bound, in chunks, until the
-k-th best score found is above every bound left: the result is exact.
+(|q|^2 + |x|^2 - bound^2) / 2. Two passes, both over blocks of queries that meet blocks of rows:
 
-Queries are a stated set, met with all rows in blocks: rows of blocks travel, never single pairs.
+1. Each block scores the FIRST candidates of the highest bounds; over all blocks the k-th best score of a query is its floor,
+   which no row of the answer can be below.
+2. Each block scores candidates in the order of their bounds, in chunks of CHUNK, and stops at the first bound below
+   the floor or below the k-th best score found here: what is left can't be in the answer, so the result is exact.
+
+How many candidates are eliminated depends on the vectors: clustered ones stop early, vectors without structure hardly do.
+
+Queries are a stated set, met with all rows in blocks: packed blocks of queries travel to the rows' blocks, never single pairs.
 Defined results: null vectors, vectors with null or non-finite components or of another length than
-most take no part; ties go to the smaller id; fewer than k rows give all; an empty table gives no rows.
+most take no part; ties go to the smaller id; rows without an id take no part; repeated rows count as rows, but never answer
+a query of their own id; fewer than k rows give all; scores are exact as long as they fit 64 bits; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, fresh, table, tune
 
-PIVOTS, BLOCK, QUERY_BLOCK, CHUNK = 48, 4096, 512, 1024
+PIVOTS, BLOCK, QUERY_BLOCK, CHUNK, FIRST = 48, 4096, 512, 64, 64
+#: Whole numbers up to here are exact as floats.
+EXACT = 1 << 53
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -43,83 +52,115 @@ def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
     return x[chosen]
 
 
+PACKED = "slot int, ids binary, vectors binary, distances binary, floors binary"
+
+
 def packed(rows: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
-    """Blocks of at most `block` rows: ids, integer vectors and their pivot table, as bytes."""
-    shared, schema = rows.sparkSession.sparkContext.broadcast(pivots), "ids binary, vectors binary, distances binary"
+    """rows(slot, vec_id, v, floor), by slot within a task -> blocks of at most `block` rows or so of one slot: ids, integer
+    vectors, their pivot table and floors, as bytes."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def pack(batches):
         p = shared.value
-        ids, vectors = [], []
+        held, slot = [], None
 
         def out():
-            x = np.concatenate(vectors).astype(np.int64)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ p.T) + (p * p).sum(1)[None], 0)).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (np.concatenate(ids), x, d)], ["ids", "vectors", "distances"])
+            ids, vectors, floors = (np.concatenate(c) for c in zip(*held))
+            x = vectors.astype(np.int64)
+            xf = x.astype(float)
+            d = np.sqrt(np.maximum((xf * xf).sum(1)[:, None] - 2.0 * (xf @ p.T) + (p * p).sum(1)[None], 0)).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, d, floors))], ["slot", "ids", "vectors", "distances", "floors"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1)
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            vectors.append(v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            if sum(map(len, ids)) >= block:
-                yield out()
-                ids, vectors = [], []
-        if ids:
+            slots = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)] if len(slots) else []
+            for s, e in zip(cuts, cuts[1:]):
+                part = batch.slice(s, e - s)
+                if held and (slots[s] != slot or sum(len(h[0]) for h in held) >= block):
+                    yield out()
+                    held = []
+                slot = int(slots[s])
+                held.append((part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1), part.column(3).to_numpy(zero_copy_only=False).astype(np.int64)))
+        if held:
             yield out()
 
-    return rows.mapInArrow(pack, schema)
+    return rows.select("slot", "vec_id", "v", "floor").mapInArrow(pack, PACKED)
 
 
-def search_block(q_ids, q, q_dist, ids, x, dist, k: int):
-    """The k best of one candidate block for each query of one query block: (query, id, score) arrays."""
-    xf, norm = x.astype(float), (x * x).sum(1)
+def search_block(q_ids, q, q_dist, floors, ids, x, dist, k: int, first_only: bool):
+    """For each query of a block: (query ids, ids, scores, candidates scored) of its best candidates in one block of rows."""
+    xf, qf = x.astype(float), q.astype(float)
+    norm, q_norm = (xf * xf).sum(1), (qf * qf).sum(1)
+    whole = np.abs(xf).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] >= EXACT
     for i in range(len(q_ids)):
-        bound = np.abs(dist - q_dist[i]).max(1).astype(float)
-        bound = np.maximum(bound - 1.0, 0)  # the stored distances are rounded
-        upper = (norm + (q[i] * q[i]).sum() - bound * bound) / 2
+        bound = np.maximum(np.abs(dist - q_dist[i]).max(1).astype(float) - 1.0, 0)  # the stored distances are rounded
+        upper = (norm + q_norm[i] - bound * bound) / 2 + 1e-12 * (norm + q_norm[i])  # and what floats may lose
         upper[ids == q_ids[i]] = -np.inf
-        order = np.argsort(-upper, kind="stable")
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best_s, best_i, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        if first_only and len(upper) > FIRST:
+            order = np.argpartition(-upper, FIRST)[:FIRST]
+        else:
+            order = np.flatnonzero(upper >= floors[i])
+            order = order[np.argsort(-upper[order], kind="stable")]
         for start in range(0, len(order), CHUNK):
             at = order[start : start + CHUNK]
             at = at[upper[at] > -np.inf]
-            if not len(at) or (len(best_s) >= k and upper[at[0]] < best_s[-1]):
+            if not len(at) or (not first_only and len(best_s) >= k and upper[at[0]] < best_s[-1]):
                 break
-            s = (xf[at] @ q[i].astype(float)).astype(np.int64)  # whole numbers below 2**53: exact
+            s = x[at] @ q[i] if whole else (xf[at] @ qf[i]).astype(np.int64)
+            scored += len(at)
             best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, ids[at]])
             top = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[top], best_i[top]
-        yield np.full(len(best_s), q_ids[i]), best_i, best_s
+        yield np.full(len(best_s), q_ids[i]), best_i, best_s, np.full(len(best_s), scored)
 
 
-def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
-    """rows(vec_id, v) -> query_id, rank, vec_id, score."""
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    rows = rows.where(F.size("v") == (width["w"] if width else 0))
-    pivots = choose_pivots(rows)
-    dims = pivots.shape[1] if len(pivots) else 1
-    spread = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
-    blocks = packed(spread, pivots, BLOCK)
-    asked = packed(rows.where(is_query(F.col("vec_id"))).coalesce(4), pivots, QUERY_BLOCK).select(
-        F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("distances").alias("q_distances")
-    )
-    asked = durable(asked)
-    numbers = asked.select("block").agg(F.collect_list("block").alias("block"))  # one number a block of queries
-    tasks = blocks.join(F.broadcast(numbers)).withColumn("block", F.explode("block")).join(asked, "block")
+def search(blocks: DataFrame, asked: DataFrame, k: int, first_only: bool) -> DataFrame:
+    """Blocks of rows and of queries that share a slot -> query_id, vec_id, score, scored (by the block, for the query)."""
+    kind = {"ids": np.int64, "vectors": np.int64, "distances": np.float32, "floors": np.int64}
+    met = blocks.drop("floors").join(asked.select("slot", *(F.col(c).alias(f"q_{c}") for c in kind)), "slot")
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                get = lambda n, t: np.frombuffer(r[n], t)
-                q_ids, ids = get("q_ids", np.int64), get("ids", np.int64)
-                shape = lambda a, n: a.reshape(n, -1)
-                found = [*search_block(q_ids, shape(get("q_vectors", np.int64), len(q_ids)), shape(get("q_distances", np.float32), len(q_ids)), ids, shape(get("vectors", np.int64), len(ids)), shape(get("distances", np.float32), len(ids)), k)]
+                get = lambda n: np.frombuffer(r[n], kind[n.removeprefix("q_")])
+                q_ids, ids = get("q_ids"), get("ids")
+                table_of = lambda n, rows: get(n).reshape(len(rows), -1)
+                found = [*search_block(q_ids, table_of("q_vectors", q_ids), table_of("q_distances", q_ids), get("q_floors"), ids, table_of("vectors", ids), table_of("distances", ids), k, first_only)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score", "scored"])
 
-    near = tasks.select("q_ids", "q_vectors", "q_distances", "ids", "vectors", "distances").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, k).alias("best"))
+    names = ["ids", "vectors", "distances", *(f"q_{c}" for c in kind)]
+    return met.select(*names).mapInArrow(run, "query_id long, vec_id long, score long, scored long")
+
+
+def best_of(near: DataFrame, k: int) -> DataFrame:
+    """query_id, best: its k highest scores (s: negated score, vec_id), at most k rows a block gathered by query."""
+    return near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, k).alias("best"))
+
+
+def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """rows(vec_id, v) -> query_id, rank, vec_id, score."""
+    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    rows = rows.where(F.size("v") == (width["w"] if width else 0))
+    pivots = choose_pivots(rows)
+    pivots = pivots if len(pivots) else np.zeros((1, 1))
+    slots = max(1, -(-(width["count"] if width else 0) // BLOCK))  # a block of rows each
+    lowest = F.lit(-(1 << 62))
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"), "vec_id", "v", lowest.alias("floor"))
+    blocks = durable(packed(dealt.repartition(slots, "slot").sortWithinPartitions("slot"), pivots, BLOCK))
+    queries = rows.where(is_query(F.col("vec_id")))
+
+    def asked(floors: DataFrame | None) -> DataFrame:
+        """Packed queries, a copy for each slot of rows."""
+        own = queries.withColumn("floor", lowest) if floors is None else queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+        own = own.select(F.lit(0).alias("slot"), "vec_id", "v", "floor").dropDuplicates(["vec_id", "v"])
+        once = durable(packed(own, pivots, QUERY_BLOCK))
+        return once.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    first = best_of(search(blocks, asked(None), k, True), k)
+    floors = first.where(F.size("best") >= k).select(F.col("query_id").alias("vec_id"), (-F.col("best")[k - 1]["s"]).alias("floor"))
+    best = best_of(search(blocks, asked(durable(floors)), k, False), k)
     return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 

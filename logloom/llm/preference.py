@@ -8,6 +8,7 @@ everything else, the prompt included, is masked out.
 Defined results: turns are ordered by (turn, role, text), ties and repeated rows stay; null role or
 text counts as empty; rows without a conversation id are no conversation; a conversation without a
 partner gives a row whose other side is null; an empty table gives no rows; extra columns are ignored.
+A conversation is one document: its turns meet in one row, whose size is that of the longest conversation.
 """
 
 from __future__ import annotations
@@ -60,13 +61,13 @@ def pairs(turns: DataFrame, pair: Column, is_chosen: Column) -> DataFrame:
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring conversations pair up: the even id is chosen, the odd one rejected. Spans as text 'start-end,...'."""
-    p = pairs(table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), F.pmod("conv_id", F.lit(2)) == 0)
+    p = pairs(table(spark, sf_dir, "conversations"), F.expr("(conv_id - pmod(conv_id, 2)) div 2"), F.pmod("conv_id", F.lit(2)) == 0)
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return p.withColumns({"chosen_spans": said(F.col("chosen_spans")), "rejected_spans": said(F.col("rejected_spans"))})
 
 
 ORACLE = """
-WITH t AS (SELECT CAST(conv_id AS BIGINT) // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT (CAST(conv_id AS BIGINT) - (conv_id % 2 + 2) % 2) // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
  pre AS (SELECT pair_id, min(i) - 1 AS k FROM (
    SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.i, r.i) AS i, coalesce(c.role = r.role AND c.text = r.text, false) AS same
