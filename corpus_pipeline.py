@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it kept, with the columns of documents;
 the last one returns the packed pieces. Stages are written as Parquet and read again as the next one's docs.
-Null or empty texts pass every stage; an empty table stays empty. Rows are told apart by a key of their own within a
-stage, so null and repeated ids are rows like others: of a near-duplicate class, repeated rows among it, one row stays.
+Null or empty texts pass every stage, once each; an empty table stays empty. Rows are told apart by a key of their own
+within a stage, and travel as one struct, so null and repeated ids are rows like others and extra columns of any name stay: of a
+near-duplicate class, repeated rows among it, one row stays.
 """
 
 from __future__ import annotations
@@ -12,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import mixing, neardup, packing, suffix, toxicity
-from logloom.llm.common import durable, row_keyed, table, tune
+from logloom.llm.common import durable, table, tune
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """document (all columns), row_key; written, so that every read finds the same keys."""
+    return durable(docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("row_key")))
 
 
 def by_row(keyed: DataFrame, *more: str) -> DataFrame:
     """The row key as doc_id, for operators that need an id of each row, and the named columns."""
-    return keyed.select(F.col("row_key").alias("doc_id"), *more)
+    return keyed.select(F.col("row_key").alias("doc_id"), *(F.col(f"document.{c}").alias(c) for c in more))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = row_keyed(docs)
     classes = durable(neardup.near_duplicates(by_row(keyed, "text"))).select(F.col("doc_id").alias("row_key"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
-    kept = classes.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("class_id").agg(first.alias("kept")).select("kept.row_key")
-    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
+    kept = classes.join(keyed.select("row_key", F.col("document.doc_id").alias("doc_id")), "row_key").groupBy("class_id").agg(first.alias("kept")).select("kept.row_key")
+    return keyed.join(kept, "row_key", "left_semi").select("document.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +48,19 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     tune(spark)
     keyed = row_keyed(docs)
     spans = suffix.repeated_spans(by_row(keyed, "text"))
-    own = keyed.withColumnsRenamed({"doc_id": "own_id", "row_key": "doc_id"})
-    cut = suffix.without_repeats(own, spans).drop("doc_id").withColumnRenamed("own_id", "doc_id").select(*docs.columns)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    rest = F.struct(*(F.col("document")[c].alias(c) for c in docs.columns if c != "text"))
+    cut = suffix.without_repeats(keyed.select(F.col("row_key").alias("doc_id"), F.col("document.text").alias("text"), rest.alias("rest")), spans)
+    n = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return cut.select(*(F.col("text") if c == "text" else n.alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source meets its target; a repeat is a row of its own."""
-    names = docs.columns
+    """Repeats or drops documents so that each source meets its target; a repeat is a row of its own. Texts without a word weigh nothing and stay once."""
     keyed = row_keyed(docs)
-    sized = durable(mixing.keyed(keyed, "row_key"))
-    taken = mixing.mix(sized, durable(mixing.targets(sized))).select("row_key", F.col("repeats").cast("int").alias("repeats")).where("repeats > 0")
-    return keyed.join(taken, "row_key").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
+    sized = durable(mixing.keyed(keyed.select("row_key", "document.doc_id", "document.text", "document.source"), "row_key"))
+    repeats = F.when(F.col("size") == 0, 1).otherwise(F.col("repeats")).cast("int")
+    taken = mixing.mix(sized, durable(mixing.targets(sized))).select("row_key", repeats.alias("repeats")).where("repeats > 0")
+    return keyed.join(taken, "row_key").select("document", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("repeat")).select("document.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
