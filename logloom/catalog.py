@@ -97,20 +97,37 @@ query("a19_costs", _PRICED + f"SELECT {_COSTS} FROM es")(lambda s, d: stats.cost
 query("a24_coverage", _PRICED + "SELECT count(*) FILTER (WHERE cost_usd IS NOT NULL OR est IS NOT NULL) AS priced_sessions, count(*) AS sessions, round(coalesce(sum(tokens) FILTER (WHERE cost_usd IS NULL AND est IS NULL), 0) / sum(tokens) * 100, 1) AS unpriced_share FROM es")(
     lambda s, d: stats.coverage(stats.cost_partition(_estimated(s, d), True), stats.totals(_facts(s, d)))
 )
+_WARN = _WARN_SQL = "SELECT event_id AS ord, event_type AS code, 'm' || (user_id % 3) AS message, 'session' AS scope, user_id % 5 AS line, 's' || (user_id % 7) AS session_id, '/logs/' || (user_id % 4) AS source_path, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity FROM events"
+_WHOLE = "CASE WHEN tokens >= 1000000000 THEN {b} WHEN tokens >= 999995000 THEN '1.00B' WHEN tokens >= 1000000 THEN {m} WHEN tokens >= 999950 THEN '1.00M' WHEN tokens >= 1000 THEN ((tokens + 50) // 100 // 10) || '.' || ((tokens + 50) // 100 % 10) || 'k' ELSE CAST(tokens AS VARCHAR) END".format(
+    **{n: f"((tokens + {u // 200}) // {u // 100} // 100) || '.' || lpad(CAST((tokens + {u // 200}) // {u // 100} % 100 AS VARCHAR), 2, '0') || '{n.upper()}'" for n, u in (("b", 10**9), ("m", 10**6))}
+)
+_CENTS = lambda c: f"CAST(CAST({c} AS DECIMAL(18, 2)) AS VARCHAR)"
 query(
     "x8_list_rows",
-    _PRICED + "SELECT session_key, substr(started_at, 1, 10) AS date, tool, coalesce(regexp_replace(project_path, '^/Users/[^/]+', '~'), '-') AS project, turn_count, CASE WHEN cost_usd IS NOT NULL THEN 'logged' WHEN est IS NOT NULL THEN 'est' ELSE 'unknown' END AS cost_kind, CASE WHEN tokens >= 1000 THEN 'k' ELSE CAST(tokens AS VARCHAR) END AS tokens FROM es WHERE tokens < 999950",
+    _PRICED + f"SELECT session_key, substr(started_at, 1, 10) AS date, tool, coalesce(regexp_replace(project_path, '^/Users/[^/]+', '~'), '-') AS project, turn_count, CASE WHEN cost_usd IS NOT NULL THEN '$' || {_CENTS('cost_usd')} WHEN est IS NOT NULL THEN '~$' || {_CENTS('est')} || ' est' ELSE 'unknown' END AS cost, {_WHOLE} AS tokens FROM es",
 )(
-    lambda s, d: _estimated(s, d).withColumn("t", stats.stats_tokens(F.col("usage"))).where("t < 999950").select(
+    lambda s, d: _estimated(s, d).select(
         "session_key", display.date_cell(F.col("started_at")).alias("date"), "tool", display.cut_tail(privacy.anonymize_path(F.col("project_path")), 60).alias("project"), "turn_count",
-        F.regexp_extract(F.when(display.cost_cell(F.col("cost_usd"), F.col("estimate.cost_usd")).startswith("$"), "logged").otherwise(display.cost_cell(F.col("cost_usd"), F.col("estimate.cost_usd"))), "(logged|est|unknown)$", 1).alias("cost_kind"),
-        F.regexp_replace(display.humanize_tokens(F.col("t")), r"^.*k$", "k").alias("tokens"),
+        display.cost_cell(F.col("cost_usd"), F.col("estimate.cost_usd")).alias("cost"), display.humanize_tokens(stats.stats_tokens(F.col("usage"))).alias("tokens"),
     )
 )
 query(
     "k6_sessions_csv",
-    W + "SELECT session_key, id || ',' || tool || ',' || coalesce(project_path, '') || ',' || turn_count || ',' || CASE WHEN used THEN CAST(coalesce(total, coalesce(i, 0) + coalesce(o, 0)) AS VARCHAR) ELSE '' END || ',' || CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE 'logged' END AS value FROM s",
-)(lambda s, d: sinks.sessions_csv(_ev(s, d)).withColumn("value", F.regexp_replace("value", r",\d[\d.E]*$", ",logged")).withColumn("value", F.when(F.col("value").endswith("unknown") | F.col("value").endswith("logged"), F.col("value"))))
+    W + "SELECT session_key, id || ',' || tool || ',' || coalesce(project_path, '') || ',' || turn_count || ',' || CASE WHEN used THEN CAST(coalesce(total, coalesce(i, 0) + coalesce(o, 0)) AS VARCHAR) ELSE '' END || ',' || CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE CAST(cost_usd AS VARCHAR) END AS value FROM s",
+)(lambda s, d: sinks.sessions_csv(_ev(s, d)))
+query(
+    "x9_warning_lines",
+    f"WITH w AS ({_WARN_SQL}), g AS (SELECT code, message, session_id, source_path, count(*) AS n FROM w GROUP BY 1, 2, 3, 4) SELECT code, session_id, source_path, 'Warning [' || code || ']: ' || message || CASE WHEN n > 1 THEN ' (' || n || ' occurrences in ' || source_path || ')' ELSE ' (' || source_path || ')' END AS line FROM g",
+)(lambda s, d: quality.warning_summary(_warnings(s, d)).select("code", "session_id", "source_path", display.warning_line(F.col("code"), F.col("message"), F.col("count"), F.col("session_id"), F.col("source_path")).alias("line")))
+query(
+    "x4_cost_labels",
+    _PRICED + f"SELECT CASE WHEN sum(cost_usd) IS NULL THEN 'unknown (local logs have no USD)' ELSE '$' || {_CENTS('sum(cost_usd)')} END AS logged, CASE WHEN count(*) FILTER (WHERE cost_usd IS NULL AND est IS NULL) > 0 THEN '(' || count(*) FILTER (WHERE cost_usd IS NOT NULL OR est IS NOT NULL) || '/' || count(*) || ' sessions priced)' ELSE '' END AS priced FROM es",
+)(
+    lambda s, d: stats.cost_partition(_estimated(s, d), True).join(F.broadcast(stats.totals(_facts(s, d)))).select(
+        display.logged_cost_label(F.col("logged_cost")).alias("logged"),
+        F.regexp_extract(display.estimated_cost_label(F.col("estimated_cost"), F.col("logged_sessions") + F.col("estimated_sessions"), F.col("sessions"), F.col("unpriced_sessions")), r"\(.*\)$", 0).alias("priced"),
+    )
+)
 
 # --- filters --------------------------------------------------------------------------------------
 query("f1_tools", W + "SELECT session_key FROM s WHERE tool IN ('codex', 'gemini')")(lambda s, d: _ev(s, d).where(predicates.tool_in(F.col("tool"), ["codex", "gemini"])).select("session_key"))
@@ -240,8 +257,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 query("r1_redact", f"SELECT doc_id, md5({_clean('text')}) AS digest FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.redact(F.col("text"))).alias("digest")))
 query("r4_paths", "SELECT doc_id, regexp_replace('/home/u' || doc_id || '/x', '^/home/[^/]+', '~') AS path FROM documents")(lambda s, d: _docs(s, d).select("doc_id", privacy.anonymize_path(F.concat(F.lit("/home/u"), F.col("doc_id").cast("string"), F.lit("/x"))).alias("path")))
-query("r5_paths_in_text", "SELECT doc_id, md5(regexp_replace(text || ' at /Users/u' || doc_id || '/x', '/Users/[^/\\s''\"]+', '~', 'g')) AS digest FROM documents WHERE NOT contains(text, '/home/')")(
-    lambda s, d: _docs(s, d).where(~F.contains("text", F.lit("/home/"))).select("doc_id", F.md5(privacy.anonymize_paths_in_text(F.concat("text", F.lit(" at /Users/u"), F.col("doc_id").cast("string"), F.lit("/x")))).alias("digest"))
+query("r5_paths_in_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' at /Users/u' || doc_id || '/x', '/Users/[^/\\s''\"]+', '~', 'g'), '/home/[^/\\s''\"]+', '~', 'g')) AS digest FROM documents")(
+    lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.anonymize_paths_in_text(F.concat("text", F.lit(" at /Users/u"), F.col("doc_id").cast("string"), F.lit("/x")))).alias("digest"))
 )
 query("r9_csv_cells", "WITH x AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS t FROM documents) SELECT doc_id, md5(CASE WHEN regexp_matches(t, '[\",\\n\\r]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END) AS digest FROM x")(lambda s, d: _docs(s, d).select("doc_id", F.md5(privacy.csv_cell(F.col("text"))).alias("digest")))
 query("r10_markdown", "SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(html, '<', '&lt;'), '>', '&gt;'), '\\[([^\\]]+)\\]\\(\\s*javascript:[^)]+\\)', '[\\1](#)', 'gi'), '\\[([^\\]]+)\\]\\(\\s*data:[^)]+\\)', '[\\1](#)', 'gi')) AS digest FROM pages")(lambda s, d: b.read(s, d, "pages").select("page_id", F.md5(privacy.neutral_markdown(F.col("html"))).alias("digest")))
@@ -254,7 +271,6 @@ query("k4_markdown", C + ", t AS (SELECT conv_id, string_agg('### ' || upper(rol
 )
 
 # --- quality ----------------------------------------------------------------------------------------
-_WARN = "SELECT event_id AS ord, event_type AS code, 'm' || (user_id % 3) AS message, 'session' AS scope, user_id % 5 AS line, 's' || (user_id % 7) AS session_id, '/logs/' || (user_id % 4) AS source_path, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity FROM events"
 
 
 def _warnings(s: SparkSession, d: str) -> DataFrame:

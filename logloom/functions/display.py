@@ -1,4 +1,4 @@
-"""Scalar display functions (X1-X8): numbers, costs, dates and cut texts."""
+"""Scalar display functions (X1-X10): numbers, costs, dates, cut texts, warning lines, generation time."""
 
 from __future__ import annotations
 
@@ -48,3 +48,38 @@ def cut_middle(text: Column, width: int) -> Column:
     if width <= 3:
         return F.left(text, F.lit(width))
     return F.when(F.length(text) <= width, text).otherwise(F.concat(F.left(text, F.lit(width // 2)), F.lit("…"), F.right(text, F.lit((width - 1) // 2))))
+
+
+def logged_cost_label(logged: Column) -> Column:
+    return F.coalesce(money(logged), F.lit("unknown (local logs have no USD)"))
+
+
+def estimated_cost_label(estimated: Column, priced: Column, sessions: Column, unpriced: Column, used: bool = True) -> Column:
+    """Label of summed estimates; says how many sessions are priced where some are not."""
+    if not used:
+        return F.lit("not computed (use --estimate-cost)")
+    amount = F.concat(money(estimated, True), F.lit(" est"))
+    part = F.concat(amount, F.lit(" ("), priced.cast("string"), F.lit("/"), sessions.cast("string"), F.lit(" sessions priced)"))
+    return F.when(estimated.isNull(), "unknown (no priced model for matched sessions)").when(unpriced > 0, part).otherwise(amount)
+
+
+def unpriced_label(unpriced_sessions: Column, unpriced_tokens: Column, tokens: Column) -> Column:
+    share = F.when(tokens > 0, percent(unpriced_tokens / tokens * 100)).otherwise("0.0%")
+    return F.when(unpriced_sessions > 0, F.concat(humanize_tokens(unpriced_tokens), F.lit(" ("), share, F.lit(" of total)")))
+
+
+def warning_line(code: Column, message: Column, count: Column, session_id: Column, source_path: Column) -> Column:
+    """One line a summarised warning: count and place where it is repeated, the place alone where it is not."""
+    from .privacy import anonymize_path, anonymize_paths_in_text
+
+    place = anonymize_path(source_path)
+    head = F.concat(F.lit("Warning ["), code, F.lit("]: "), anonymize_paths_in_text(message))
+    where = F.when(source_path.isNotNull(), F.concat(F.lit(" in "), place)).when(session_id.isNotNull(), F.concat(F.lit(" in session "), session_id)).otherwise("")
+    many = F.concat(F.lit(" ("), count.cast("string"), F.lit(" occurrences"), where, F.lit(")"))
+    once = F.when(source_path.isNotNull(), F.concat(F.lit(" ("), place, F.lit(")"))).otherwise("")
+    return F.concat(head, F.when(count > 1, many).otherwise(once))
+
+
+def generated_at(now: str | None = None) -> Column:
+    """ISO time in UTC with milliseconds; `now` fixes it."""
+    return F.lit(now) if now else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

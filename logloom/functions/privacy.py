@@ -31,32 +31,34 @@ def parse_patterns(patterns: Iterable[str]) -> tuple[list[str], list[str]]:
     return good, bad
 
 
-def redact_json(column: Column, extra: Iterable[str] = ()) -> Column:
-    """Redacts every string leaf of a JSON text; keys, numbers and unparsable text's shape stay. One Arrow UDF: regexes on the serialised text would eat quotes."""
+def redact_json(column: Column, extra: Iterable[str] = (), paths: bool = False, lists: bool = False) -> Column:
+    """Redacts every string leaf of a JSON text (`lists`: of each text of an array); keys, numbers and unparsable text's shape stay.
+    `paths` hides home folders too. One Arrow UDF: regexes on the serialised text would eat quotes."""
     import json
 
-    rules = [re.compile(p) for p in (*REDACT_PATTERNS, *extra)]
+    homes = [(re.compile(p), "~") for p in (r"/Users/[^/\s'\"]+", r"/home/[^/\s'\"]+")] if paths else []
+    rules = [*homes, *((re.compile(p), REDACTED) for p in (*REDACT_PATTERNS, *extra))]
 
     def clean(x):
         if isinstance(x, str):
-            for r in rules:
-                x = r.sub(REDACTED, x)
+            for r, into in rules:
+                x = r.sub(into, x)
             return x
         if isinstance(x, list):
             return [clean(v) for v in x]
         return {k: clean(v) for k, v in x.items()} if isinstance(x, dict) else x
 
-    @F.pandas_udf("string")
+    def one(v):
+        if v is None:
+            return None
+        try:
+            return json.dumps(clean(json.loads(v)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return clean(v)
+
+    @F.pandas_udf("array<string>" if lists else "string")
     def leaves(values: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            try:
-                return json.dumps(clean(json.loads(v)), ensure_ascii=False, separators=(",", ":"))
-            except ValueError:
-                return clean(v)
-
-        return values.map(one, na_action="ignore")
+        return values.map((lambda vs: [one(v) for v in vs]) if lists else one, na_action="ignore")
 
     return leaves(column)
 

@@ -126,3 +126,18 @@ def stacked_widths(segments: DataFrame, ord_: str, value: str, width: int) -> Da
     used = F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.row_number().over(w) == F.count("*").over(Window.partitionBy())
     return s.withColumn("width", F.when(last, F.lit(width) - used).otherwise(F.col("w")).cast("int")).drop("w")
+
+
+def full_report(sessions: DataFrame, use_estimates: bool = False, home: str = "") -> DataFrame:
+    """One row with totals, costs and breakdown, and maps by tool, project and day.
+
+    The maps hold a row a group (tools, projects, days), never a row a session; most active days are the first ten of their order.
+    """
+    f = facts(sessions, home)
+    row = F.struct("sessions", "turns", "tokens")
+    as_map = lambda key: by(f, key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), row.alias("value"))))).alias(f"by_{key}"))
+    days = most_active_days(f).select(F.struct((-F.col("sessions")).alias("s"), (-F.col("turns")).alias("t"), "day", "sessions", "turns").alias("d")).agg(F.sort_array(F.collect_list("d")).alias("d"))
+    out = totals(f)
+    for part in (cost_partition(sessions, use_estimates), token_breakdown(sessions).select(F.struct("*").alias("token_breakdown")), as_map("tool"), as_map("project"), as_map("day"), days.select(F.transform("d", lambda d: F.struct(d["day"].alias("day"), d["sessions"].alias("sessions"), d["turns"].alias("turns"))).alias("most_active_days"))):
+        out = out.join(F.broadcast(part))  # one row each
+    return out

@@ -11,9 +11,38 @@ from ..constants import DEFAULT_TOOL, INVENTORY_LIMIT, MAX_FILE_BYTES, TOOL_A_LI
 
 # --- fixed values: adapter versions and capabilities -------------------------------------------
 ADAPTER_VERSIONS = {"claude-code": "0.1.1", "codex": "0.1.1", "gemini": "0.1.1-experimental"}
+CAPABILITIES = {
+    "claude-code": {"discovery": "full", "transcript": "full", "tool_calls": "full", "usage": "full", "model": "partial", "reasoning": "full"},
+    "codex": {"discovery": "full", "transcript": "partial", "tool_calls": "full", "usage": "full", "model": "partial", "reasoning": "partial"},
+    "gemini": {"discovery": "experimental", "transcript": "partial", "tool_calls": "partial", "usage": "partial", "model": "partial", "reasoning": "none"},
+}
+DEFAULT_ROOTS = {"claude-code": ".claude/projects", "codex": ".codex", "gemini": ".gemini/tmp"}
 # --- end of fixed values -------------------------------------------------------------------------
 
 
+def default_roots(home: str) -> dict[str, str]:
+    """The tools' usual roots under a home folder, for `scan`."""
+    return {tool: f"{home.rstrip('/')}/{tail}" for tool, tail in DEFAULT_ROOTS.items()}
+
+
+def reachable(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """tool, root, accessible: whether the root's file system answers and holds it. One row a tool, on the driver."""
+    rows = []
+    for tool, root in roots.items():
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            rows.append((tool, root, bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))))
+        except Exception:  # an unknown or refused file system
+            rows.append((tool, root, False))
+    return spark.createDataFrame(rows, "tool string, root string, accessible boolean")
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    """What each tool's adapter can read; joins to `inventory` by tool."""
+    names = [*CAPABILITIES["codex"]]
+    return spark.createDataFrame([(tool, *(c[n] for n in names)) for tool, c in CAPABILITIES.items()], ", ".join(["tool string", *(f"{n} string" for n in names)]))
+
+
 def _paths(tool: str, root: str) -> str:
     tails = {"claude-code": "/{*,*/*}.jsonl", "codex": "", "gemini": "/*/chats/session-*.jsonl"}
     if tool not in tails:
@@ -54,8 +83,17 @@ def scan(spark: SparkSession, roots: dict[str, str], tools: list[str] | None = N
     return out, warnings
 
 
-def within_path_dates(raw: DataFrame, since: str | None, until: str | None, path: str = "source_path") -> DataFrame:
-    """Keeps files whose /sessions/YYYY/MM/DD/ lies between two days (text YYYY-MM-DD); undated paths stay."""
+def within_path_dates(raw: DataFrame, since: str | None, until: str | None, path: str = "source_path", exact: bool = False) -> DataFrame:
+    """Keeps files whose /sessions/YYYY/MM/DD/ lies between two days (text YYYY-MM-DD); undated paths stay.
+
+    exact: bounds are ISO times, compared with the folder's midnight in UTC, so a bound later that day leaves the folder out.
+    """
+    if exact:
+        at = F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_extract(path, r"/sessions/(\d{4}/\d{2}/\d{2})/", 1), "/", "-"), F.lit(" 00:00:00+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
+        for bound, keep in ((since, lambda b: at >= b), (until, lambda b: at <= b)):
+            if bound:
+                raw = raw.where(at.isNull() | keep(F.to_timestamp(F.lit(bound))))
+        return raw
     day = F.regexp_replace(F.regexp_extract(path, r"/sessions/(\d{4}/\d{2}/\d{2})/", 1), "/", "-")
     if since:
         raw = raw.where((day == "") | (day >= since))
@@ -88,13 +126,37 @@ TEXT_PATHS = {
 }
 
 
+#: Paths whose value must be a number, an object, an array of objects, or text or an array, if present.
+SHAPES = {
+    "claude-code": {
+        "text": ("$.message.id", "$.message.role", "$.message.model"), "object": ("$.message", "$.message.usage"), "content": ("$.message.content",),
+        "number": ("$.message.usage.input_tokens", "$.message.usage.output_tokens", "$.message.usage.cache_read_input_tokens", "$.message.usage.cache_creation_input_tokens"),
+    },
+    "codex": {"object": ("$.payload",), "required": ("$.type",)},
+    "gemini": {"object": ("$.usageMetadata",), "objects": ("$.parts",), "number": ("$.usageMetadata.promptTokenCount", "$.usageMetadata.candidatesTokenCount", "$.usageMetadata.totalTokenCount")},
+}
+_MATCH = {
+    "text": "= 'STRING'", "object": "LIKE 'OBJECT%'", "objects": "RLIKE '^ARRAY<(OBJECT.*|VOID)>$'", "content": "RLIKE '^(STRING|ARRAY.*)$'",
+    "number": "RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$'", "required": "= 'STRING'",
+}
+
+
+def shaped(tool: str) -> Column:
+    """True if every value below the top level that is present has its shape."""
+    fine = F.lit(True)
+    for kind, paths in SHAPES[tool].items():
+        for p in paths:
+            fine = fine & F.expr(f"coalesce(schema_of_variant(variant_get(v, '{p}')) {_MATCH[kind]}, {'false' if kind == 'required' else 'true'})")
+    return fine
+
+
 def checked(lines: DataFrame, tool: str) -> DataFrame:
     """lines with `problem`: null, malformed_line or invalid_line_shape."""
     v = lines.withColumn("v", F.expr("try_parse_json(value)"))
     fine = typed(TEXT_PATHS[tool][0])
     for p in TEXT_PATHS[tool][1:]:
         fine = fine & typed(p)
-    shape = F.expr("schema_of_variant(v) LIKE 'OBJECT%'") & fine
+    shape = F.expr("schema_of_variant(v) LIKE 'OBJECT%'") & fine & shaped(tool)
     return v.withColumn("problem", F.when(F.col("v").isNull(), "malformed_line").when(~F.coalesce(shape, F.lit(False)), "invalid_line_shape")).drop("v")
 
 

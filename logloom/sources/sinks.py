@@ -1,11 +1,12 @@
-"""Exports (K1-K11, R6-R8, R12): rows are rendered with built-ins and written by Spark, never gathered."""
+"""Exports (K1-K11, R3, R6-R8, R12, W11): rows are rendered with built-ins and written by Spark, never gathered."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.privacy import anonymize_path, anonymize_paths_in_text, csv_cell, neutral_markdown, redact
+from ..constants import TOOLS
+from ..functions.privacy import anonymize_path, anonymize_paths_in_text, csv_cell, neutral_markdown, redact, redact_json
 
 
 def without_thinking(blocks: DataFrame) -> DataFrame:
@@ -20,11 +21,22 @@ def sanitised(sessions: DataFrame, reasoning: bool = False, raw_paths: bool = Fa
     return out if raw_paths else out.withColumn("project_path", anonymize_path(F.col("project_path"))).drop("source_path", "session_key")
 
 
-def redacted(sessions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Typed text leaves of nested sessions, without a detour through JSON."""
-    clean = lambda c: redact(anonymize_paths_in_text(c), extra)
-    block = lambda b: b.withField("text", clean(b["text"])).withField("input", clean(b["input"])).withField("output", clean(b["output"]))
-    return sessions.withColumn("turns", F.transform("turns", lambda t: t.withField("content", F.transform(t["content"], block))))
+def redacted(sessions: DataFrame, extra: tuple[str, ...] = (), raw_paths: bool = False) -> DataFrame:
+    """Typed text leaves of nested sessions by built-ins; inputs and outputs, which may be JSON, leaf by leaf, so that they stay JSON."""
+    clean = lambda c: redact(c if raw_paths else anonymize_paths_in_text(c), extra)
+    pick = lambda f: F.flatten(F.filter(F.transform("turns", lambda t: F.transform(t["content"], lambda b: b[f])), lambda x: x.isNotNull()))
+    islands = sessions
+    for f in ("input", "output"):
+        islands = islands.withColumn(f"_{f}", redact_json(pick(f), extra, paths=not raw_paths, lists=True))
+    # the place of a turn's first block among all blocks of the session
+    before = F.transform("turns", lambda t, k: F.aggregate(F.slice("turns", F.lit(1), k), F.lit(0), lambda n, u: n + F.coalesce(F.size(u["content"]), F.lit(0))))
+    islands = islands.withColumn("_before", before)
+
+    def block(at: Column):
+        return lambda b, k: b.withField("text", clean(b["text"])).withField("input", F.get("_input", at + k)).withField("output", F.get("_output", at + k))
+
+    turns = F.transform("turns", lambda t, k: t.withField("content", F.transform(t["content"], block(F.get("_before", k)))))
+    return islands.withColumn("turns", turns).drop("_input", "_output", "_before")
 
 
 def json_lines(records: DataFrame, generated_at: str, format_: str = "logloom.record.v1") -> DataFrame:
@@ -36,22 +48,26 @@ def envelope(payload: DataFrame, name: str, generated_at: str) -> DataFrame:
     return payload.select(F.lit(f"logloom.{name}.v1").alias("format"), F.lit(generated_at).alias("generated_at"), F.struct(*payload.columns).alias("payload"))
 
 
-def sessions_csv(s: DataFrame) -> DataFrame:
+SESSIONS_HEADER = ("session_id", "tool", "project", "turns", "tokens", "cost")
+SUMMARY_HEADER = ("date", "tool", "project", "turns", "tokens", "cost")
+
+
+def sessions_csv(s: DataFrame, keep: tuple[str, ...] = ("session_key",)) -> DataFrame:
     u = F.col("usage")
     tokens = F.coalesce(u["total_tokens"], F.when(u.isNotNull(), F.coalesce(u["input_tokens"], F.lit(0)) + F.coalesce(u["output_tokens"], F.lit(0))))
-    return csv_rows(s, ["id", "tool", "project_path", "turn_count", tokens, F.coalesce(F.col("cost_usd").cast("string"), F.lit("unknown"))])
+    return csv_rows(s, ["id", "tool", "project_path", "turn_count", tokens, F.coalesce(F.col("cost_usd").cast("string"), F.lit("unknown"))], keep)
 
 
-def summary_csv(s: DataFrame) -> DataFrame:
+def summary_csv(s: DataFrame, keep: tuple[str, ...] = ("session_key",)) -> DataFrame:
     est = F.concat(F.lit("~$"), F.format_string("%.2f", "estimated_cost"), F.lit(" est"))
     cost = F.coalesce(F.when(F.col("estimated_cost").isNotNull(), est), F.col("cost_usd").cast("string"), F.lit("unknown"))
-    return csv_rows(s, ["started_at", "tool", "project_path", "turn_count", "total_tokens", cost])
+    return csv_rows(s, ["started_at", "tool", "project_path", "turn_count", "total_tokens", cost], keep)
 
 
-def csv_rows(s: DataFrame, cells: list[str | Column]) -> DataFrame:
-    """One text line a row, cells guarded and quoted; the writer adds the header of each file."""
+def csv_rows(s: DataFrame, cells: list[str | Column], keep: tuple[str, ...] = ("session_key",)) -> DataFrame:
+    """One text line a row, cells guarded and quoted; write_csv adds the header of each file."""
     text = [csv_cell(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))) for c in cells]
-    return s.select("session_key", F.concat_ws(",", *text).alias("value"))
+    return s.select(*keep, F.concat_ws(",", *text).alias("value"))
 
 
 def turn_markdown(blocks: DataFrame, raw: bool = False) -> DataFrame:
@@ -79,7 +95,94 @@ def write_text(rows: DataFrame, path: str, column: str = "value", force: bool =
     rows.select(F.col(column).alias("value")).write.mode("overwrite" if force else "errorifexists").text(path)
 
 
-def export(sessions: DataFrame, path: str, generated_at: str, redact_secrets: bool = True, reasoning: bool = False, raw_paths: bool = False, extra: tuple[str, ...] = (), force: bool = False) -> None:
-    """Sanitise, redact, write JSON lines."""
-    out = sanitised(sessions, reasoning, raw_paths)
-    write_text(json_lines(redacted(out, extra) if redact_secrets else out, generated_at), path, force=force)
+def write_csv(rows: DataFrame, path: str, header: tuple[str, ...], force: bool = False) -> None:
+    """Rows of one text column, already cells, with the header line in every part file, so that each part stands alone."""
+    line = ",".join(header)
+    rows.select(F.col("value").alias(line)).write.mode("overwrite" if force else "errorifexists").option("header", True).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("sep", "\x01").csv(path)
+
+
+def in_order(rows: DataFrame, tool: str = "tool", path: str = "source_path") -> DataFrame:
+    """By tool in their fixed order, then by path; a range sort at the sink."""
+    place = F.array_position(F.array(*map(F.lit, TOOLS)), F.col(tool))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(TOOLS) + 1), path)
+
+
+def turn_records(sessions: DataFrame) -> DataFrame:
+    """K8: one record a turn, with the head of its session."""
+    head = [c for c in sessions.columns if c != "turns"]
+    return sessions.select(F.struct(*head).alias("session"), F.explode("turns").alias("turn"))
+
+
+def write_json_document(records: DataFrame, warnings: DataFrame, path: str, generated_at: str, granularity: str = "session", force: bool = False) -> None:
+    """K2, K3: a folder in place of one document: records/ and warnings/ as partitioned JSON, manifest/ with one row, written last."""
+    mode = "overwrite" if force else "errorifexists"
+    records.write.mode(mode).json(f"{path}/records")
+    warnings.write.mode(mode).json(f"{path}/warnings")
+    n = records.sparkSession.read.text(f"{path}/records").count()
+    manifest = records.sparkSession.createDataFrame([("logloom.export.v1", generated_at, granularity, n)], "format string, generated_at string, granularity string, records long")
+    manifest.write.mode(mode).json(f"{path}/manifest")
+
+
+ENVELOPE_ROWS = 10_000
+
+
+def list_envelope(rows: DataFrame, name: str, payload: str, generated_at: str, warnings: DataFrame | None = None, limit: int = ENVELOPE_ROWS) -> DataFrame:
+    """One document of a list, search, statistics or inventory result: format, generated_at, an array, warnings.
+
+    One row can't be distributed, so a result of more than `limit` rows is refused: write it with write_json_document.
+    """
+    held = rows.limit(limit + 1)
+    if held.count() > limit:
+        raise ValueError(f"more than {limit} rows: use write_json_document")
+    out = held.agg(F.collect_list(F.struct(*rows.columns)).alias(payload))
+    if warnings is not None:
+        out = out.join(F.broadcast(warnings.limit(limit).agg(F.collect_list(F.struct(*warnings.columns)).alias("warnings"))))
+    return out.select(F.lit(f"logloom.{name}.v1").alias("format"), F.lit(generated_at).alias("generated_at"), payload, *(["warnings"] if warnings is not None else []))
+
+
+FORMATS = ("jsonl", "json", "markdown", "csv", "summary-csv")
+
+
+def redacts(format_: str, asked: bool | None) -> bool:
+    """Transcripts are redacted unless that is turned off, the summary only if that is asked for."""
+    return format_ != "summary-csv" if asked is None else asked
+
+
+def export(
+    sessions: DataFrame, path: str, generated_at: str, redact_secrets: bool | None = None, reasoning: bool = False, raw_paths: bool = False, extra: tuple[str, ...] = (), force: bool = False,
+    format_: str = "jsonl", granularity: str = "session", prices: DataFrame | None = None, warnings: DataFrame | None = None,
+) -> None:
+    """Estimate (with `prices`), sanitise, redact, write nested sessions in one of FORMATS, by session or by turn."""
+    if format_ not in FORMATS or granularity not in ("session", "turn"):
+        raise ValueError(f"unknown export {format_!r} by {granularity!r}")
+    if prices is not None:
+        from ..operators.pricing import with_estimate
+
+        sessions = with_estimate(sessions, prices)
+    if format_ in ("csv", "summary-csv"):
+        clean = (lambda c: redact(c, extra)) if redacts(format_, redact_secrets) else (lambda c: c)
+        s = in_order(sessions).withColumn("project_path", clean(F.col("project_path") if raw_paths else anonymize_path(F.col("project_path"))))
+        if format_ == "csv":
+            return write_csv(sessions_csv(s), path, SESSIONS_HEADER, force)
+        from ..operators.stats import summary_tokens
+
+        cost = F.col("estimate.cost_usd") if prices is not None else F.lit(None).cast("double")
+        return write_csv(summary_csv(s.withColumns({"estimated_cost": cost, "total_tokens": summary_tokens(F.col("usage"))})), path, SUMMARY_HEADER, force)
+    out = sanitised(in_order(sessions), reasoning, raw_paths)
+    if redacts(format_, redact_secrets):
+        out = redacted(out, extra, raw_paths)
+    if format_ == "markdown":
+        return write_text(nested_markdown(out, granularity), path, force=force)
+    records = turn_records(out) if granularity == "turn" else out
+    if format_ == "json":
+        none = out.sparkSession.createDataFrame([], "code string, line int")
+        return write_json_document(records, none if warnings is None else warnings, path, generated_at, granularity, force)
+    write_text(json_lines(records, generated_at), path, force=force)
+
+
+def nested_markdown(sessions: DataFrame, granularity: str = "session") -> DataFrame:
+    """K4, K5: markdown of nested sessions, one row a session or a turn."""
+    keyed = sessions.withColumn("session_key", F.xxhash64("tool", "id", F.to_json(F.struct("started_at", "ended_at"))) if "session_key" not in sessions.columns else F.col("session_key"))
+    flat = keyed.select("session_key", F.explode("turns").alias("t")).select("session_key", "t.turn_index", "t.role", F.explode("t.content").alias("b")).select("session_key", "turn_index", "role", "b.*")
+    turns = turn_markdown(flat)
+    return turns.select(F.col("markdown").alias("value")) if granularity == "turn" else session_markdown(keyed, turns).select(F.col("markdown").alias("value"))

@@ -170,3 +170,125 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest(spark, str(tmp_path / "logs"), "claude-code", str(tmp_path / "cp"), lambda df, k: seen.extend(df.select("id", "turn_count").collect()))
     q.awaitTermination(120)
     assert [tuple(r) for r in seen] == [("s", 1)]
+
+
+def sample(spark, tmp_path):
+    call = {"type": "tool_use", "id": "t1", "name": "sh", "input": {"cmd": "x API_KEY = hunter2", "n": 5}}
+    write(tmp_path / "in" / "p" / "s.jsonl", [
+        said("assistant", 1, [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "/home/me/x ghp_" + "c" * 22}, call], id="m", model="claude-sonnet-4-5", usage={"input_tokens": 7, "output_tokens": 2}),
+        said("user", 2, [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "PASSWORD = zz /Users/me/y"}]}]),
+    ])
+    write(tmp_path / "in" / "p" / "r.jsonl", [said("user", 0, "=plain, \"quoted\"")])
+    return normalize.normalise(logs.numbered(logs.log_files(spark, "claude-code", str(tmp_path / "in"))), "claude-code")
+
+
+def test_redacted_islands_stay_json(spark, tmp_path):
+    n = sample(spark, tmp_path)
+    out = sinks.redacted(normalize.nested(n)).where("id = 's'").first()
+    blocks = [b for t in out.turns for b in t.content]
+    assert json.loads(next(b.input for b in blocks if b.kind == "tool_use")) == {"cmd": "x[REDACTED]", "n": 5}
+    assert "zz" not in str(json.loads(next(b.output for b in blocks if b.kind == "tool_result"))) and "/Users/me" not in str(blocks)
+    assert [b.text for b in blocks if b.kind == "text"] == ["~/x [REDACTED]"]
+    raw = sinks.redacted(normalize.nested(n), raw_paths=True).where("id = 's'").first()
+    assert "/home/me/x" in str(raw)
+
+
+def test_four_ways_to_sanitise(spark, tmp_path):
+    nested = normalize.nested(sample(spark, tmp_path)).where("id = 's'")
+    for reasoning in (False, True):
+        for raw in (False, True):
+            r = sinks.sanitised(nested, reasoning, raw).first().asDict()
+            assert ("thinking" in {b.kind for t in r["turns"] for b in t.content}) == reasoning and ("source_path" in r) == raw
+
+
+def test_exports_of_every_format(spark, tmp_path):
+    n = sample(spark, tmp_path)
+    nested, when = normalize.nested(n), "2024-01-01T00:00:00Z"
+    lines = {}
+    for f in sinks.FORMATS:
+        out = str(tmp_path / f)
+        sinks.export(nested, out, when, format_=f, prices=pricing.prices(spark), warnings=n.warnings.select("code", "line"))
+        lines[f] = [r.value for r in spark.read.text(out + ("/records" if f == "json" else "")).collect()]
+    assert len(lines["jsonl"]) == len(lines["json"]) == 2 and all(json.loads(x) for x in lines["jsonl"] + lines["json"])
+    manifest = spark.read.json(str(tmp_path / "json" / "manifest")).first()
+    assert (manifest.records, manifest.granularity) == (2, "session") and spark.read.json(str(tmp_path / "json" / "records")).count() == 2
+    assert lines["csv"].count("session_id,tool,project,turns,tokens,cost") >= 1 and any(x.startswith("s,claude-code,") and x.endswith(",9,unknown") for x in lines["csv"])
+    assert any(x.startswith("date,tool,") for x in lines["summary-csv"]) and any(x.endswith(" est") for x in lines["summary-csv"])
+    assert any("# Session s" in x for x in lines["markdown"])
+    sinks.export(nested, str(tmp_path / "turns"), when, granularity="turn")
+    assert spark.read.text(str(tmp_path / "turns")).count() == n.turns.count()
+    assert [r.id for r in sinks.in_order(n.sessions).collect()] == ["r", "s"]
+    assert sinks.redacts("summary-csv", None) is False and sinks.redacts("jsonl", None) and sinks.redacts("csv", False) is False
+
+
+def test_envelopes(spark, tmp_path):
+    import pytest
+    from logloom.functions import display
+    from logloom.operators import quality
+
+    n = sample(spark, tmp_path)
+    env = sinks.list_envelope(n.sessions.select("id", "tool"), "list", "sessions", "2024-01-01T00:00:00Z", n.warnings.select("code"))
+    r = env.first()
+    assert r.format == "logloom.list.v1" and len(r.sessions) == 2 and r.warnings == []
+    assert quality.envelope_violations(env, "sessions", "logloom.list.v1").count() == 0
+    bad = env.withColumn("generated_at", F.lit("soon"))
+    assert {x.rule for x in quality.envelope_violations(bad, "sessions", "other").collect()} == {"format_unknown", "generated_at_invalid"}
+    with pytest.raises(ValueError):
+        sinks.list_envelope(n.sessions, "list", "sessions", "x", limit=1)
+    now = spark.range(1).select(display.generated_at().alias("now"), display.generated_at("t").alias("fixed")).first()
+    assert len(now.now) == 24 and now.now.endswith("Z") and now.fixed == "t"
+
+
+def test_every_rule_of_validation(spark, tmp_path):
+    from logloom.operators import quality
+
+    n = sample(spark, tmp_path)
+    assert quality.all_violations(n.sessions, n.turns, n.blocks).count() == 0
+    turns = spark.createDataFrame([("k", 0, None, "user"), ("k", -1, "a", "robot"), ("k", None, "b", "tool")], "session_key string, turn_index int, turn_id string, role string")
+    assert {r.rule for r in quality.turn_violations(turns).collect()} == {"turn_id_missing", "turn_role_unknown", "turn_index_missing", "turn_index_negative"}
+    blocks = spark.createDataFrame([("k", 0, "text", None, None, None, None), ("k", 0, "tool_use", None, None, None, "odd"), ("k", 0, "video", None, None, None, None)], "session_key string, turn_index int, kind string, text string, tool_use_id string, name string, status string")
+    assert {r.rule for r in quality.block_violations(blocks).collect()} == {"block_kind_unknown", "block_text_missing", "block_call_id_missing", "block_name_missing", "block_status_unknown"}
+    wrong = n.sessions.withColumn("usage", F.col("usage").withField("input_tokens", F.lit(-1).cast("bigint")).withField("total_tokens", F.lit(1).cast("bigint"))).where("id = 's'")
+    assert {r.rule for r in quality.usage_violations(wrong).collect()} == {"usage_input_tokens_negative", "usage_total_too_small"}
+
+
+def test_shapes_below_the_top_level(spark):
+    def problems(tool, *values):
+        frame = spark.createDataFrame([(json.dumps(v),) for v in values], "value string")
+        return [r.problem for r in logs.checked(frame, tool).collect()]
+
+    bad = "invalid_line_shape"
+    assert problems("claude-code", {"message": {"role": "user", "content": "x", "usage": {"input_tokens": 1.5}}}, {"message": []}, {"message": {"role": 5}}, {"message": {"content": 5}}, {"message": {"usage": {"output_tokens": "5"}}}, {"message": {"content": []}}) == [None, bad, bad, bad, bad, None]
+    assert problems("codex", {"type": "event_msg", "payload": {}}, {"payload": {}}, {"type": "x", "payload": "y"}) == [None, bad, bad]
+    assert problems("gemini", {"parts": [{"text": "x"}]}, {"parts": "x"}, {"parts": []}, {"parts": ["x"]}, {"usageMetadata": {"totalTokenCount": "9"}}) == [None, bad, None, bad, bad]
+
+
+def test_roots_dates_and_capabilities(spark, tmp_path):
+    (tmp_path / ".codex").mkdir()
+    found = {r.tool: r.accessible for r in logs.reachable(spark, logs.default_roots(str(tmp_path))).collect()}
+    assert found == {"claude-code": False, "codex": True, "gemini": False}
+    assert logs.capabilities(spark).where("tool = 'gemini' and reasoning = 'none'").count() == 1
+    files = spark.createDataFrame([("/r/sessions/2024/01/05/a",), ("/r/sessions/2024/01/06/b",), ("/r/c",)], "source_path string")
+    kept = logs.within_path_dates(files, "2024-01-05T12:00:00Z", "2024-01-06T00:00:00Z", exact=True)
+    assert sorted(r.source_path for r in kept.collect()) == ["/r/c", "/r/sessions/2024/01/06/b"]
+
+
+def test_full_report(spark, tmp_path):
+    from logloom.operators import stats
+
+    n = sample(spark, tmp_path)
+    priced = pricing.with_estimate(n.sessions, pricing.prices(spark))
+    r = stats.full_report(priced, True).first()
+    assert (r.sessions, r.tokens, r.estimated_sessions, r.unpriced_sessions) == (2, 9, 1, 1)
+    assert r.by_tool["claude-code"].tokens == 9 and r.token_breakdown.input == 7 and r.most_active_days[0].sessions == 2 and set(r.by_day) == {"2024-01-01"}
+
+
+def test_running_stats_as_a_stream(spark, tmp_path):
+    from logloom.streaming.ingest import running_stats
+
+    rows_ = [("codex", "2024-01-01", 2, 5), ("codex", "2024-01-01", 1, 5), ("gemini", "2024-01-02", 1, 1)]
+    spark.createDataFrame(rows_, "tool string, day string, turns long, tokens long").write.parquet(str(tmp_path / "facts"))
+    stream = spark.readStream.schema("tool string, day string, turns long, tokens long").parquet(str(tmp_path / "facts"))
+    q = running_stats(stream).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.sql("select day, tool, sessions, turns, tokens from running").collect()) == [("2024-01-01", "codex", 2, 3, 10), ("2024-01-02", "gemini", 1, 1, 1)]
