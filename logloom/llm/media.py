@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable, table, tune
 
 WIDTH, UNIT = 24, 576
+#: A digest with more than one in HOT of the references is split into SPLIT parts; there are fewer than HOT such digests.
+HOT, SPLIT = 1000, 64
 _PNG = b"\x89PNG\r\n\x1a\n"
 ELEMENTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
@@ -171,10 +173,19 @@ def parsed(pages: DataFrame, key: str, *more: str) -> DataFrame:
 def resolved(sequences: DataFrame, key: str, described_media: DataFrame, *more: str) -> DataFrame:
     """One row a media reference: key, position, caption, digest, the named columns and what the store says of it (null: unresolved).
 
-    The text elements stay in `sequences`, aligned by position; only references are joined.
+    The text elements stay in `sequences`, aligned by position; only references are joined. They are written first, so that
+    digests of many references can be counted without parsing twice: such a digest's references are dealt over SPLIT parts,
+    and its one row of the store is repeated for each part. References without a digest are dealt out alike.
     """
     refs = sequences.select(key, *more, F.explode(F.filter("elements", lambda e: e["kind"] == "media")).alias("e")).select(key, *more, "e.position", "e.caption", "e.digest")
-    return refs.join(described_media, "digest", "left")
+    refs = durable(refs)
+    often = F.greatest(F.lit(refs.count() / HOT), F.lit(1.0))
+    hot = F.broadcast(durable(refs.groupBy("digest").count().where(F.col("digest").isNotNull() & (F.col("count") > often)).select(F.col("digest").alias("_hot"))))
+    split = F.col("_hot").isNotNull() | F.col("digest").isNull()
+    dealt = refs.join(hot, F.col("digest") == F.col("_hot"), "left").withColumn("_part", F.when(split, F.pmod(F.xxhash64(key, "position"), F.lit(SPLIT))).otherwise(0).cast("int"))
+    known = described_media.join(hot, F.col("digest") == F.col("_hot"), "left")
+    known = known.withColumn("_part", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("_hot").join(known.drop("_hot"), ["digest", "_part"], "left").drop("_part")
 
 
 def interleaved(pages: DataFrame, key: str, media: DataFrame) -> DataFrame:

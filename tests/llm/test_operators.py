@@ -211,6 +211,20 @@ def test_media_round_trip(spark, odd, empty):
     assert out[1].media[0].feature.startswith("24x24;mean=7") and out[2].elements == []
 
 
+def test_hot_digest_and_missing_digests(spark):
+    """One digest of half of all references, and references without a digest, are split and lose nothing."""
+    page = {0: '<img src="sha256:d0" alt="c">', 1: '<img alt="c">'}
+    pages = spark.createDataFrame([(i, page.get(i % 4, f'<img src="sha256:d{i}" alt="c">')) for i in range(400)] + [(0, page[0])], "page_id long, html string")
+    stored = media.store(spark.createDataFrame([(f"d{i}", bytearray(bytes([i % 256]) * 576)) for i in range(300)], "digest string, payload binary"))
+    got = media.resolved(media.parsed(pages, "page_id"), "page_id", media.described(stored)).collect()
+    assert len(got) == 401 and sum(r.page_id == 0 for r in got) == 2
+    for r in got:
+        k = 0 if r.page_id % 4 == 0 else r.page_id
+        known = r.page_id % 4 != 1 and k < 300
+        assert (r.digest is None) == (r.page_id % 4 == 1) and r.caption == "c"
+        assert (r.feature is not None) == known and (not known or r.feature.startswith(f"24x24;mean={k % 256};"))
+
+
 def write_documents(frame, path):
     frame.write.parquet(str(path / "documents.parquet"))
     return str(path)
