@@ -11,22 +11,9 @@ from .constants import REDACT_PATTERNS
 from .functions import display, predicates, privacy
 from .operators import normalize, pricing, quality, search, stats
 from .plans import bindings as b
+from .plans.registry import ORACLES, QUERIES, query
 from .sources import logs, sinks
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def _ev(spark: SparkSession, sf: str) -> DataFrame:
     return b.sessions_from_events(spark, sf)
 
@@ -282,3 +269,5 @@ query("u2_merge_warnings", f"WITH w AS ({_WARN}) SELECT code, message, scope, li
 query("a23_warning_summary", f"WITH w AS ({_WARN}) SELECT code, message, scope, session_id, source_path, count(*) AS count, arg_min(severity, ord) AS severity FROM w GROUP BY 1, 2, 3, 4, 5")(lambda s, d: quality.warning_summary(_warnings(s, d)))
 query("v1_violations", W + "SELECT session_key, 'tool_unknown' AS rule FROM s WHERE tool = 'gemini' UNION ALL SELECT session_key, 'cost_negative' FROM s WHERE cost_usd > 0")(lambda s, d: quality.violations(_ev(s, d).withColumn("tool", F.when(F.col("tool") != "gemini", F.col("tool")).otherwise("other")).withColumn("cost_usd", -F.col("cost_usd"))))
 query("u1_union", W + "SELECT tool, count(*) AS n FROM s GROUP BY tool")(lambda s, d: (lambda e: e.where("tool = 'codex'").unionByName(e.where("tool <> 'codex'").drop("user_id"), allowMissingColumns=True).groupBy("tool").agg(F.count("*").alias("n")))(_ev(s, d)))
+
+from . import catalog_lines  # noqa: E402,F401  (registers the queries over whole log lines)
