@@ -49,7 +49,7 @@ def tool_a(lines: DataFrame) -> Parsed:
     p = p.where(F.col("j.type").isNotNull() & ~F.col("j.type").isin(*IGNORED_LINE_TYPES))
     items = F.when(F.col("kind") == "STRING", F.array(F.from_json(F.to_json(_text(F.col("content"))), item))).otherwise(F.from_json("content", f"array<{item}>"))
     p = p.withColumn("items", F.coalesce(items, F.array().cast(f"array<{item}>")))
-    user, assistant = p.where("j.type = 'user' AND j.message IS NOT NULL"), p.where("j.type = 'assistant' AND j.message IS NOT NULL")
+    user = p.where("j.type = 'user' AND j.message IS NOT NULL")
 
     def shown(i: Column) -> Column:
         return (
@@ -59,19 +59,19 @@ def tool_a(lines: DataFrame) -> Parsed:
             .when((i["type"] == "image"), block(kind="image", media_type=i["source"]["media_type"], bytes=F.length(i["source"]["data"]), note=IMAGE_NOTE))
         )
 
-    said = lambda *kinds: F.array_compact(F.transform(F.filter("items", lambda i: i["type"].isin(*kinds)), shown))
-    base = lambda df, role, grp, u, b: df.select("session_key", "line", F.lit(0).alias("seq"), F.lit(role).alias("role"), grp.alias("grp"), F.col("j.timestamp").alias("ts"), u.alias("usage"), b.alias("blocks"))
-    none = F.lit(None).cast(USAGE)
-    from_user = base(user, "user", F.lit(None).cast("string"), none, said("text", "image")).where(F.size("blocks") > 0)
     u = F.col("j.message.usage")
     each = [F.coalesce(u[c], F.lit(0)) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")]
     total = each[0] + each[1] + each[2] + each[3]
     use = F.when(u.isNotNull(), usage(input_tokens=u["input_tokens"], output_tokens=u["output_tokens"], cache_read_tokens=u["cache_read_input_tokens"], cache_write_tokens=u["cache_creation_input_tokens"], total_tokens=total))
-    group = F.coalesce(F.col("j.message.id"), F.concat(F.lit("line-"), F.col("line").cast("string")))
-    from_model = base(assistant, "assistant", group, use, said("text", "thinking", "tool_use"))
+    by_user, by_model = F.col("j.type") == "user", F.col("j.type") == "assistant"
+    group = F.when(by_model, F.coalesce(F.col("j.message.id"), F.concat(F.lit("line-"), F.col("line").cast("string"))))
+    said = F.filter("items", lambda i: (by_user & i["type"].isin("text", "image")) | (by_model & i["type"].isin("text", "thinking", "tool_use")))
+    records = p.where((by_user | by_model) & F.col("j.message").isNotNull()).select(
+        "session_key", "line", F.lit(0).alias("seq"), F.col("j.type").alias("role"), group.alias("grp"), F.col("j.timestamp").alias("ts"), F.when(by_model, use).alias("usage"), F.array_compact(F.transform(said, shown)).alias("blocks")
+    ).where((F.col("role") == "assistant") | (F.size("blocks") > 0))
     results = user.select("session_key", "line", F.posexplode("items").alias("seq", "i")).where("i.type = 'tool_result' AND i.tool_use_id IS NOT NULL").select("session_key", "line", (F.col("seq") + 1).alias("seq"), F.col("i.tool_use_id").alias("call_id"), F.col("i.content").alias("output"), F.coalesce("i.is_error", F.lit(False)).alias("is_error"))
     facts = p.select("session_key", "line", F.nullif(F.col("j.cwd"), F.lit("")).alias("cwd"), F.lit(None).cast("string").alias("meta_id"), F.when(F.col("j.type") == "assistant", F.coalesce("j.message.model", "j.model")).alias("model"), F.when(total > 0, total).otherwise(1).alias("weight"), F.lit(None).cast(USAGE).alias("total"))
-    return Parsed(from_user.union(from_model), results, facts, _no_warnings(lines))
+    return Parsed(records, results, facts, _no_warnings(lines))
 
 
 def tool_b(lines: DataFrame) -> Parsed:
@@ -85,17 +85,21 @@ def tool_b(lines: DataFrame) -> Parsed:
     joined = F.array_join(F.filter(F.transform(F.from_json(y["content"], "array<struct<type:string,text:string>>"), lambda i: i["text"]), lambda t: t.isNotNull() & (t != "")), "\n")
     text = F.coalesce(joined, y["content"])
     step = F.concat(F.lit("step-"), F.col("line").cast("string"))
-    none, nothing = F.lit(None).cast(USAGE), F.lit(None).cast("string")
-    base = lambda df, role, grp, b: df.select("session_key", "line", F.lit(0).alias("seq"), role.alias("role"), grp.alias("grp"), F.col("timestamp").alias("ts"), none.alias("usage"), F.array(b).alias("blocks"))
-    message = p.where("tag = 'message'").withColumn("said", text).where("said <> '' AND payload.role IN ('user', 'assistant')")
-    messages = base(message, y["role"], F.when(y["role"] == "assistant", step).otherwise(nothing), block(kind="text", text=F.col("said")))
-    thought = p.where("tag = 'reasoning'").withColumn("said", F.nullif(F.coalesce(F.array_join(F.from_json(y["summary"], "array<struct<text:string>>")["text"], "\n"), y["summary"], joined), F.lit("")))
-    thinking = base(thought.where("said IS NOT NULL AND payload.encrypted_content IS NULL"), F.lit("assistant"), step, block(kind="thinking", text=F.col("said")))
     call_id = F.nullif(F.when(F.coalesce("id_kind", F.lit("STRING")) == "STRING", F.coalesce(y["call_id"], y["id"])), F.lit(""))
-    calls = p.where("tag IN ('function_call', 'custom_tool_call')").withColumn("cid", call_id).where("cid IS NOT NULL AND payload.name IS NOT NULL")
-    searches = p.where("tag = 'web_search_call'").withColumn("cid", F.coalesce(call_id, F.concat(F.lit("web-"), F.col("line").cast("string"))))
-    called = base(calls, F.lit("assistant"), step, block(kind="tool_use", tool_use_id=F.col("cid"), name=y["name"], input=F.coalesce(y["arguments"], y["input"])))
-    searched = base(searches, F.lit("assistant"), step, block(kind="tool_use", tool_use_id=F.col("cid"), name="web_search"))
+    summary = F.nullif(F.coalesce(F.array_join(F.from_json(y["summary"], "array<struct<text:string>>")["text"], "\n"), y["summary"], joined), F.lit(""))
+    record = lambda role, grp, b: F.struct(role.cast("string").alias("role"), grp.cast("string").alias("grp"), b.alias("block"))
+    tag, model = F.col("tag"), F.lit("assistant")
+    is_message = (tag == "message") & (text != "") & y["role"].isin("user", "assistant")
+    is_call = tag.isin("function_call", "custom_tool_call") & call_id.isNotNull() & y["name"].isNotNull()
+    made = (
+        F.when(is_message, record(y["role"], F.when(y["role"] == "assistant", step), block(kind="text", text=text)))
+        .when((tag == "reasoning") & summary.isNotNull() & y["encrypted_content"].isNull(), record(model, step, block(kind="thinking", text=summary)))
+        .when(is_call, record(model, step, block(kind="tool_use", tool_use_id=call_id, name=y["name"], input=F.coalesce(y["arguments"], y["input"]))))
+        .when(tag == "web_search_call", record(model, step, block(kind="tool_use", tool_use_id=F.coalesce(call_id, F.concat(F.lit("web-"), F.col("line").cast("string"))), name="web_search")))
+    )
+    records = p.withColumn("made", made).where("made IS NOT NULL").select(
+        "session_key", "line", F.lit(0).alias("seq"), "made.role", "made.grp", F.col("timestamp").alias("ts"), F.lit(None).cast(USAGE).alias("usage"), F.array("made.block").alias("blocks")
+    )
     out = p.where("tag IN ('function_call_output', 'custom_tool_call_output')").withColumn("cid", call_id).where("cid IS NOT NULL")
     results = out.select("session_key", "line", F.lit(0).alias("seq"), F.col("cid").alias("call_id"), y["output"].alias("output"), F.coalesce(y["is_error"], F.lit(False)).alias("is_error"))
     t = y["info"]["total_token_usage"]
@@ -105,7 +109,7 @@ def tool_b(lines: DataFrame) -> Parsed:
     code = F.when((tag == "message") & y["role"].isin("developer", "system"), "skipped_role").when((tag == "reasoning") & y["encrypted_content"].isNotNull(), "dropped_encrypted_reasoning")
     events = p.where("tag = 'event_msg' AND payload.type = 'token_count'").groupBy("session_key").agg(F.count("payload.info.total_token_usage").alias("n")).where("n = 0")
     warnings = p.select("session_key", code.alias("code"), "line").where("code IS NOT NULL").union(events.select("session_key", F.lit("missing_token_usage"), F.lit(None).cast("int")))
-    return Parsed(messages.union(thinking).union(called).union(searched), results, facts, warnings)
+    return Parsed(records, results, facts, warnings)
 
 
 def tool_c(lines: DataFrame) -> Parsed:

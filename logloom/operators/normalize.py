@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_TOOL_OUTPUT_CHARS, MAX_TURN_CHARS
 from ..functions.predicates import placeholder_model
 from ..sources.logs import ADAPTER_VERSIONS, checked, project_from_slug, session_id_from_path
-from .adapters import ADAPTERS, USAGE, Parsed
+from .adapters import ADAPTERS, USAGE, Parsed, block
 
 FIELDS = [x.split(":")[0] for x in USAGE[len("struct<") : -1].split(",")]
 
@@ -88,59 +88,78 @@ def normalise(lines: DataFrame, tool: str, max_turn_chars: int = MAX_TURN_CHARS,
     good = read.where("problem IS NULL")
     p: Parsed = ADAPTERS[tool](good.select("session_key", "line", "value"))
     results = p.results.withColumn("output", F.col("output").cast("string"))
-    cut = F.length("output") > max_output_chars
-    own = p.records.select("*", F.posexplode_outer("blocks").alias("pos", "b"))
     merged = F.col("grp").isNotNull()
     tkey = F.when(merged, F.concat(F.lit("assistant-"), F.col("grp"))).otherwise(F.concat_ws("-", "role", F.col("line").cast("string"), F.col("seq").cast("string")))
-    own = own.withColumn("tkey", tkey)
-    grouped = first_blocks(own.where(merged).withColumn("bkey", F.coalesce(block_key(F.col("b")), F.lit(""))), ["session_key", "tkey"]).drop("bkey")
-    body = grouped.unionByName(own.where(~merged))
-    calls = grouped.where("b.kind = 'tool_use'").select("session_key", F.col("b.tool_use_id").alias("call_id"), "line")
-    answers, orphans = paired(calls, results)
-    late = F.when(merged, 1).otherwise(0)
-    turn = p.records.withColumn("tkey", tkey).groupBy("session_key", "tkey", "role").agg(
-        F.min("line").alias("line"), F.min("seq").alias("seq"), F.max(late).alias("late"),
-        F.min_by("ts", F.when(F.coalesce("ts", F.lit("")) != "", F.struct("line", "seq"))).alias("ts"),
-    )
+    records = p.records.withColumn("tkey", tkey).withColumn("late", F.when(merged, 1).otherwise(0))
     result_key = F.concat_ws("-", F.lit("tool-result"), "call_id", F.col("line").cast("string"), F.col("seq").cast("string"))
-    result_turns = results.select("session_key", result_key.alias("tkey"), F.lit("tool").alias("role"), "line", "seq", F.lit(0).alias("late"), F.lit(None).cast("string").alias("ts"))
-    stream = Window.partitionBy("session_key").orderBy("line", "seq", "late", "tkey")
-    every = turn.unionByName(result_turns).withColumn("n", F.count("*").over(stream.rowsBetween(Window.unboundedPreceding, -1)))
-    turn_id = F.when(F.col("late") == 1, F.col("tkey")).when(F.col("role") == "tool", F.regexp_replace("tkey", r"-\d+$", "")).otherwise(F.concat_ws("-", "role", F.col("line").cast("string"), F.col("n").cast("string")))
-    order = Window.partitionBy("session_key").orderBy("line", "late", "seq", "tkey")
-    turns = every.withColumn("turn_index", (F.row_number().over(order) - 1).cast("int"))
-    place = turns.select("session_key", "tkey", "turn_index")
-    answered = body.where("b IS NOT NULL").join(answers, [body.session_key == answers.session_key, body.b.tool_use_id == answers.call_id], "left").select(body["*"], "answer")
-    cells = answered.join(place, ["session_key", "tkey"]).select(
-        "session_key", "turn_index", "line", "pos", "b.kind", F.when(F.col("b.kind").isin("text", "thinking"), bounded(F.col("b.text"), max_turn_chars)).alias("text"), "b.media_type", "b.bytes", "b.note",
-        "b.tool_use_id", "b.name", "b.input", bounded(F.col("answer.output"), max_output_chars).alias("output"), F.coalesce("answer.status", "b.status").alias("status"), (F.length("b.text") > max_turn_chars).alias("cut"),
-    )
-    result_cells = results.withColumn("tkey", result_key).join(place, ["session_key", "tkey"]).select(
-        "session_key", "turn_index", "line", F.lit(0).alias("pos"), F.lit("tool_result").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("media_type", "string"), ("bytes", "bigint"), ("note", "string"))),
-        F.col("call_id").alias("tool_use_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("input"), bounded(F.col("output"), max_output_chars).alias("output"), F.when(F.col("is_error"), "error").otherwise("success").alias("status"), F.lit(False).alias("cut"),
-    )
-    cells = cells.unionByName(result_cells)
-    in_turn = Window.partitionBy("session_key", "turn_index").orderBy("line", "pos")
-    blocks = cells.withColumn("block_pos", (F.row_number().over(in_turn) - 1).cast("int"))
-    tool_calls = blocks.where("kind = 'tool_use'").select("session_key", "turn_index", F.col("block_pos").alias("call_pos"), F.col("tool_use_id").alias("id"), "name", "input", "output", "status")
+    result_block = block(kind="tool_result", tool_use_id=F.col("call_id"), output=F.col("output"), status=F.when(F.col("is_error"), "error").otherwise("success"))
+    result_turns = results.select("session_key", result_key.alias("tkey"), F.lit("tool").alias("role"), "line", "seq", F.lit(0).alias("late"), F.lit(None).cast("string").alias("ts"), F.array(result_block).alias("blocks"))
+    every = records.select(*result_turns.columns).unionByName(result_turns)
+    turns = numbered_turns(every)
+    blocks = placed_blocks(every)
+    orphans = blocks.where("kind = 'tool_result' AND NOT matched")
+    long_output = blocks.where((F.col("kind") == "tool_result") & (F.length("output") > max_output_chars))
+    long_text = blocks.where(F.col("kind").isin("text", "thinking") & (F.length("text") > max_turn_chars))
     warn = lambda df, code: df.select("session_key", (F.lit(code) if isinstance(code, str) else code).alias("code"), F.col("line").cast("int").alias("line"))
-    warnings = warn(read.where("problem IS NOT NULL"), F.col("problem")).union(warn(p.warnings, F.col("code"))).union(warn(orphans, "unmatched_tool_result")).union(warn(blocks.where("cut"), "truncated_turn")).union(warn(results.where(cut), "truncated_tool_output"))
+    warnings = warn(read.where("problem IS NOT NULL"), F.col("problem")).union(warn(p.warnings, F.col("code"))).union(warn(orphans, "unmatched_tool_result")).union(warn(long_text, "truncated_turn")).union(warn(long_output, "truncated_tool_output"))
+    blocks = blocks.withColumns({"text": bounded(F.col("text"), max_turn_chars), "output": bounded(F.col("output"), max_output_chars)})
+    tool_calls = blocks.where("kind = 'tool_use'").select("session_key", "turn_index", F.col("block_pos").alias("call_pos"), F.col("tool_use_id").alias("id"), "name", "input", "output", "status")
     if too_large is not None:
         warnings = warnings.union(too_large.select(F.col("source_path").alias("session_key"), "code", F.lit(None).cast("int").alias("line")))
     paths = [x.select("source_path") for x in (lines, files, too_large) if x is not None]
     sessions = build_sessions(reduce(DataFrame.union, paths), tool, p, turns)
-    return Normalised(sessions, turns.select("session_key", "turn_index", turn_id.alias("turn_id"), "role", F.col("ts").alias("timestamp"), F.col("line").alias("source_line")), blocks.drop("cut", "line", "pos"), tool_calls, warnings)
+    return Normalised(sessions, turns, blocks.drop("line", "matched"), tool_calls, warnings)
+
+
+def numbered_turns(every: DataFrame) -> DataFrame:
+    """every(session_key, tkey, role, line, seq, late, ts, blocks) -> session_key, turn_index, turn_id, role, timestamp, source_line."""
+    turn = every.groupBy("session_key", "tkey", "role").agg(
+        F.min("line").alias("line"), F.min("seq").alias("seq"), F.max("late").alias("late"), F.min_by("ts", F.when(F.coalesce("ts", F.lit("")) != "", F.struct("line", "seq"))).alias("ts")
+    )
+    stream = Window.partitionBy("session_key").orderBy("line", "seq", "late", "tkey")
+    order = Window.partitionBy("session_key").orderBy("line", "late", "seq", "tkey")
+    n = F.count("*").over(stream.rowsBetween(Window.unboundedPreceding, -1))
+    turn_id = F.when(F.col("late") == 1, F.col("tkey")).when(F.col("role") == "tool", F.regexp_replace("tkey", r"-\d+$", "")).otherwise(F.concat_ws("-", "role", F.col("line").cast("string"), F.col("n").cast("string")))
+    numbered = turn.withColumn("n", n).withColumn("turn_index", (F.row_number().over(order) - 1).cast("int"))
+    return numbered.select("session_key", "turn_index", turn_id.alias("turn_id"), "role", F.col("ts").alias("timestamp"), F.col("line").alias("source_line"))
+
+
+def placed_blocks(every: DataFrame) -> DataFrame:
+    """Blocks with their turn's index, their place in it, and calls with their answers (A2, J1-J3): one shuffle by session, then windows alone.
+
+    A call's answer is the last result that comes after the call's first line; `matched` tells results that have such a call.
+    """
+    b = F.col("b")
+    own = every.select("session_key", "tkey", "line", "seq", "late", F.posexplode_outer("blocks").alias("pos", "b")).repartition("session_key")
+    group = Window.partitionBy("session_key", "tkey")
+    own = own.withColumns({"_line": F.min("line").over(group), "_seq": F.min("seq").over(group)})
+    same = F.when(F.col("late") == 1, F.coalesce(block_key(b), F.lit(""))).otherwise(F.coalesce(F.col("pos").cast("string"), F.lit("")))
+    own = first_blocks(own.withColumn("bkey", same), ["session_key", "tkey"])
+    order = Window.partitionBy("session_key").orderBy("_line", "late", "_seq", "tkey")
+    own = own.withColumn("turn_index", (F.dense_rank().over(order) - 1).cast("int")).where("b IS NOT NULL")
+    call = Window.partitionBy("session_key", "call_id")
+    is_call, is_result = b["kind"] == "tool_use", b["kind"] == "tool_result"
+    own = own.withColumn("call_id", b["tool_use_id"]).withColumn("_called", F.min(F.when(is_call, F.col("line"))).over(call))
+    own = own.withColumn("matched", is_result & F.coalesce(F.col("_called") < F.col("line"), F.lit(False)))
+    answer = F.max_by(F.struct(b["output"].alias("output"), b["status"].alias("status")), F.when(F.col("matched"), F.struct("line", "seq"))).over(call)
+    own = own.withColumn("answer", F.when(is_call, answer))
+    place = F.row_number().over(Window.partitionBy("session_key", "turn_index").orderBy("line", "pos")) - 1
+    return own.select(
+        "session_key", "turn_index", "b.kind", "b.text", "b.media_type", "b.bytes", "b.note", "b.tool_use_id", "b.name", "b.input",
+        F.when(is_call, F.col("answer.output")).otherwise(b["output"]).alias("output"), F.coalesce("answer.status", "b.status").alias("status"), place.cast("int").alias("block_pos"), "line", "matched",
+    )
 
 
 def build_sessions(paths: DataFrame, tool: str, p: Parsed, turns: DataFrame) -> DataFrame:
     files = paths.select(F.col("source_path").alias("session_key")).distinct()
-    counts = turns.groupBy("session_key").agg(F.count("*").alias("turn_count"), F.min(F.nullif(F.col("ts"), F.lit(""))).alias("started_at"), F.max(F.nullif(F.col("ts"), F.lit(""))).alias("ended_at"))
+    counts = turns.groupBy("session_key").agg(F.count("*").alias("turn_count"), F.min(F.nullif(F.col("timestamp"), F.lit(""))).alias("started_at"), F.max(F.nullif(F.col("timestamp"), F.lit(""))).alias("ended_at"))
     used = session_usage(group_usage(p.records))
     if tool == "codex":
         used = last_value(p.facts, "total").select("session_key", F.col("total").alias("usage"), F.lit(1).cast("bigint").alias("groups"))
     model = last_value(p.facts, "model") if tool == "gemini" else model_mode(p.facts)
     s = files
-    for part in (counts, used, model, last_value(p.facts, "cwd"), last_value(p.facts, "meta_id")):
+    last = p.facts.groupBy("session_key").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c) for c in ("cwd", "meta_id")))
+    for part in (counts, used, model, last):
         s = s.join(part, "session_key", "left")
     reports = {"claude-code": (1, 1, 1, 1, 0), "codex": (1, 1, 1, 0, 1), "gemini": (1, 1, 0, 0, 0)}[tool]
     seen = F.when(F.col("usage").isNotNull(), F.struct(*((F.lit(bool(r)) | (F.col("groups") > 1)).alias(c) for c, r in zip(("input", "output", "cache_read", "cache_write", "reasoning"), reports))))
