@@ -37,4 +37,6 @@ REDACT_PATTERNS = (
     r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     r"(?im)(?:^|[\s;])(?:API_KEY|SECRET|PASSWORD|TOKEN)\s*=\s*[^\s#]+",
 )
+#: What a text must hold for any of them to match.
+REDACT_HEADS = r"sk-|sk_|ghp_|gho_|github_pat_|glpat-|npm_|xox|AKIA|ASIA|eyJ|-----BEGIN|(?i:Bearer\s|API_KEY\s*=|SECRET\s*=|PASSWORD\s*=|TOKEN\s*=)"
 # --- end of fixed values -------------------------------------------------------------------

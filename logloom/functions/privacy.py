@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import REDACT_PATTERNS, REDACTED
+from ..constants import REDACT_HEADS, REDACT_PATTERNS, REDACTED
 
 
 def redact(text: Column, extra: Iterable[str] = ()) -> Column:
-    """Built-in secret patterns, then extra ones, each hit replaced."""
-    for p in (*REDACT_PATTERNS, *extra):
+    """Built-in secret patterns, then extra ones, each hit replaced. Texts without the head of any built-in pattern skip these."""
+    clean = text
+    for p in REDACT_PATTERNS:
+        clean = F.regexp_replace(clean, p, REDACTED)
+    text = F.when(text.rlike(REDACT_HEADS), clean).otherwise(text)
+    for p in extra:
         text = F.regexp_replace(text, p, REDACTED)
     return text
 

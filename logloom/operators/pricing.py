@@ -95,20 +95,18 @@ def normal_model(model: Column) -> Column:
 def matched_prices(models: DataFrame, table: DataFrame, longest: bool = False) -> DataFrame:
     """models(model), distinct -> model, price struct, matched_alias.
 
-    Exact aliases are an equi join. Only models left over meet the aliases by prefix, over distinct models, never over sessions.
-    First table row and first alias win; longest=True takes the longest alias in the prefix pass instead.
+    One equi join: a model meets aliases by its whole name and by what stands before each of its dashes. A whole name beats a prefix;
+    then the first table row and first alias win; longest=True takes the longest alias among prefixes instead.
     """
     fields = [c for c in table.columns if c != "aliases"]
     alias = table.select(F.struct(*fields).alias("price"), F.posexplode("aliases").alias("alias_ord", "alias")).withColumn("norm", normal_model(F.col("alias")))
-    alias = F.broadcast(alias)  # the price table: some hundred aliases, fixed
     named = models.where(F.coalesce("model", F.lit("")) != "").select("model", normal_model(F.col("model")).alias("m")).distinct()
-    pick = lambda df, key: df.groupBy("model", "m").agg(F.min_by(F.struct("price", "alias"), key).alias("hit"))
-    order = F.struct(F.col("price.row_ord"), F.col("alias_ord"))
-    exact = pick(named.join(alias, F.col("m") == F.col("norm")), order)
-    rest = named.join(exact.select("model"), "model", "left_anti")
-    by_length = F.struct(-F.length("norm"), F.col("price.row_ord"), F.col("alias_ord"))
-    prefix = pick(rest.join(alias, F.col("m").startswith(F.concat("norm", F.lit("-")))), by_length if longest else order)
-    return exact.union(prefix).select("model", "hit.price", F.col("hit.alias").alias("matched_alias"))
+    parts = F.split("m", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "-"))
+    met = named.select("model", "m", F.explode(heads).alias("norm")).join(F.broadcast(alias), "norm")  # the price table: some hundred aliases, fixed
+    partial = (F.col("norm") != F.col("m")).cast("int")
+    order = F.struct(partial, *([-F.length("norm") * partial] if longest else []), F.col("price.row_ord"), F.col("alias_ord"))
+    return met.groupBy("model").agg(F.min_by(F.struct("price", "alias"), order).alias("hit")).select("model", "hit.price", F.col("hit.alias").alias("matched_alias"))
 
 
 def with_estimate(sessions: DataFrame, table: DataFrame, longest: bool = False) -> DataFrame:
