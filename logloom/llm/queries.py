@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, media, mixing, neardup, packing, pivots, preference, quality, suffix, toxicity
+from . import hilbert, media, mixing, neardup, packing, pivots, preference, quality, repair, secrets, suffix, toxicity, trie
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_preference": preference.op8_preference,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_trie": trie.op11_trie,
+    "op12_repair": repair.op12_repair,
+    "op13_secrets": secrets.op13_secrets,
 }
 
-ORACLES = {"op5_pivots": pivots.ORACLE, "op8_preference": preference.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op5_pivots": pivots.ORACLE, "op8_preference": preference.ORACLE, "op9_mixing": mixing.ORACLE, "op11_trie": trie.ORACLE}
