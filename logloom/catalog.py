@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import REDACT_PATTERNS
+from .constants import REDACT_PATTERNS, TOOLS
 from .functions import display, predicates, privacy
 from .operators import normalize, pricing, quality, search, stats
+from .operators.adapters import block
 from .plans import bindings as b
 from .plans.registry import ORACLES, QUERIES, query
 from .sources import logs, sinks
@@ -173,9 +175,22 @@ query(
 query("q7_marked", "SELECT conv_id AS session_key, turn AS turn_index, regexp_replace(text, '(und|der)', '<m>\\1</m>', 'gi') AS text FROM conversations")(lambda s, d: _turns(s, d).select("session_key", "turn_index", search.marked(F.col("text"), ["der", "und"]).alias("text")))
 
 # --- normalising ----------------------------------------------------------------------------------
+def _parts(s: SparkSession, d: str, merged: bool) -> DataFrame:
+    """Order lines as parts of turns: merged by group, or a turn each, with a call or a result."""
+    f = b.fragments(s, d)
+    call = F.col("call_id").cast("string")
+    made = F.when(F.col("is_result"), block(kind="tool_result", tool_use_id=call, output=F.col("output"), status="success")).otherwise(block(kind="tool_use", tool_use_id=call, name="run"))
+    tkey = F.concat(F.lit("assistant-"), F.col("grp" if merged else "line").cast("string"))
+    return f.select("session_key", tkey.alias("tkey"), F.lit("assistant").alias("role"), "line", "seq", F.lit(int(merged)).alias("late"), "ts", F.array(made).alias("blocks"))
+
+
+def _grp() -> Column:
+    return F.substring_index("tkey", "-", -1).cast("bigint")
+
+
 query(
     "a1_fragment_merge", R + "SELECT session_key, grp, min(line) AS line, arg_min(ts, line) AS ts FROM fr GROUP BY session_key, grp",
-)(lambda s, d: b.fragments(s, d).groupBy("session_key", "grp").agg(F.min("line").alias("line"), F.min_by("ts", F.when(F.col("ts") != "", F.col("line"))).alias("ts")))
+)(lambda s, d: normalize.merged_parts(_parts(s, d, True)).select("session_key", _grp().alias("grp"), "line", "ts"))
 query("a2_block_dedupe", R + "SELECT session_key, grp, model, line FROM fr QUALIFY row_number() OVER (PARTITION BY session_key, grp, model ORDER BY line) = 1")(lambda s, d: normalize.first_blocks(b.fragments(s, d).withColumn("pos", F.lit(0)), ["session_key", "grp"], "model").select("session_key", "grp", "model", "line"))
 query(
     "a4_session_usage",
@@ -185,19 +200,19 @@ query("a5_last_total", R + "SELECT session_key, arg_max(q, line) * 3 AS total FR
 query("a7_model_mode", R + ", g AS (SELECT session_key, model, sum(q) AS w, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, model FROM g QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY w DESC, line) = 1")(lambda s, d: normalize.model_mode(b.fragments(s, d)))
 query("a8_model_count", R + ", g AS (SELECT session_key, model, count(*) AS w, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, model FROM g QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY w DESC, line) = 1")(lambda s, d: normalize.model_mode(b.fragments(s, d).withColumn("weight", F.lit(1))))
 query("a9_last_model", R + "SELECT session_key, arg_max(model, line) AS model FROM fr GROUP BY 1")(lambda s, d: normalize.last_value(b.fragments(s, d), "model"))
-query("a10_bounds", R + "SELECT session_key, min(ts) AS started_at, max(ts) AS ended_at FROM fr GROUP BY 1")(lambda s, d: b.fragments(s, d).groupBy("session_key").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at")))
+query("a10_bounds", R + "SELECT session_key, min(ts) AS started_at, max(ts) AS ended_at FROM fr GROUP BY 1")(lambda s, d: normalize.bounds(_parts(s, d, True)).select("session_key", "started_at", "ended_at"))
 _PAIR = R + ", c AS (SELECT session_key, call_id, min(line) AS call_line FROM fr WHERE NOT is_result GROUP BY 1, 2), h AS (SELECT r.*, coalesce(c.call_line < r.line, false) AS matched FROM fr r LEFT JOIN c USING (session_key, call_id) WHERE r.is_result) "
 
 
-def _pairs(s: SparkSession, d: str):
-    f = b.fragments(s, d)
-    return normalize.paired(f.where("NOT is_result"), f.where("is_result").select("session_key", "call_id", "line", "seq", "output", F.lit(False).alias("is_error")))
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    own = _parts(s, d, False).withColumn("b", F.explode("blocks"))
+    return normalize.answered(own).select("session_key", F.col("b.tool_use_id").cast("bigint").alias("call_id"), "b.kind", "answer.output", "line", "matched", F.col("answer.status").alias("status"))
 
 
-query("j1_paired", _PAIR + "SELECT session_key, call_id, arg_max(output, line) AS output FROM h WHERE matched GROUP BY 1, 2")(lambda s, d: _pairs(s, d)[0].select("session_key", "call_id", "answer.output"))
-query("j2_unmatched", _PAIR + "SELECT session_key, call_id, line FROM h WHERE NOT matched")(lambda s, d: _pairs(s, d)[1].select("session_key", "call_id", "line"))
+query("j1_paired", _PAIR + "SELECT session_key, call_id, arg_max(output, line) AS output FROM h WHERE matched GROUP BY 1, 2")(lambda s, d: _answers(s, d).where("kind = 'tool_use' AND status IS NOT NULL").select("session_key", "call_id", "output").distinct())
+query("j2_unmatched", _PAIR + "SELECT session_key, call_id, line FROM h WHERE NOT matched")(lambda s, d: _answers(s, d).where("kind = 'tool_result' AND NOT matched").select("session_key", "call_id", "line"))
 query("w1_turn_index", R + ", t AS (SELECT session_key, grp, min(line) AS line FROM fr GROUP BY 1, 2) SELECT session_key, grp, CAST(row_number() OVER (PARTITION BY session_key ORDER BY line) - 1 AS INTEGER) AS turn_index FROM t")(
-    lambda s, d: b.fragments(s, d).groupBy("session_key", "grp").agg(F.min("line").alias("line")).selectExpr("session_key", "grp", "CAST(row_number() OVER (PARTITION BY session_key ORDER BY line) - 1 AS INT) AS turn_index")
+    lambda s, d: normalize.numbered_turns(_parts(s, d, True), 2).select("session_key", _grp().alias("grp"), "turn_index")
 )
 _PATH = "'/logs/-home-dev-app/c' || conv_id || '.jsonl'"
 for _tool in ("claude-code", "codex", "gemini"):
@@ -268,6 +283,8 @@ def _warnings(s: SparkSession, d: str) -> DataFrame:
 query("u2_merge_warnings", f"WITH w AS ({_WARN}) SELECT code, message, scope, line, session_id, source_path, arg_min(severity, ord) AS severity, min(ord) AS ord FROM w GROUP BY ALL")(lambda s, d: (lambda w: quality.merged_warnings(w.where("ord % 2 = 0"), w.where("ord % 2 = 1")))(_warnings(s, d)))
 query("a23_warning_summary", f"WITH w AS ({_WARN}) SELECT code, message, scope, session_id, source_path, count(*) AS count, arg_min(severity, ord) AS severity FROM w GROUP BY 1, 2, 3, 4, 5")(lambda s, d: quality.warning_summary(_warnings(s, d)))
 query("v1_violations", W + "SELECT session_key, 'tool_unknown' AS rule FROM s WHERE tool = 'gemini' UNION ALL SELECT session_key, 'cost_negative' FROM s WHERE cost_usd > 0")(lambda s, d: quality.violations(_ev(s, d).withColumn("tool", F.when(F.col("tool") != "gemini", F.col("tool")).otherwise("other")).withColumn("cost_usd", -F.col("cost_usd"))))
-query("u1_union", W + "SELECT tool, count(*) AS n FROM s GROUP BY tool")(lambda s, d: (lambda e: e.where("tool = 'codex'").unionByName(e.where("tool <> 'codex'").drop("user_id"), allowMissingColumns=True).groupBy("tool").agg(F.count("*").alias("n")))(_ev(s, d)))
+query("u1_union", "SELECT t.tool, '/logs/-home-dev-app/c' || conv_id || '.jsonl' AS session_key, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS turn_count FROM conversations, (VALUES ('claude-code'), ('codex'), ('gemini')) t(tool) GROUP BY 1, conv_id")(
+    lambda s, d: reduce(DataFrame.unionByName, (normalize.normalise(b.raw_lines(s, d, t), t).sessions for t in TOOLS)).select("tool", "session_key", "turn_count")
+)
 
 from . import catalog_lines  # noqa: E402,F401  (registers the queries over whole log lines)

@@ -63,6 +63,16 @@ query("n21_nested_a", _NESTED + "SELECT session_key, roles, kinds FROM t JOIN k
 query("n7_blocks_b", B + "SELECT * EXCLUDE (line) FROM bb")(
     lambda s, d: (lambda n: n.turns.join(n.blocks, ["session_key", "turn_index"]).select("session_key", "turn_index", "role", "kind", "text", "tool_use_id", "name", "input", "output", "status"))(_b(s, d))
 )
+query(
+    "n12_turn_ids_b",
+    B + ", n AS (SELECT *, count(*) FILTER (WHERE role <> 'tool') OVER (PARTITION BY session_key ORDER BY line) AS step FROM bb) SELECT session_key, turn_index, CASE WHEN role = 'user' THEN 'user-' || line || '-' || turn_index WHEN role = 'tool' THEN 'tool-result-' || tool_use_id || '-' || line"
+    " WHEN kind = 'tool_use' THEN 'assistant-call-' || tool_use_id WHEN kind = 'thinking' THEN 'assistant-reasoning-' || step ELSE 'assistant-assistant-step-' || step END AS turn_id FROM n",
+)(lambda s, d: normalize.normalise(g.tool_b_lines(s, d), "codex", span=20).turns.select("session_key", "turn_index", "turn_id"))
+query(
+    "n12_turn_ids_c",
+    C + ", n AS (SELECT *, sum(CASE role WHEN 'assistant' THEN 2 WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, sub) AS step FROM a) SELECT session_key, turn_index, CASE role WHEN 'assistant' THEN 'assistant-model-' || CAST(step AS BIGINT) WHEN 'tool' THEN 'tool-result-k' || (turn - 1) || '-' || (turn * 10 + 1)"
+    " ELSE 'user-' || (turn * 10 + 1) || '-' || turn_index END AS turn_id FROM n",
+)(lambda s, d: normalize.normalise(g.tool_c_lines(s, d), "gemini", span=20).turns.select("session_key", "turn_index", "turn_id"))
 query(
     "n9_warnings_b",
     B + "SELECT session_key, 'skipped_role' AS code, turn * 10 + 3 AS line FROM k WHERE role IN ('system', 'developer') UNION ALL SELECT session_key, 'dropped_encrypted_reasoning', turn * 10 + 4 FROM k WHERE role = 'assistant' AND turn % 4 = 1"
@@ -159,10 +169,10 @@ query(
 query(
     "s7_line_numbers", "WITH p AS (SELECT doc_id, unnest(string_split(text, ' de ')) AS v, generate_subscripts(string_split(text, ' de '), 1) AS line FROM documents) SELECT doc_id, line, md5(v) AS digest FROM p WHERE regexp_matches(v, '\\S')",
 )(
-    lambda s, d: logs.numbered(b.read(s, d, "documents").select(F.col("doc_id").alias("source_path"), F.lit(0).alias("block_start"), F.explode(F.split("text", " de ")).alias("value")))
+    lambda s, d: logs.numbered(b.read(s, d, "documents").select(F.col("doc_id").alias("source_path"), F.posexplode(F.split("text", " de ")).alias("at", "value")).select("source_path", "value", F.floor(F.col("at") / 7).alias("block_start")))
     .select(F.col("source_path").alias("doc_id"), F.col("line").cast("bigint"), F.md5("value").alias("digest"))
 )
-query("s8_size_guard", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'file_too_large' ELSE 'read' END AS code FROM documents WHERE n_chars IS NOT NULL")(
+query("s8_size_guard", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'file_too_large' ELSE 'read' END AS code FROM documents")(
     lambda s, d: (lambda kept, big: kept.select("source_path", F.lit("read").alias("code")).union(big).withColumnRenamed("source_path", "doc_id"))(
         *logs.size_guard(b.read(s, d, "documents").select(F.col("doc_id").alias("source_path"), F.col("n_chars").alias("file_size")), 1000)
     )

@@ -1,13 +1,11 @@
-"""Per-tool line mapping (N1-N17): checked lines -> records, results, line facts and warnings.
+"""Per-tool line mapping (N1-N17): each checked line becomes one event row, by one projection and without a shuffle.
 
-records: session_key, line, seq, late, role, grp, ts, usage, blocks (array of block structs)
-results: session_key, line, seq, call_id, output, is_error
+Events: session_key, line, problem, record (or null), emits (steps that the line adds to its file's count), results (array), cwd, meta_id, model, weight,
+total (usage so far, or null), tokens (null unless a token event; whether it is usable), codes (warnings of the line).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +14,12 @@ from ..functions.predicates import model_id
 
 BLOCK = "struct<kind:string,text:string,media_type:string,bytes:bigint,note:string,tool_use_id:string,name:string,input:string,output:string,status:string>"
 USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_tokens:bigint,cache_write_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint>"
+#: step: null, or the place among the line's steps that is added to the file's count and to the group's name.
+RECORD = f"struct<seq:int,role:string,grp:string,step:int,ts:string,usage:{USAGE},blocks:array<{BLOCK}>>"
+RESULT = "struct<seq:int,call_id:string,output:string,is_error:boolean>"
 IMAGE_NOTE = "image data omitted"
 
 
-@dataclass
-class Parsed:
-    records: DataFrame
-    results: DataFrame
-    facts: DataFrame  # session_key, line, cwd, meta_id, model, weight, total (struct or null)
-    warnings: DataFrame  # session_key, code, line
-
-
 def block(**fields: Column | str) -> Column:
     names = [x.split(":")[0] for x in BLOCK[len("struct<") : -1].split(",")]
     return F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(n) if (v := fields.get(n)) is not None else F.lit(None).alias(n) for n in names)).cast(BLOCK)
@@ -37,19 +30,28 @@ def usage(**fields: Column) -> Column:
     return F.struct(*((fields[n].cast("bigint") if n in fields else F.lit(None).cast("bigint")).alias(n) for n in names))
 
 
-def _text(value: Column) -> Column:
-    return F.struct(F.lit("text").alias("type"), value.alias("text"))
+def record(role: Column, grp: Column, blocks: Column, ts: Column, use: Column | None = None, step: Column | None = None, seq: int = 0) -> Column:
+    none = F.lit(None)
+    return F.struct(F.lit(seq).alias("seq"), role.alias("role"), grp.alias("grp"), (none if step is None else step).alias("step"), ts.alias("ts"), (none if use is None else use).alias("usage"), blocks.alias("blocks")).cast(RECORD)
+
+
+def event(p: DataFrame, **columns: Column) -> DataFrame:
+    kinds = {"record": RECORD, "emits": "int", "results": f"array<{RESULT}>", "cwd": "string", "meta_id": "string", "model": "string", "weight": "bigint", "total": USAGE, "tokens": "boolean", "codes": "array<string>"}
+    empty = {"emits": F.lit(0), "results": F.array(), "codes": F.array(), "weight": F.lit(1)}
+    return p.select("session_key", "line", "problem", *(F.coalesce(columns.get(n, empty.get(n, F.lit(None))), empty.get(n, F.lit(None))).cast(k).alias(n) for n, k in kinds.items()))
+
 
+def _kind(path: str) -> Column:
+    return F.expr(f"schema_of_variant(variant_get(try_parse_json(value), '{path}'))")
 
-def tool_a(lines: DataFrame) -> Parsed:
-    """Checked lines (session_key, line, value), without problems."""
+
+def tool_a(read: DataFrame) -> DataFrame:
     item = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean,source:struct<media_type:string,data:string>>"
     shape = "type string, timestamp string, cwd string, model string, message struct<id:string,role:string,model:string,content:string,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>"
-    p = lines.select("session_key", "line", F.from_json("value", shape).alias("j"), F.get_json_object("value", "$.message.content").alias("content"), F.expr("schema_of_variant(variant_get(try_parse_json(value), '$.message.content'))").alias("kind"))
-    p = p.where(F.col("j.type").isNotNull() & ~F.col("j.type").isin(*IGNORED_LINE_TYPES))
-    items = F.when(F.col("kind") == "STRING", F.array(F.from_json(F.to_json(_text(F.col("content"))), item))).otherwise(F.from_json("content", f"array<{item}>"))
-    p = p.withColumn("items", F.coalesce(items, F.array().cast(f"array<{item}>")))
-    user = p.where("j.type = 'user' AND j.message IS NOT NULL")
+    p = read.select("session_key", "line", "problem", F.when(F.col("problem").isNull(), F.from_json("value", shape)).alias("j"), F.get_json_object("value", "$.message.content").alias("content"), _kind("$.message.content").alias("kind"))
+    p = p.withColumn("j", F.when(F.col("j.type").isNotNull() & ~F.col("j.type").isin(*IGNORED_LINE_TYPES), F.col("j")))
+    whole = F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))), item))
+    p = p.withColumn("items", F.when(F.col("j.message").isNotNull(), F.when(F.col("kind") == "STRING", whole).otherwise(F.from_json("content", f"array<{item}>"))))
 
     def shown(i: Column) -> Column:
         return (
@@ -59,81 +61,88 @@ def tool_a(lines: DataFrame) -> Parsed:
             .when((i["type"] == "image"), block(kind="image", media_type=i["source"]["media_type"], bytes=F.length(i["source"]["data"]), note=IMAGE_NOTE))
         )
 
-    u = F.col("j.message.usage")
-    each = [F.coalesce(u[c], F.lit(0)) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")]
-    total = each[0] + each[1] + each[2] + each[3]
-    use = F.when(u.isNotNull(), usage(input_tokens=u["input_tokens"], output_tokens=u["output_tokens"], cache_read_tokens=u["cache_read_input_tokens"], cache_write_tokens=u["cache_creation_input_tokens"], total_tokens=total))
-    by_user, by_model = F.col("j.type") == "user", F.col("j.type") == "assistant"
-    group = F.when(by_model, F.coalesce(F.col("j.message.id"), F.concat(F.lit("line-"), F.col("line").cast("string"))))
+    j, u = F.col("j"), F.col("j.message.usage")
+    by_user, by_model = F.coalesce(j["type"] == "user", F.lit(False)), F.coalesce(j["type"] == "assistant", F.lit(False))
+    total = sum((F.coalesce(u[c], F.lit(0)) for c in ("output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")), F.coalesce(u["input_tokens"], F.lit(0)))
+    use = F.when(by_model & u.isNotNull(), usage(input_tokens=u["input_tokens"], output_tokens=u["output_tokens"], cache_read_tokens=u["cache_read_input_tokens"], cache_write_tokens=u["cache_creation_input_tokens"], total_tokens=total))
+    group = F.when(by_model, F.coalesce(j["message"]["id"], F.concat(F.lit("line-"), F.col("line").cast("string"))))
     said = F.filter("items", lambda i: (by_user & i["type"].isin("text", "image")) | (by_model & i["type"].isin("text", "thinking", "tool_use")))
-    records = p.where((by_user | by_model) & F.col("j.message").isNotNull()).select(
-        "session_key", "line", F.lit(0).alias("seq"), F.col("j.type").alias("role"), group.alias("grp"), F.col("j.timestamp").alias("ts"), F.when(by_model, use).alias("usage"), F.array_compact(F.transform(said, shown)).alias("blocks")
-    ).where((F.col("role") == "assistant") | (F.size("blocks") > 0))
-    results = user.select("session_key", "line", F.posexplode("items").alias("seq", "i")).where("i.type = 'tool_result' AND i.tool_use_id IS NOT NULL").select("session_key", "line", (F.col("seq") + 1).alias("seq"), F.col("i.tool_use_id").alias("call_id"), F.col("i.content").alias("output"), F.coalesce("i.is_error", F.lit(False)).alias("is_error"))
-    facts = p.select("session_key", "line", F.nullif(F.col("j.cwd"), F.lit("")).alias("cwd"), F.lit(None).cast("string").alias("meta_id"), F.when(F.col("j.type") == "assistant", F.coalesce("j.message.model", "j.model")).alias("model"), F.when(total > 0, total).otherwise(1).alias("weight"), F.lit(None).cast(USAGE).alias("total"))
-    return Parsed(records, results, facts, _no_warnings(lines))
+    p = p.withColumn("blocks", F.coalesce(F.array_compact(F.transform(said, shown)), F.array().cast(f"array<{BLOCK}>")))
+    made = F.when(j["message"].isNotNull() & (by_model | (by_user & (F.size("blocks") > 0))), record(j["type"], group, F.col("blocks"), j["timestamp"], use))
+    answer = lambda i, k: F.when((i["type"] == "tool_result") & i["tool_use_id"].isNotNull(), F.struct((k + 1).alias("seq"), i["tool_use_id"].alias("call_id"), i["content"].alias("output"), F.coalesce(i["is_error"], F.lit(False)).alias("is_error")))
+    return event(
+        p, record=made, results=F.when(by_user, F.array_compact(F.transform("items", answer))), cwd=F.nullif(j["cwd"], F.lit("")), model=F.when(by_model, F.coalesce(j["message"]["model"], j["model"])), weight=F.when(total > 0, total),
+    )
 
 
-def tool_b(lines: DataFrame) -> Parsed:
+def tool_b(read: DataFrame) -> DataFrame:
     shape = """type string, timestamp string, payload struct<type:string,id:string,cwd:string,model:string,model_provider:string,role:string,content:string,summary:string,
       encrypted_content:string,call_id:string,name:string,arguments:string,input:string,output:string,is_error:boolean,
       info:struct<total_token_usage:struct<input_tokens:bigint,output_tokens:bigint,cached_input_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>>>"""
-    p = lines.select("session_key", "line", F.from_json("value", shape).alias("j"), F.expr("schema_of_variant(variant_get(try_parse_json(value), '$.payload.call_id'))").alias("id_kind")).select("session_key", "line", "j.*", "id_kind")
-    y = F.col("payload")
-    tag = F.when(F.col("type") == "response_item", y["type"]).otherwise(F.col("type"))
-    p = p.withColumn("tag", tag)
-    joined = F.array_join(F.filter(F.transform(F.from_json(y["content"], "array<struct<type:string,text:string>>"), lambda i: i["text"]), lambda t: t.isNotNull() & (t != "")), "\n")
-    text = F.coalesce(joined, y["content"])
-    step = F.concat(F.lit("step-"), F.col("line").cast("string"))
-    call_id = F.nullif(F.when(F.coalesce("id_kind", F.lit("STRING")) == "STRING", F.coalesce(y["call_id"], y["id"])), F.lit(""))
-    summary = F.nullif(F.coalesce(F.array_join(F.from_json(y["summary"], "array<struct<text:string>>")["text"], "\n"), y["summary"], joined), F.lit(""))
-    record = lambda role, grp, b: F.struct(role.cast("string").alias("role"), grp.cast("string").alias("grp"), b.alias("block"))
-    tag, model = F.col("tag"), F.lit("assistant")
-    is_message = (tag == "message") & (text != "") & y["role"].isin("user", "assistant")
-    is_call = tag.isin("function_call", "custom_tool_call") & call_id.isNotNull() & y["name"].isNotNull()
+    kinds = {f"{n}_kind": _kind(f"$.payload.{n}") for n in ("call_id", "id", "summary", "name")}
+    p = read.select("session_key", "line", "problem", F.when(F.col("problem").isNull(), F.from_json("value", shape)).alias("j"), F.get_json_object("value", "$.payload").alias("whole"), *(k.alias(n) for n, k in kinds.items()))
+    y, ts = F.col("j.payload"), F.col("j.timestamp")
+    own_id = F.when(F.col("call_id_kind").isNull() | (F.col("call_id_kind") == "STRING"), y["call_id"])
+    any_id = F.when(F.col("call_id_kind").isNull(), F.when(F.col("id_kind") == "STRING", y["id"])).otherwise(own_id)
+    texts = F.transform(F.from_json(y["content"], "array<struct<type:string,text:string>>"), lambda i: i["text"])
+    p = p.withColumns({
+        "tag": F.when(F.col("j.type") == "response_item", y["type"]).otherwise(F.col("j.type")), "said": F.nullif(F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n"), F.lit("")),
+        "own_id": own_id, "call_id": F.nullif(any_id, F.lit("")),
+    })
+    p = p.withColumn("thought", F.nullif(F.when(F.col("summary_kind") == "STRING", y["summary"]).otherwise(F.col("said")), F.lit("")))
+    tag, model, line = F.col("tag"), F.lit("assistant"), F.col("line").cast("string")
+    one = lambda b: F.array(b)
+    name = F.when(F.col("name_kind") == "STRING", y["name"]).otherwise("unknown")
+    web_id = F.coalesce(F.nullif(F.col("own_id"), F.lit("")), F.concat(F.lit("web-"), line))
+    call = lambda c: F.concat(F.lit("call-"), c)
+    is_call = tag.isin("function_call", "custom_tool_call") & F.col("call_id").isNotNull()
     made = (
-        F.when(is_message, record(y["role"], F.when(y["role"] == "assistant", step), block(kind="text", text=text)))
-        .when((tag == "reasoning") & summary.isNotNull() & y["encrypted_content"].isNull(), record(model, step, block(kind="thinking", text=summary)))
-        .when(is_call, record(model, step, block(kind="tool_use", tool_use_id=call_id, name=y["name"], input=F.coalesce(y["arguments"], y["input"]))))
-        .when(tag == "web_search_call", record(model, step, block(kind="tool_use", tool_use_id=F.coalesce(call_id, F.concat(F.lit("web-"), F.col("line").cast("string"))), name="web_search")))
-    )
-    records = p.withColumn("made", made).where("made IS NOT NULL").select(
-        "session_key", "line", F.lit(0).alias("seq"), "made.role", "made.grp", F.col("timestamp").alias("ts"), F.lit(None).cast(USAGE).alias("usage"), F.array("made.block").alias("blocks")
+        F.when((tag == "message") & F.col("said").isNotNull() & y["role"].isin("user", "assistant"), record(y["role"], F.when(y["role"] == "assistant", "assistant-step-"), one(block(kind="text", text=F.col("said"))), ts, step=F.lit(1)))
+        .when((tag == "reasoning") & F.col("thought").isNotNull(), record(model, F.lit("reasoning-"), one(block(kind="thinking", text=F.col("thought"))), ts, step=F.lit(1)))
+        .when(is_call, record(model, call(F.col("call_id")), one(block(kind="tool_use", tool_use_id=F.col("call_id"), name=name, input=F.coalesce(y["arguments"], y["input"]))), ts))
+        .when((tag == "web_search_call") & (F.col("call_id_kind").isNull() | (F.col("call_id_kind") == "STRING")), record(model, call(web_id), one(block(kind="tool_use", tool_use_id=web_id, name="web_search", input=F.col("whole"))), ts))
     )
-    out = p.where("tag IN ('function_call_output', 'custom_tool_call_output')").withColumn("cid", call_id).where("cid IS NOT NULL")
-    results = out.select("session_key", "line", F.lit(0).alias("seq"), F.col("cid").alias("call_id"), y["output"].alias("output"), F.coalesce(y["is_error"], F.lit(False)).alias("is_error"))
+    out = F.when(tag.isin("function_call_output", "custom_tool_call_output") & F.col("own_id").isNotNull(), F.array(F.struct(F.lit(0).alias("seq"), F.col("own_id").alias("call_id"), y["output"].alias("output"), F.coalesce(y["is_error"], F.lit(False)).alias("is_error"))))
     t = y["info"]["total_token_usage"]
-    total = F.when((tag == "event_msg") & (y["type"] == "token_count") & t.isNotNull(), usage(input_tokens=t["input_tokens"], output_tokens=t["output_tokens"], cache_read_tokens=t["cached_input_tokens"], reasoning_tokens=t["reasoning_output_tokens"], total_tokens=t["total_tokens"]))
-    named = F.when(tag.isin("session_meta", "turn_context"), y["model"])
-    facts = p.select("session_key", "line", F.when(tag == "session_meta", F.nullif(y["cwd"], F.lit(""))).alias("cwd"), F.when(tag == "session_meta", y["id"]).alias("meta_id"), F.when(model_id(named), named).alias("model"), F.lit(1).cast("bigint").alias("weight"), total.alias("total"))
-    code = F.when((tag == "message") & y["role"].isin("developer", "system"), "skipped_role").when((tag == "reasoning") & y["encrypted_content"].isNotNull(), "dropped_encrypted_reasoning")
-    events = p.where("tag = 'event_msg' AND payload.type = 'token_count'").groupBy("session_key").agg(F.count("payload.info.total_token_usage").alias("n")).where("n = 0")
-    warnings = p.select("session_key", code.alias("code"), "line").where("code IS NOT NULL").union(events.select("session_key", F.lit("missing_token_usage"), F.lit(None).cast("int")))
-    return Parsed(records, results, facts, warnings)
+    counted = (tag == "event_msg") & (y["type"] == "token_count")
+    total = F.when(counted & t.isNotNull(), usage(input_tokens=t["input_tokens"], output_tokens=t["output_tokens"], cache_read_tokens=t["cached_input_tokens"], reasoning_tokens=t["reasoning_output_tokens"], total_tokens=t["total_tokens"]))
+    meta = tag == "session_meta"
+    named = F.when(tag.isin("session_meta", "turn_context") & model_id(y["model"]), y["model"]).when(meta & model_id(y["model_provider"]), y["model_provider"])
+    codes = F.array_compact(F.array(F.when((tag == "message") & y["role"].isin("developer", "system"), "skipped_role"), F.when((tag == "reasoning") & (y["encrypted_content"] != ""), "dropped_encrypted_reasoning")))
+    return event(
+        p.withColumn("made", made), record=F.col("made"), emits=F.when(F.col("made").isNotNull(), 1), results=out, cwd=F.when(meta, F.nullif(y["cwd"], F.lit(""))), meta_id=F.when(meta, F.nullif(y["id"], F.lit(""))), model=named,
+        total=total, tokens=F.when(counted, t.isNotNull()), codes=codes,
+    )
 
 
-def tool_c(lines: DataFrame) -> Parsed:
+def tool_c(read: DataFrame) -> DataFrame:
     call = "struct<id:string,name:string,args:string,response:string>"
-    shape = f"role string, timestamp string, model string, modelVersion string, parts array<struct<text:string,functionCall:{call},functionResponse:{call}>>, usageMetadata struct<promptTokenCount:bigint,candidatesTokenCount:bigint,totalTokenCount:bigint>"
-    p = lines.select("session_key", "line", F.from_json("value", shape).alias("j")).select("session_key", "line", "j.*").withColumn("role", F.when(F.col("role") == "model", "assistant").otherwise(F.col("role")))
-    kept = p.where("role IN ('user', 'assistant')")
-    step = F.concat(F.lit("step-"), F.col("line").cast("string"))
+    part = f"struct<text:string,functionCall:{call},functionResponse:{call}>"
+    shape = f"role string, timestamp string, model string, modelVersion string, parts array<{part}>, usageMetadata struct<promptTokenCount:bigint,candidatesTokenCount:bigint,totalTokenCount:bigint>"
+    p = read.select("session_key", "line", "problem", F.when(F.col("problem").isNull(), F.from_json("value", shape)).alias("j"))
+    j, m = F.col("j"), F.col("j.usageMetadata")
+    kept = F.coalesce(j["role"].isin("user", "model"), F.lit(False))
+    own_id = F.concat(F.lit("call-"), F.col("line").cast("string"))
+    p = p.withColumn("parts", F.when(kept, F.coalesce(j["parts"], F.array().cast(f"array<{part}>"))))
 
     def shown(x: Column) -> Column:
         c = x["functionCall"]
-        return F.when(x["text"].isNotNull(), block(kind="text", text=x["text"])).when(c["name"].isNotNull(), block(kind="tool_use", tool_use_id=F.coalesce(c["id"], c["name"]), name=c["name"], input=c["args"]))
-
-    m = F.col("usageMetadata")
-    use = F.when((F.col("role") == "assistant") & m.isNotNull(), usage(input_tokens=m["promptTokenCount"], output_tokens=m["candidatesTokenCount"], total_tokens=m["totalTokenCount"]))
-    records = kept.select("session_key", "line", F.lit(1 << 20).alias("seq"), "role", F.when(F.col("role") == "assistant", step).alias("grp"), F.col("timestamp").alias("ts"), use.alias("usage"), F.array_compact(F.transform(F.coalesce("parts", F.array().cast(f"array<struct<text:string,functionCall:{call},functionResponse:{call}>>")), shown)).alias("blocks")).where("size(blocks) > 0")
-    r = kept.select("session_key", "line", F.posexplode("parts").alias("seq", "x")).where("x.functionResponse.name IS NOT NULL")
-    results = r.select("session_key", "line", "seq", F.coalesce("x.functionResponse.id", "x.functionResponse.name").alias("call_id"), F.col("x.functionResponse.response").alias("output"), F.lit(False).alias("is_error"))
-    facts = p.select("session_key", "line", F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("meta_id"), F.coalesce("model", "modelVersion").alias("model"), F.lit(1).cast("bigint").alias("weight"), F.lit(None).cast(USAGE).alias("total"))
-    return Parsed(records, results, facts, _no_warnings(lines))
+        said = F.when(x["text"] != "", block(kind="text", text=x["text"]))
+        called = F.when(c.isNotNull(), block(kind="tool_use", tool_use_id=F.coalesce(c["id"], own_id), name=F.coalesce(c["name"], F.lit("unknown")), input=c["args"]))
+        return F.array_compact(F.array(said, called))
 
+    def answer(x: Column, k: Column) -> Column:
+        r = x["functionResponse"]
+        return F.when(r.isNotNull(), F.struct(k.alias("seq"), F.coalesce(r["id"], own_id).alias("call_id"), r["response"].alias("output"), F.lit(False).alias("is_error")))
 
-def _no_warnings(lines: DataFrame) -> DataFrame:
-    return lines.select("session_key", F.lit(None).cast("string").alias("code"), "line").where("false")
+    p = p.withColumns({"blocks": F.flatten(F.transform("parts", shown)), "calls": F.size(F.filter("parts", lambda x: x["functionCall"].isNotNull()))})
+    by_model = j["role"] == "model"
+    use = F.when(by_model & m.isNotNull(), usage(input_tokens=m["promptTokenCount"], output_tokens=m["candidatesTokenCount"], total_tokens=m["totalTokenCount"]))
+    some = F.size("blocks") > 0
+    made = F.when(some, record(F.when(by_model, "assistant").otherwise("user"), F.when(by_model, "model-"), F.col("blocks"), j["timestamp"], use, F.col("calls") + 1, 1 << 20))
+    return event(p, record=made, emits=F.when(some, F.col("calls") + 1), results=F.array_compact(F.transform("parts", answer)), model=F.coalesce(j["model"], j["modelVersion"]))
 
 
 ADAPTERS = {"claude-code": tool_a, "codex": tool_b, "gemini": tool_c}
+#: Tools whose group names hold the running count of their file's steps.
+STEPPED = ("codex", "gemini")

@@ -90,7 +90,7 @@ def tool_b_lines(spark: SparkSession, sf: str) -> DataFrame:
         (t == 0, 1, _s(type="session_meta", timestamp=ts, payload=_s(id=_id("m", F.col("conv_id")), cwd=_id("/w/p", F.col("conv_id") % 3)))),
         (t == 0, 2, _s(type="turn_context", timestamp=ts, payload=_s(model="gpt-5.4"))),
         (F.lit(True), 3, item(_s(type="message", role=F.col("role"), content=F.array(_s(type=kind, text=text))))),
-        (assistant & open_, 4, item(_s(type="reasoning", summary=F.array(_s(text=F.concat(F.lit("think "), F.left(text, F.lit(10)))))))),
+        (assistant & open_, 4, item(_s(type="reasoning", summary=F.concat(F.lit("think "), F.left(text, F.lit(10)))))),
         (assistant & ~open_, 4, item(_s(type="reasoning", encrypted_content="x"))),
         (assistant, 5, item(_s(type="function_call", call_id=F.when(open_, call), id=F.when(~open_, call), name="run", arguments='{"n":1}'))),
         (assistant, 6, item(_s(type="function_call_output", call_id=call, output=F.left(text, F.lit(30)), is_error=t % 3 == 0))),
@@ -107,7 +107,7 @@ bb AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_key ORDER BY line)
   UNION ALL SELECT session_key, turn * 10 + 4, role, 'thinking', 'think ' || left(text, 10), NULL, NULL, NULL, NULL, NULL FROM k WHERE role = 'assistant' AND turn % 4 <> 1
   UNION ALL SELECT session_key, turn * 10 + 5, role, 'tool_use', NULL, 'k' || turn, 'run', '{{"n":1}}', left(text, 30), ended FROM k WHERE role = 'assistant'
   UNION ALL SELECT session_key, turn * 10 + 6, 'tool', 'tool_result', NULL, 'k' || turn, NULL, NULL, left(text, 30), ended FROM k WHERE role = 'assistant'
-  UNION ALL SELECT session_key, turn * 10 + 7, role, 'tool_use', NULL, 'web-' || (turn * 10 + 7), 'web_search', NULL, NULL, NULL FROM k WHERE role = 'assistant'))
+  UNION ALL SELECT session_key, turn * 10 + 7, role, 'tool_use', NULL, 'web-' || (turn * 10 + 7), 'web_search', '{{"type":"web_search_call"}}', NULL, NULL FROM k WHERE role = 'assistant'))
 """
 
 

@@ -101,16 +101,24 @@ def within_path_dates(raw: DataFrame, since: str | None, until: str | None, path
 
 
 def numbered(raw: DataFrame) -> DataFrame:
-    """1-based line numbers that count blank lines; blank lines are dropped afterwards. Exact for files read in several splits."""
-    w = Window.partitionBy("source_path").orderBy("block_start", "seen")
-    n = raw.withColumn("seen", F.monotonically_increasing_id()).withColumn("line", F.row_number().over(w))
-    return n.where(F.col("value").rlike(r"\S")).drop("seen", "block_start")
+    """1-based line numbers that count blank lines; blank lines are dropped afterwards.
+
+    Lines are counted by split, the counts are summed over a file's splits, and a line's number is its place in its split after what came before: no file passes
+    one task, and lines are not shuffled. raw must be a scan (its rows keep their places when it is read again), with block_start rising along each file.
+    """
+    seen = raw.withColumn("seen", F.monotonically_increasing_id())
+    splits = seen.groupBy("source_path", "block_start").agg(F.count("*").alias("lines"), F.min("seen").alias("first"))
+    earlier = Window.partitionBy("source_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("source_path", "block_start", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    n = seen.join(before, ["source_path", "block_start"]).withColumn("line", (F.col("before") + F.col("seen") - F.col("first") + 1).cast("int"))
+    return n.where(F.col("value").rlike(r"\S")).drop("seen", "block_start", "first", "before")
 
 
 def size_guard(raw: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lines of files within the bound, one warning row for each larger file)."""
-    big = raw.where(F.col("file_size") > max_bytes).select("source_path").distinct()
-    return raw.where(F.col("file_size") <= max_bytes), big.select("source_path", F.lit("file_too_large").alias("code"))
+    """(lines of files within the bound or of unknown size, one warning row for each larger file)."""
+    fits = F.coalesce(F.col("file_size") <= max_bytes, F.lit(True))
+    big = raw.where(~fits).select("source_path").distinct()
+    return raw.where(fits), big.select("source_path", F.lit("file_too_large").alias("code"))
 
 
 def typed(path: str, kind: str = "STRING") -> Column:

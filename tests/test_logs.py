@@ -34,7 +34,7 @@ def test_tool_a_end_to_end(spark, tmp_path):
     s = n.sessions.first()
     assert (s.id, s.project_path, s.model, s.turn_count) == ("s1", "/home/app", "claude-sonnet-4-5", 4)
     assert (s.usage.input_tokens, s.usage.output_tokens, s.usage.total_tokens) == (10, 5, 15)
-    assert (s.started_at, s.ended_at) == ("2024-01-01T00:00:00Z", "2024-01-01T00:00:01Z")
+    assert (s.started_at, s.ended_at) == ("2024-01-01T00:00:00Z", "2024-01-01T00:00:02Z")  # each record counts, merged ones too
     turns = [r.role for r in n.turns.orderBy("turn_index").collect()]
     assert turns == ["user", "assistant", "tool", "tool"]
     calls = n.tool_calls.collect()
@@ -63,8 +63,8 @@ def test_tool_b_rules(spark, tmp_path):
 
 def test_tool_c_calls_and_order(spark, tmp_path):
     write(tmp_path / "p/chats/session-1.jsonl", [
-        {"role": "model", "timestamp": "2024-01-01T00:00:00Z", "modelVersion": "gemini-2.5-pro", "parts": [{"functionCall": {"name": "ls", "args": {"d": 1}}}], "usageMetadata": {"promptTokenCount": 3, "totalTokenCount": 4}},
-        {"role": "user", "parts": [{"functionResponse": {"name": "ls", "response": {"ok": 1}}}, {"text": "thanks"}]},
+        {"role": "model", "timestamp": "2024-01-01T00:00:00Z", "modelVersion": "gemini-2.5-pro", "parts": [{"functionCall": {"id": "f1", "name": "ls", "args": {"d": 1}}}], "usageMetadata": {"promptTokenCount": 3, "totalTokenCount": 4}},
+        {"role": "user", "parts": [{"functionResponse": {"id": "f1", "name": "ls", "response": {"ok": 1}}}, {"text": "thanks"}]},
     ])
     n = normalize.normalise(logs.numbered(logs.log_files(spark, "gemini", str(tmp_path))), "gemini")
     assert [r.role for r in n.turns.orderBy("turn_index").collect()] == ["assistant", "tool", "user"]
