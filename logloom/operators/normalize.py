@@ -204,8 +204,8 @@ def build_sessions(paths: DataFrame, tool: str, events: DataFrame, every: DataFr
     return session_rows(s, tool)
 
 
-def session_rows(s: DataFrame, tool: str) -> DataFrame:
-    """session_key with what its events amount to -> session rows."""
+def session_rows(s: DataFrame, tool: str, *more: str) -> DataFrame:
+    """session_key with what its events amount to -> session rows, and the columns named in more."""
     reports = {"claude-code": (1, 1, 1, 1, 0), "codex": (1, 1, 1, 0, 1), "gemini": (1, 1, 0, 0, 0)}[tool]
     seen = F.when(F.col("usage").isNotNull(), F.struct(*((F.lit(bool(r)) | (F.col("groups") > 1)).alias(c) for c, r in zip(("input", "output", "cache_read", "cache_write", "reasoning"), reports))))
     slug = F.element_at(F.split("session_key", "/"), -2)
@@ -213,7 +213,7 @@ def session_rows(s: DataFrame, tool: str) -> DataFrame:
     version = "experimental" if tool == "gemini" else "unknown"
     return s.select(
         "session_key", F.coalesce("meta_id", session_id_from_path(F.col("session_key"))).alias("id"), F.lit(tool).alias("tool"), F.lit(ADAPTER_VERSIONS[tool]).alias("adapter_version"), F.lit(version).alias("log_format_version"),
-        F.col("session_key").alias("source_path"), project.alias("project_path"), "model", "started_at", "ended_at", F.coalesce("turn_count", F.lit(0)).alias("turn_count"), F.lit(None).cast("double").alias("cost_usd"), "usage", seen.alias("observed"),
+        F.col("session_key").alias("source_path"), project.alias("project_path"), "model", "started_at", "ended_at", F.coalesce("turn_count", F.lit(0)).alias("turn_count"), F.lit(None).cast("double").alias("cost_usd"), "usage", seen.alias("observed"), *more,
     )
 
 

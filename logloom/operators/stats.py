@@ -29,11 +29,11 @@ def summaries(sessions: DataFrame, home: str = "") -> DataFrame:
     )
 
 
-def facts(sessions: DataFrame, home: str = "") -> DataFrame:
-    """The narrow row that all statistics share."""
+def facts(sessions: DataFrame, home: str = "", *more: str) -> DataFrame:
+    """The narrow row that all statistics share, and the columns named in more."""
     return sessions.select(
         "session_key", "tool", F.coalesce(anonymize_path(F.nullif(F.col("project_path"), F.lit("")), home), F.lit(UNKNOWN_PROJECT)).alias("project"),
-        F.nullif(F.substring(F.coalesce("started_at", "ended_at"), 1, 10), F.lit("")).alias("day"), F.coalesce("turn_count", F.lit(0)).cast("long").alias("turns"), stats_tokens(F.col("usage")).alias("tokens"),
+        F.nullif(F.substring(F.coalesce("started_at", "ended_at"), 1, 10), F.lit("")).alias("day"), F.coalesce("turn_count", F.lit(0)).cast("long").alias("turns"), stats_tokens(F.col("usage")).alias("tokens"), *more,
     )
 
 
