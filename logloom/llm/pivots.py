@@ -12,6 +12,9 @@ bound |d(q,p) - d(x,p)| on their distance; the largest of them bounds the score
 
 How many candidates are eliminated depends on the vectors: clustered ones stop early, vectors without structure hardly do.
 
+Bounds are lowered by what floats may have rounded, which grows with the vectors, so results are exact at any scale.
+The cost is that of all query blocks against all row blocks: quadratic where queries are a share of the rows.
+
 Queries are a stated set, met with all rows in blocks: packed blocks of queries travel to the rows' blocks, never single pairs.
 Defined results: null vectors, vectors with null or non-finite components or of another length than
 most take no part; ties go to the smaller id; rows without an id take no part; repeated rows count as rows, but never answer
@@ -30,6 +33,9 @@ from .common import durable, fresh, table, tune
 PIVOTS, BLOCK, QUERY_BLOCK, CHUNK, FIRST = 48, 4096, 512, 64, 64
 #: Whole numbers up to here are exact as floats.
 EXACT = 1 << 53
+EPS = float(np.finfo(float).eps)
+#: Parts of a query's candidates that are cut to k before they meet.
+STAGE = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,6 +58,20 @@ def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray:
     return x[chosen]
 
 
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots from differences, not from products, whose rounding would grow with the square of the norms."""
+    out = np.empty((len(x), len(pivots)))
+    for k, p in enumerate(pivots):
+        gap = x - p
+        out[:, k] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def rounding(norms: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
+    """What floats may add to or take from each row's distances: components, differences, their sum and its root are each rounded, and a pivot is no longer than the row and its distance together."""
+    return 2 * (width + 8) * EPS * (np.sqrt(norms) + dist.max(1, initial=0))
+
+
 PACKED = "slot int, ids binary, vectors binary, distances binary, floors binary"
 
 
@@ -67,8 +87,7 @@ def packed(rows: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
         def out():
             ids, vectors, floors = (np.concatenate(c) for c in zip(*held))
             x = vectors.astype(np.int64)
-            xf = x.astype(float)
-            d = np.sqrt(np.maximum((xf * xf).sum(1)[:, None] - 2.0 * (xf @ p.T) + (p * p).sum(1)[None], 0)).astype(np.float32)
+            d = distances(x.astype(float), p)
             return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, d, floors))], ["slot", "ids", "vectors", "distances", "floors"])
 
         for batch in batches:
@@ -92,9 +111,10 @@ def search_block(q_ids, q, q_dist, floors, ids, x, dist, k: int, first_only: boo
     xf, qf = x.astype(float), q.astype(float)
     norm, q_norm = (xf * xf).sum(1), (qf * qf).sum(1)
     whole = np.abs(xf).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] >= EXACT
+    off, q_off = rounding(norm, dist, x.shape[1]), rounding(q_norm, q_dist, q.shape[1])
     for i in range(len(q_ids)):
-        bound = np.maximum(np.abs(dist - q_dist[i]).max(1).astype(float) - 1.0, 0)  # the stored distances are rounded
-        upper = (norm + q_norm[i] - bound * bound) / 2 + 1e-12 * (norm + q_norm[i])  # and what floats may lose
+        bound = np.maximum(np.abs(dist - q_dist[i]).max(1, initial=0) - off - q_off[i], 0)
+        upper = (norm + q_norm[i] - bound * bound) / 2 + 2 * (x.shape[1] + 8) * EPS * (norm + q_norm[i])
         upper[ids == q_ids[i]] = -np.inf
         best_s, best_i, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         if first_only and len(upper) > FIRST:
@@ -117,7 +137,7 @@ def search_block(q_ids, q, q_dist, floors, ids, x, dist, k: int, first_only: boo
 
 def search(blocks: DataFrame, asked: DataFrame, k: int, first_only: bool) -> DataFrame:
     """Blocks of rows and of queries that share a slot -> query_id, vec_id, score, scored (by the block, for the query)."""
-    kind = {"ids": np.int64, "vectors": np.int64, "distances": np.float32, "floors": np.int64}
+    kind = {"ids": np.int64, "vectors": np.int64, "distances": np.float64, "floors": np.int64}
     met = blocks.drop("floors").join(asked.select("slot", *(F.col(c).alias(f"q_{c}") for c in kind)), "slot")
 
     def run(batches):
@@ -135,8 +155,10 @@ def search(blocks: DataFrame, asked: DataFrame, k: int, first_only: bool) -> Dat
 
 
 def best_of(near: DataFrame, k: int) -> DataFrame:
-    """query_id, best: its k highest scores (s: negated score, vec_id), at most k rows a block gathered by query."""
-    return near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, k).alias("best"))
+    """query_id, best: its k highest scores (s: negated score, vec_id), cut to k in STAGE parts first, so no more than STAGE * k rows of a query meet."""
+    first = lambda c: F.slice(F.sort_array(c), 1, k)
+    parts = near.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(STAGE)).alias("part")).agg(first(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))).alias("best"))
+    return parts.groupBy("query_id").agg(first(F.flatten(F.collect_list("best"))).alias("best"))
 
 
 def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:

@@ -285,6 +285,34 @@ def test_bounds_eliminate_candidates_of_clustered_vectors():
         assert list(zip((-score).tolist(), near.tolist())) == sorted((-int(big[j] @ q[i]), j) for j in range(4000) if j != i)[:10]
 
 
+@pytest.mark.parametrize("kind", ["line", "wide", "far"])
+def test_large_vectors_with_their_own_pivots(spark, kind):
+    """Scores far beyond what small differences of rounded distances would tell apart."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    if kind == "line":
+        x = np.concatenate([[1000], 100_000_000 + np.arange(2000)])[:, None]
+    elif kind == "wide":
+        x = rng.integers(-(1 << 27), 1 << 27, (1500, 8))
+    else:
+        x = np.array([3, -2, 5]) * (1 << 28) + rng.integers(-3, 4, (1500, 3))
+    frame = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    got = pivots.top_k(frame, lambda c: F.pmod(c, F.lit(100)) == 0, 10).collect()
+    for q in range(0, len(x), 100):
+        want = sorted((-int(x[j] @ x[q]), j) for j in range(len(x)) if j != q)[:10]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
+def test_how_many_embeddings_are_scored(spark):
+    """Bounds never score more than all pairs, and first passes score FIRST a block; the count is the operator's own."""
+    rows = common.durable(pivots.usable(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))).toPandas()
+    x, ids = np.array(rows.v.tolist()), rows.vec_id.to_numpy()
+    p = x[:: max(1, len(x) // pivots.PIVOTS)][: pivots.PIVOTS].astype(float)
+    d, q = pivots.distances(x.astype(float), p), np.flatnonzero(ids % 100 == 0)
+    floors = np.full(len(q), -(1 << 62))
+    scored = [s[0] for *_, s in pivots.search_block(ids[q], x[q], d[q], floors, ids, x, d, 10, False)]
+    assert len(scored) == len(q) and max(scored) <= len(x)
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
