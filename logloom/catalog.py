@@ -110,11 +110,11 @@ query(
 )(lambda s, d: quality.warning_summary(_warnings(s, d)).select("code", "session_id", "source_path", display.warning_line(F.col("code"), F.col("message"), F.col("count"), F.col("session_id"), F.col("source_path")).alias("line")))
 query(
     "x4_cost_labels",
-    _PRICED + f"SELECT CASE WHEN sum(cost_usd) IS NULL THEN 'unknown (local logs have no USD)' ELSE '$' || {_CENTS('sum(cost_usd)')} END AS logged, CASE WHEN count(*) FILTER (WHERE cost_usd IS NULL AND est IS NULL) > 0 THEN '(' || count(*) FILTER (WHERE cost_usd IS NOT NULL OR est IS NOT NULL) || '/' || count(*) || ' sessions priced)' ELSE '' END AS priced FROM es",
+    _PRICED + f"SELECT CASE WHEN sum(cost_usd) IS NULL THEN 'unknown (local logs have no USD)' ELSE '$' || {_CENTS('sum(cost_usd)')} END AS logged, '~$' || {_CENTS('sum(est) FILTER (WHERE cost_usd IS NULL)')} || ' est' || CASE WHEN count(*) FILTER (WHERE cost_usd IS NULL AND est IS NULL) > 0 THEN ' (' || count(*) FILTER (WHERE cost_usd IS NOT NULL OR est IS NOT NULL) || '/' || count(*) || ' sessions priced)' ELSE '' END AS label FROM es",
 )(
     lambda s, d: stats.cost_partition(_estimated(s, d), True).join(F.broadcast(stats.totals(_facts(s, d)))).select(
         display.logged_cost_label(F.col("logged_cost")).alias("logged"),
-        F.regexp_extract(display.estimated_cost_label(F.col("estimated_cost"), F.col("logged_sessions") + F.col("estimated_sessions"), F.col("sessions"), F.col("unpriced_sessions")), r"\(.*\)$", 0).alias("priced"),
+        display.estimated_cost_label(F.col("estimated_cost"), F.col("logged_sessions") + F.col("estimated_sessions"), F.col("sessions"), F.col("unpriced_sessions")).alias("label"),
     )
 )
 
@@ -241,8 +241,8 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 _TOOL_CASE = "CASE WHEN p LIKE '%/.codex/sessions/%' THEN 'codex' WHEN p LIKE '%/.gemini/%' THEN 'gemini' WHEN p LIKE '%/.claude/projects/%' THEN 'claude-code' END"
 query("s11_infer", f"SELECT p AS source_path, {_TOOL_CASE} AS tool FROM (SELECT {_FILE} AS p FROM documents)")(lambda s, d: _files(s, d).withColumn("tool", logs.infer_from_path(F.col("source_path"))))
-query("s13_resolve", f"SELECT p AS source_path, coalesce({_TOOL_CASE}, 'claude-code') AS tool, false AS mismatch FROM (SELECT {_FILE} AS p FROM documents)")(
-    lambda s, d: _files(s, d).select("source_path", logs.resolve_tool(F.lit(None).cast("string"), F.col("source_path"), F.lit(None).cast("string"))[0].alias("tool"), F.lit(False).alias("mismatch"))
+query("s13_resolve", f"SELECT p AS source_path, coalesce(x, {_TOOL_CASE}, 'claude-code') AS tool, coalesce(x <> {_TOOL_CASE}, false) AS mismatch FROM (SELECT p, CASE WHEN length(p) % 3 = 0 THEN 'codex' END AS x FROM (SELECT {_FILE} AS p FROM documents))")(
+    lambda s, d: _files(s, d).select("source_path", *(c.alias(n) for c, n in zip(logs.resolve_tool(F.when(F.length("source_path") % 3 == 0, "codex"), F.col("source_path"), F.lit(None).cast("string")), ("tool", "mismatch"))))
 )
 query("s4_path_dates", f"SELECT p AS source_path FROM (SELECT {_FILE} AS p FROM documents) WHERE regexp_extract(p, '/sessions/(....)/(..)/(..)/', 3) IN ('', '05', '06', '07')")(lambda s, d: logs.within_path_dates(_files(s, d), "2024-01-05", "2024-01-07"))
 query("s16_inventory", f"SELECT t.tool, t.adapter_version, least(coalesce(n, 0), 1000) AS candidates, coalesce(n, 0) > 0 AS detected, CASE WHEN n IS NULL THEN 'not detected' ELSE 'ok' END AS status FROM (VALUES ('claude-code', '0.1.1'), ('codex', '0.1.1'), ('gemini', '0.1.1-experimental')) t(tool, adapter_version) LEFT JOIN (SELECT {_TOOL_CASE} AS tool, count(*) AS n FROM (SELECT {_FILE} AS p FROM documents) GROUP BY 1) USING (tool)")(

@@ -11,7 +11,7 @@ from .plans import bindings as b
 from .plans import log_lines as g
 from .plans.registry import query
 from .sources import logs, sinks
-from .streaming import ingest
+from .streaming import growing, ingest
 
 TEXT, OUTPUT = 200, 150  # bounds that real texts exceed
 A, B, C, W = "WITH " + g.A_SQL, "WITH " + g.B_SQL, "WITH " + g.C_SQL, "WITH " + b.EVENTS_SQL
@@ -49,15 +49,15 @@ query(
  SELECT h.session_key, 'c' || h.conv_id AS id, coalesce(cwd, '/home/dev/app') AS project_path, min({g.STAMP}) AS started_at, max({g.STAMP}) AS ended_at, count(role) AS turn_count, CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT) AS input_tokens,
  count(*) FILTER (WHERE role = 'assistant') * 7 AS output_tokens FROM h LEFT JOIN (SELECT * EXCLUDE (session_key) FROM a) a USING (conv_id) GROUP BY ALL""",
 )(lambda s, d: _a(s, d).sessions.select("session_key", "id", "project_path", "started_at", "ended_at", "turn_count", "usage.input_tokens", F.coalesce("usage.output_tokens", F.lit(0)).alias("output_tokens")))
-_NESTED = A + ", t AS (SELECT session_key, string_agg(role, ' ' ORDER BY turn_index) AS roles FROM a GROUP BY 1), k AS (SELECT session_key, string_agg(kind, ' ' ORDER BY turn_index, block_pos) AS kinds, string_agg(kind, ' ' ORDER BY turn_index, block_pos) FILTER (WHERE kind <> 'thinking') AS shown FROM ab GROUP BY 1)"
+_NESTED = A + f", p AS (SELECT DISTINCT {g.PATH} AS session_key FROM conversations), t AS (SELECT session_key, string_agg(role, ' ' ORDER BY turn_index) AS roles FROM a GROUP BY 1), k AS (SELECT session_key, string_agg(kind, ' ' ORDER BY turn_index, block_pos) AS kinds, string_agg(kind, ' ' ORDER BY turn_index, block_pos) FILTER (WHERE kind <> 'thinking') AS shown FROM ab GROUP BY 1)"
 _kinds = lambda: F.array_join(F.flatten(F.transform("turns", lambda t: t["content"]["kind"])), " ")
 
 
 def _nested(s: SparkSession, d: str) -> DataFrame:
-    return normalize.nested(_a(s, d)).where("turns IS NOT NULL")
+    return normalize.nested(_a(s, d))
 
 
-query("n21_nested_a", _NESTED + "SELECT session_key, roles, kinds FROM t JOIN k USING (session_key)")(
+query("n21_nested_a", _NESTED + "SELECT session_key, roles, kinds FROM p LEFT JOIN t USING (session_key) LEFT JOIN k USING (session_key)")(
     lambda s, d: _nested(s, d).select("session_key", F.array_join(F.col("turns")["role"], " ").alias("roles"), _kinds().alias("kinds"))
 )
 query("n7_blocks_b", B + "SELECT * EXCLUDE (line) FROM bb")(
@@ -90,7 +90,7 @@ query(
 # --- privacy and exports of nested sessions -------------------------------------------------------
 query(
     "r7_sanitised",
-    _NESTED + " SELECT regexp_extract(session_key, '/(c[0-9]+)[.]', 1) AS id, v.reasoning, v.raw_paths, CASE WHEN v.raw_paths THEN session_key END AS source_path, CASE WHEN v.reasoning THEN kinds ELSE shown END AS kinds FROM k, (VALUES (true, true), (true, false), (false, true), (false, false)) v(reasoning, raw_paths)",
+    _NESTED + " SELECT regexp_extract(session_key, '/(c[0-9]+)[.]', 1) AS id, v.reasoning, v.raw_paths, CASE WHEN v.raw_paths THEN session_key END AS source_path, CASE WHEN v.reasoning THEN kinds WHEN kinds IS NOT NULL THEN coalesce(shown, '') END AS kinds FROM p LEFT JOIN k USING (session_key), (VALUES (true, true), (true, false), (false, true), (false, false)) v(reasoning, raw_paths)",
 )(
     lambda s, d: (lambda n: _union([
         sinks.sanitised(n, r, p).select("id", F.lit(r).alias("reasoning"), F.lit(p).alias("raw_paths"), (F.col("source_path") if p else F.lit(None).cast("string")).alias("source_path"), _kinds().alias("kinds"))
@@ -116,15 +116,53 @@ _NOW = "2024-02-01T00:00:00.000Z"
 query("k1_json_lines", W + f"SELECT '{{\"format\":\"logloom.record.v1\",\"generated_at\":\"{_NOW}\",\"record\":{{\"session_key\":\"' || session_key || '\",\"tool\":\"' || tool || '\",\"turn_count\":' || turn_count || '}}}}' AS value FROM s")(
     lambda s, d: sinks.json_lines(b.sessions_from_events(s, d).select("session_key", "tool", "turn_count"), _NOW)
 )
+_MD = A + f""", hd AS (SELECT conv_id, {g.PATH} AS session_key, coalesce(arg_max('~/app' || (turn % 3), turn) FILTER (WHERE turn % 3 <> 0 AND role IN ('user', 'assistant', 'system')), '~/app') AS project FROM conversations GROUP BY conv_id),
+ ln AS (SELECT session_key, turn_index, block_pos, CASE kind WHEN 'text' THEN {_cut('text', TEXT)} WHEN 'image' THEN '[image: image data omitted]' WHEN 'tool_use' THEN '[tool ' || name || ']' ELSE '[tool result ' || status || '] ' || {_cut('output', OUTPUT)} END AS line FROM ab WHERE kind <> 'thinking'),
+ md AS (SELECT session_key, turn_index, '### ' || upper(role) || chr(10) || chr(10) || string_agg(replace(replace(ln.line, '<', '&lt;'), '>', '&gt;'), chr(10) || chr(10) ORDER BY block_pos) || chr(10) AS body FROM ln JOIN a USING (session_key, turn_index) GROUP BY session_key, turn_index, role)
+"""
+query("k5_turn_markdown", _MD + "SELECT session_key, turn_index, md5('# c' || conv_id || ' / turn ' || turn_index || chr(10) || chr(10) || body) AS digest FROM md JOIN hd USING (session_key)")(
+    lambda s, d: sinks.nested_markdown(sinks.sanitised(_keyed(s, d)), "turn", keep=("_order",)).select(F.col("_order").alias("session_key"), "turn_index", F.md5("value").alias("digest"))
+)
 query(
-    "k5_turn_markdown", "SELECT conv_id AS session_key, turn AS turn_index, md5('### ' || upper(role) || chr(10) || chr(10) || text || chr(10)) AS digest FROM conversations",
+    "k11_markdown",
+    _MD + "SELECT session_key, md5('# Session same' || chr(10) || chr(10) || '- Tool: claude-code' || chr(10) || '- Project: ' || project || chr(10) || chr(10) || coalesce(string_agg(body, chr(10) ORDER BY turn_index), '')) AS digest FROM hd LEFT JOIN md USING (session_key) GROUP BY session_key, project",
 )(
-    lambda s, d: sinks.turn_markdown(b.blocks_from_conversations(s, d).withColumns({c: F.lit("") for c in ("note", "name", "status")}), raw=True).select("session_key", "turn_index", F.md5("markdown").alias("digest"))
+    lambda s, d: sinks.nested_markdown(sinks.sanitised(_keyed(s, d).withColumns({"id": F.lit("same"), "started_at": F.lit(None).cast("string"), "ended_at": F.lit(None).cast("string")})), keep=("_order",))
+    .select(F.col("_order").alias("session_key"), F.md5("value").alias("digest"))
 )
+
+
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    return _nested(s, d).withColumn("_order", F.col("session_key"))
+
+
+_KEY = "ghp_" + "c" * 22
+
+
+def _planted(s: SparkSession, d: str) -> DataFrame:
+    """Nested sessions with a secret in every text leaf that is not an input or output."""
+    add = lambda c: F.concat(F.lit(_KEY + " "), c)
+    block = lambda x: x.withField("name", add(x["name"])).withField("note", add(x["note"])).withField("tool_use_id", add(x["tool_use_id"])).withField("media_type", add(x["media_type"])).withField("text", add(x["text"]))
+    turn = lambda t: t.withField("turn_id", add(t["turn_id"])).withField("timestamp", add(t["timestamp"])).withField("content", F.transform(t["content"], block))
+    return _keyed(s, d).withColumns({**{c: add(F.col(c)) for c in ("id", "project_path", "model", "started_at", "adapter_version")}, "turns": F.transform("turns", turn)})
+
+
 query(
-    "k7_summary_csv", W + "SELECT session_key, started_at || ',' || tool || ',' || coalesce(project_path, '') || ',' || turn_count || ',' || coalesce(CAST(coalesce(total, nullif(coalesce(i, 0) + coalesce(o, 0) + coalesce(cr, 0) + coalesce(cw, 0) + coalesce(re, 0), 0)) AS VARCHAR), '') || ',' || CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE 'logged' END AS value FROM s",
+    "r3_all_leaves",
+    A + f""", hd AS (SELECT conv_id, {g.PATH} AS session_key, coalesce(arg_max('/home/dev/app' || (turn % 3), turn) FILTER (WHERE turn % 3 <> 0 AND role IN ('user', 'assistant', 'system')), '/home/dev/app') AS project FROM conversations GROUP BY conv_id)
+ SELECT session_key, '[REDACTED] c' || conv_id || '|' || '[REDACTED] ' || project AS head, n, n_texts, false AS leaked FROM hd LEFT JOIN (SELECT session_key, count(*) AS n, count(text) + count(media_type) * 2 + count(tool_use_id) + count(name) AS n_texts FROM ab WHERE kind <> 'thinking' GROUP BY 1) USING (session_key)""",
 )(
-    lambda s, d: sinks.summary_csv(b.sessions_from_events(s, d).withColumns({"estimated_cost": F.lit(None).cast("double"), "total_tokens": stats.summary_tokens(F.col("usage"))})).withColumn("value", F.regexp_replace("value", r",[0-9.E]+$", ",logged"))
+    lambda s, d: sinks.redacted(sinks.sanitised(_planted(s, d), raw_paths=True), raw_paths=True, keep=("_order",)).select(
+        F.col("_order").alias("session_key"), F.concat_ws("|", "id", "project_path").alias("head"), F.flatten(F.col("turns.content")).alias("b"), F.to_json(F.struct("id", "project_path", "model", "started_at", "turns")).contains("ghp_").alias("leaked")
+    ).select(
+        "session_key", "head", F.nullif(F.size("b"), F.lit(-1)).cast("bigint").alias("n"),
+        F.aggregate(F.transform("b", lambda x: sum((F.when(x[f].startswith("[REDACTED] "), 1).otherwise(0) for f in ("media_type", "note", "tool_use_id", "name")), F.when(x["text"].startswith("[REDACTED] "), 1).otherwise(0))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_texts"), "leaked",
+    )
+)
+query(
+    "k7_summary_csv", W + "SELECT session_key, started_at || ',' || tool || ',' || coalesce(project_path, '') || ',' || turn_count || ',' || coalesce(CAST(coalesce(total, nullif(coalesce(i, 0) + coalesce(o, 0) + coalesce(cr, 0) + coalesce(cw, 0) + coalesce(re, 0), 0)) AS VARCHAR), '') || ',' || CASE WHEN cost_usd IS NULL THEN 'unknown' ELSE CAST(cost_usd AS VARCHAR) END AS value FROM s",
+)(
+    lambda s, d: sinks.summary_csv(b.sessions_from_events(s, d).withColumns({"estimated_cost": F.lit(None).cast("double"), "total_tokens": stats.summary_tokens(F.col("usage"))}))
 )
 query(
     "k10_stats_envelope", W + f"SELECT 'logloom.stats.v1' AS format, '{_NOW}' AS generated_at, string_agg(x, '|' ORDER BY x) AS tools FROM (SELECT tool || ':' || count(*) || ':' || CAST(sum(tokens) AS BIGINT) AS x FROM f GROUP BY tool)",
@@ -148,6 +186,16 @@ _SECRETS = (
 query("r1_planted_secrets", "SELECT event_id, event_type || CASE WHEN event_id % 17 = 16 THEN ' none ' WHEN event_id % 17 = 15 THEN '[REDACTED] ' ELSE ' [REDACTED] ' END || user_id AS text FROM events")(
     lambda s, d: b.read(s, d, "events").select("event_id", privacy.redact(F.concat_ws(" ", "event_type", F.element_at(F.array(*map(F.lit, (*_SECRETS, "none"))), (F.col("event_id") % 17 + 1).cast("int")), F.col("user_id").cast("string"))).alias("text"))
 )
+query(
+    "st1_grown_sessions",
+    A + f""", hd AS (SELECT conv_id, {g.PATH} AS session_key, arg_max('/home/dev/app' || (turn % 3), turn) FILTER (WHERE turn % 3 <> 0 AND role IN ('user', 'assistant', 'system')) AS cwd FROM conversations GROUP BY conv_id)
+ SELECT hd.session_key, 'c' || hd.conv_id AS id, coalesce(cwd, '/home/dev/app') AS project_path, min({g.STAMP}) AS started_at, max({g.STAMP}) AS ended_at, count(role) AS turn_count, CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT) AS input_tokens, CASE WHEN count(*) FILTER (WHERE role = 'assistant') > 0 THEN 'claude-sonnet-4-5' END AS model
+ FROM hd LEFT JOIN (SELECT * EXCLUDE (session_key) FROM a) a USING (conv_id) GROUP BY ALL""",
+)(lambda s, d: growing.grown_sessions(s, d).select("session_key", "id", "project_path", "started_at", "ended_at", "turn_count", "usage.input_tokens", "model"))
+query(
+    "st2_corrected_stats",
+    A + f", own AS (SELECT session_key, min(substr({g.STAMP}, 1, 10)) AS day, count(*) AS turns, coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) + 7 END), 0) AS tokens FROM a GROUP BY 1) SELECT day, 'claude-code' AS tool, count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens FROM own GROUP BY day",
+)(lambda s, d: ingest.running_stats(ingest.signed_facts(growing.grown_changes(s, d))).where("sessions <> 0 AND day IS NOT NULL"))
 query("st2_running_stats", W + "SELECT day, tool, count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY day, tool")(lambda s, d: ingest.running_stats(stats.facts(b.sessions_from_events(s, d))))
 query(
     "p6_provenance", W + "SELECT session_key, CASE WHEN model LIKE 'claude%' THEN 'anthropic' WHEN model LIKE 'gpt%' THEN 'openai' END AS provider, CASE WHEN model LIKE 'gpt-4o%' THEN 'gpt-4o' WHEN model <> 'mystery-1' THEN model END AS matched_alias, true AS includes_cache_tokens FROM s",
