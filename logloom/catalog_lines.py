@@ -238,6 +238,17 @@ query(
         F.when(F.col("user_id") % 3 == 0, "codex"), F.when(F.col("user_id") % 5 == 0, "/r/.gemini/p/chats/session-1.jsonl").otherwise("/r/x.jsonl"), F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("event_id") % 4 + 1).cast("int"))
     ), ("tool", "mismatch")))))(b.read(s, d, "events"))
 )
+query(
+    "s18_status",
+    """WITH p AS (SELECT (['claude-code', 'codex'])[doc_id % 2 + 1] AS tool FROM documents WHERE doc_id % 2 = 0)
+ SELECT t.tool, CAST(CASE WHEN t.tool <> 'gemini' THEN least(coalesce(n, 0), 1000) ELSE 0 END AS BIGINT) AS candidates, t.tool = 'claude-code' AS detected, CASE t.tool WHEN 'claude-code' THEN 'ok' WHEN 'codex' THEN 'no files' ELSE 'not detected' END AS status
+ FROM (VALUES ('claude-code'), ('codex'), ('gemini')) t(tool) LEFT JOIN (SELECT tool, count(*) AS n FROM p GROUP BY 1) USING (tool)""",
+)(
+    lambda s, d: logs.inventory(
+        b.read(s, d, "documents").where("doc_id % 2 = 0").select(F.lit("claude-code").alias("tool"), F.concat(F.lit("/r/"), F.col("doc_id").cast("string")).alias("source_path")).unionByName(b.read(s, d, "documents").where("doc_id % 2 = 1").select(F.lit("gemini").alias("tool"), F.concat(F.lit("/g/"), F.col("doc_id").cast("string")).alias("source_path"))),
+        s.createDataFrame([("claude-code", True), ("codex", True), ("gemini", False)], "tool string, accessible boolean"),
+    ).drop("adapter_version")
+)
 query("s4_exact_bounds", "SELECT event_id FROM events WHERE user_id % 28 + 1 IN (6, 7) OR user_id % 2 = 0")(
     lambda s, d: logs.within_path_dates(
         b.read(s, d, "events").select("event_id", F.when(F.col("user_id") % 2 == 0, "/r/x.jsonl").otherwise(F.format_string("/r/sessions/2024/01/%02d/x.jsonl", F.col("user_id") % 28 + 1)).alias("source_path")),

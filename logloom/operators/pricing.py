@@ -67,12 +67,53 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(price_rows(), SCHEMA)
 
 
+#: A price file: one JSON document with these fields.
+_RATES = "input DOUBLE, output DOUBLE, cacheRead DOUBLE, cacheWrite DOUBLE"
+FILE_SCHEMA = f"""version STRING, asOf STRING, sourceUrl STRING, sources ARRAY<STRUCT<provider STRING, url STRING, asOf STRING>>, `default` STRUCT<{_RATES}>,
+ models ARRAY<STRUCT<provider STRING, model STRING, aliases ARRAY<STRING>, {_RATES}, status STRING, availability STRING, sourceUrl STRING, verifiedAt STRING, effectiveFrom STRING, note STRING>>"""
+
+
+_FILE_NAMES = {
+    "provider": "provider", "model": "model", "aliases": "aliases", "input": "input", "output": "output", "cacheRead": "cache_read", "cacheWrite": "cache_write", "status": "status", "availability": "availability",
+    "sourceUrl": "source_url", "verifiedAt": "verified_at", "effectiveFrom": "effective_from", "note": "note",
+}
+
+
+def load_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The price table of a JSON file, in its order. Raises ValueError if the document or any row breaks a rule, naming rows and rules (a table of prices is a few rows)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        document = spark.read.schema(FILE_SCHEMA + ", _broken STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    except AnalysisException as error:
+        raise ValueError(f"no price file at {path}") from error
+    fine = lambda *c: [F.coalesce(F.length(F.trim(x)) > 0, F.lit(False)) for x in c]
+    heads = {"unreadable": F.col("_broken").isNull(), "version": fine("version")[0], "as_of": fine("asOf")[0], "source_url": _is_url(F.col("sourceUrl")), "default": F.col("default.input").isNotNull() & F.col("default.output").isNotNull(), "models": F.coalesce(F.size("models"), F.lit(0)) > 0}
+    broken = [r.rule for r in document.select(F.explode(F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), n) for n, ok in heads.items())))).alias("rule")).collect()]
+    if broken or not document.take(1):
+        raise ValueError(f"price file breaks: {', '.join(broken) or 'empty'}")
+    m = F.col("m")
+    rows = document.select(F.posexplode("models").alias("row_ord", "m")).select(
+        "row_ord", *(m[f].alias(n) for f, n in _FILE_NAMES.items())
+    )
+    wrong = sorted((r.row_ord, r.rule) for r in invalid_prices(rows).collect())
+    if wrong:
+        raise ValueError("price rows break: " + ", ".join(f"{k}: {rule}" for k, rule in wrong))
+    return rows
+
+
+def _is_url(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/]+"), F.lit(False))
+
+
 def invalid_prices(table: DataFrame) -> DataFrame:
     """Rows that break a rule of the price table, with the rule's name."""
     rules = {
         "negative_rate": F.least("input", "output", F.coalesce("cache_read", F.lit(0)), F.coalesce("cache_write", F.lit(0))) < 0,
         "missing_rate": F.col("input").isNull() | F.col("output").isNull(),
         "no_alias": F.coalesce(F.size("aliases"), F.lit(0)) < 1,
+        "empty_alias": F.coalesce(F.exists("aliases", lambda a: a.isNull() | (a == "")), F.lit(False)),
+        **{c: F.coalesce(F.col(c), F.lit("")) == "" for c in ("provider", "model", "verified_at", "effective_from")}, "note": F.col("note") == "", "source_url": ~_is_url(F.col("source_url")),
         "status": ~F.coalesce(F.col("status").isin("current", "historical", "retired"), F.lit(False)),
         "availability": ~F.coalesce(F.col("availability").isin("available", "restricted", "retired"), F.lit(False)),
     }

@@ -191,13 +191,21 @@ def resolve_tool(explicit: Column, path: Column, line: Column) -> tuple[Column,
     return F.coalesce(explicit, guessed, F.lit(DEFAULT_TOOL)), F.coalesce(explicit != guessed, F.lit(False))
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """files(tool, source_path) -> a row a tool: candidate files (capped count), detected, status, adapter version."""
+def inventory(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """files(tool, source_path) -> a row a tool: candidate files (capped count), detected, status, adapter version.
+
+    roots: `reachable`'s rows. A tool whose root can't be reached, or that has neither a root nor files, is not detected; one whose root holds no log has no files.
+    """
     every = files.sparkSession.createDataFrame(list(ADAPTER_VERSIONS.items()), "tool STRING, adapter_version STRING")
-    n = files.select("tool", "source_path").distinct().groupBy("tool").agg(F.count("*").alias("n"))
+    n = files.where(F.col("source_path").isNotNull()).select("tool", "source_path").distinct().groupBy("tool").agg(F.count("*").alias("n"))
+    every = every.join(n, "tool", "left")
+    if roots is not None:
+        every = every.join(roots.select("tool", "accessible"), "tool", "left")
     found = F.coalesce("n", F.lit(0))
-    status = F.when(F.col("n").isNull(), "not detected").when(found == 0, "no files").otherwise("ok")
-    return every.join(n, "tool", "left").select("tool", "adapter_version", F.least(found, F.lit(INVENTORY_LIMIT)).alias("candidates"), (found > 0).alias("detected"), status.alias("status"))
+    open_ = found > 0 if roots is None else F.coalesce("accessible", F.lit(False))
+    status = F.when(~open_, "not detected").when(found == 0, "no files").otherwise("ok")
+    count = F.when(open_, F.least(found, F.lit(INVENTORY_LIMIT))).otherwise(F.lit(0)).cast("bigint")
+    return every.select("tool", "adapter_version", count.alias("candidates"), (open_ & (found > 0)).alias("detected"), status.alias("status"))
 
 
 def project_from_slug(slug: Column) -> Column:
