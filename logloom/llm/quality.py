@@ -5,7 +5,7 @@ tokens for shouted words and for a token that repeats one of the two before it;
 2**18 slots. A row is the vector of counts, damped by log(1 + tf) and scaled to length 1.
 
 Defined results: null and empty texts have no features and get the bias alone as score; rows with
-equal texts get equal scores; without labelled rows all scores are 0.5; extra columns are ignored.
+equal texts get equal scores; a row without an id has no label and is not held out; without labelled rows all scores are 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,4 +76,4 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = lambda c: F.crc32(c.cast("string")) % 3 == 1
     weights = fit(docs, labels, fold)
-    return score(docs, weights).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return score(docs, weights).select("doc_id", F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -137,7 +137,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = lambda c: F.crc32(c.cast("string")) % 5 == 0
     weights = fit(docs, labels, fold)
-    return score(docs, weights).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return score(docs, weights).select("doc_id", F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def reject(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
