@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .operators import normalize, pricing, quality, stats
 from .plans import bindings as b
 from .plans import log_lines as g
 from .plans.registry import query
-from .sources import logs, sinks
+from .sources import logs, sinks, trigrams
+from .sources.scratch import shared_folder
 from .streaming import growing, ingest
 
 TEXT, OUTPUT = 200, 150  # bounds that real texts exceed
@@ -256,6 +259,22 @@ query("s4_exact_bounds", "SELECT event_id FROM events WHERE user_id % 28 + 1 IN
     ).select("event_id")
 )
 
+# --- indexed search -------------------------------------------------------------------------------
+
+
+def _indexed(s: SparkSession, d: str) -> str:
+    folder = f"{(shared_folder(s) or '').rstrip('/')}/logloom-index-{uuid.uuid4().hex}"
+    trigrams.build(b.blocks_from_conversations(s, d), folder, 16)
+    return folder
+
+
+query("q2_indexed_hits", "SELECT conv_id AS session_key, turn AS turn_index FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'on the') AND contains(lower(text), 'there')")(
+    lambda s, d: trigrams.indexed_hits(s, _indexed(s, d), '"on the" AND there').select("session_key", "turn_index")
+)
+query(
+    "f8_indexed_sessions", "SELECT conv_id AS session_key FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING bool_or(contains(lower(text), 'der')) AND bool_or(contains(lower(text), 'schein'))",
+)(lambda s, d: trigrams.indexed_sessions(s, _indexed(s, d), b.sessions_from_conversations(s, d), "der AND schein").select("session_key"))
+
 # --- display and validation -----------------------------------------------------------------------
 query("x2_numbers", "SELECT event_id, '$' || CAST(CAST(user_id AS DECIMAL(18, 2)) AS VARCHAR) AS money, (user_id % 1000 // 10) || '.' || (user_id % 10) || '%' AS percent, lpad(event_type, 12, ' ') AS padded FROM events")(
     lambda s, d: b.read(s, d, "events").select("event_id", display.money(F.col("user_id")).alias("money"), display.percent((F.col("user_id") % 1000) / 10).alias("percent"), display.pad(F.col("event_type"), 12).alias("padded"))
