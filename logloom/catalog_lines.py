@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import display, privacy
-from .operators import normalize, pricing, quality, stats
+from .operators import normalize, pricing, quality, schemas, stats
 from .plans import bindings as b
 from .plans import log_lines as g
 from .plans.registry import query
@@ -300,3 +300,31 @@ query(
 )(
     lambda s, d: quality.usage_violations(b.sessions_from_events(s, d).withColumn("usage", F.when(F.col("usage").isNotNull(), F.col("usage").withField("total_tokens", F.lit(5).cast("bigint")).withField("input_tokens", F.when(F.col("user_id") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("usage.input_tokens"))))))
 )
+
+
+def _flawed(s: SparkSession, d: str) -> DataFrame:
+    """Nested sessions of one turn and two blocks, each with the flaw that its event's id picks."""
+    k = F.col("event_id") % len(_FLAWS)
+    at = lambda rule, bad, good: F.when(k == _FLAWS.index(rule), bad).otherwise(good)
+    none, text = F.lit(None).cast("string"), F.lit
+    block = lambda kind, body, call, name, status: F.struct(kind.alias("kind"), body.alias("text"), F.lit(3).alias("bytes"), call.alias("tool_use_id"), name.alias("name"), status.alias("status"))
+    first = block(at("turns[].content[].kind_unknown", text("chart"), text("text")), at("turns[].content[].text_missing", none, text("x")), none, none, none)
+    second = block(text("tool_use"), none, at("turns[].content[].tool_use_id_missing", none, text("k")), at("turns[].content[].name_missing", none, text("n")), at("turns[].content[].status_unknown", text("odd"), text("error")))
+    turn = F.struct(
+        at("turns[].turn_id_missing", none, text("t")).alias("turn_id"), at("turns[].turn_index_too_small", F.lit(-1), F.lit(0)).alias("turn_index"), at("turns[].role_unknown", text("robot"), text("user")).alias("role"), F.array(first, second).alias("content")
+    )
+    use = F.struct(at("usage.input_tokens_too_small", F.lit(-1), F.lit(1)).cast("bigint").alias("input_tokens"))
+    return b.read(s, d, "events").select(
+        "event_id", at("id_missing", none, at("id_empty", text(""), text("s"))).alias("id"), at("tool_unknown", text("other"), text("codex")).alias("tool"), at("adapter_version_missing", none, text("1")).alias("adapter_version"), at("source_path_missing", none, text("/x")).alias("source_path"),
+        at("turn_count_too_small", F.lit(-1), F.lit(1)).alias("turn_count"), at("cost_usd_too_small", F.lit(-0.5), F.lit(0.5)).alias("cost_usd"), at("started_at_form", text("soon"), text("2024-01-01T00:00:00Z")).alias("started_at"), use.alias("usage"), F.array(turn).alias("turns"),
+    )
+
+
+_FLAWS = [
+    "none", "id_missing", "id_empty", "tool_unknown", "adapter_version_missing", "source_path_missing", "turn_count_too_small", "cost_usd_too_small", "started_at_form", "usage.input_tokens_too_small", "turns[].turn_id_missing", "turns[].turn_index_too_small",
+    "turns[].role_unknown", "turns[].content[].kind_unknown", "turns[].content[].text_missing", "turns[].content[].tool_use_id_missing", "turns[].content[].name_missing", "turns[].content[].status_unknown",
+]
+query("v1_session_schema", f"SELECT event_id, ({_FLAWS})[event_id % {len(_FLAWS)} + 1] AS rule FROM events WHERE event_id % {len(_FLAWS)} <> 0")(lambda s, d: schemas.broken_rules(_flawed(s, d), "session", "event_id"))
+query(
+    "v1_public_schema", f"SELECT event_id, 'source_path_present' AS rule FROM events WHERE event_id % {len(_FLAWS)} <> 5 UNION ALL SELECT event_id, ({_FLAWS})[event_id % {len(_FLAWS)} + 1] FROM events WHERE event_id % {len(_FLAWS)} NOT IN (0, 5)",
+)(lambda s, d: schemas.broken_rules(_flawed(s, d), "public_session", "event_id"))
