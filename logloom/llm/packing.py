@@ -5,7 +5,8 @@ are counted (at most `capacity` rows), and the plan is made on those counts alon
 follow the corpus: large lengths are sorted, cut into groups of equal cardinality and rounded up to
 the largest of their group; a linear programme over configurations of these few sizes is solved by
 column generation; its whole part is filled with actual pieces again, what is left and the small
-pieces go where they fit best. Pieces find their place from their rank among equal lengths.
+pieces go where they fit best. Configurations whose actual pieces leave much room are taken apart
+and filled with the rest where that saves bins. Pieces find their place from their rank among equal lengths.
 
 Defined results: null and empty texts are one piece of the end id alone; repeated rows are packed each;
 an empty table gives no rows; extra columns are ignored.
@@ -61,20 +62,26 @@ class WordIds:
     def reset(self) -> None:
         self.known, self.first, self.count, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, c: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-        """Adds words of c (hashes ascending): one call of the tokenizer, which splits at the spaces between them."""
+    def learn(self, hashes: np.ndarray, c: np.ndarray, start: np.ndarray, length: np.ndarray) -> bool:
+        """Adds words of c (hashes ascending): one call of the tokenizer, which splits at the spaces between them.
+
+        False, and nothing added, where the tokenizer finds other words."""
         base = np.cumsum(length + 1) - length - 1
         spelt = np.full(int((length + 1).sum()), ord(" "), "<u4")
         place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         spelt[place + np.repeat(base, length)] = c[place + np.repeat(start, length)]
         found = self.whole.encode(spelt.tobytes().decode("utf-32-le"), add_special_tokens=False)
         count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(start))
-        if len(count) != len(start):
-            raise ValueError("the tokenizer splits words in another way")
+        if len(count) != len(start) or not count.all():
+            return False
         first = len(self.pool) + np.cumsum(count) - count
         at = np.searchsorted(self.known, hashes)
         self.known, self.first, self.count = np.insert(self.known, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
         self.pool = np.append(self.pool, np.array(found.ids, np.uint32))
+        return True
+
+    def one(self, text: str) -> np.ndarray:
+        return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END], "<u4")
 
     def new(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, hashes)
@@ -119,8 +126,8 @@ class WordIds:
             if len(self.known) + int(new.sum()) > CACHED_WORDS:
                 self.reset()
                 new[:] = True
-            if new.any():
-                self.learn(distinct[new], c, start[one[new]], length[one[new]])
+            if new.any() and not self.learn(distinct[new], c, start[one[new]], length[one[new]]):
+                return [self.one(s) for s in texts]
             word = np.searchsorted(self.known, distinct)[word]
         n, first = self.count[word], self.first[word]
         per_doc = np.bincount(doc, n, minlength=len(texts)).astype(np.int64)
@@ -129,7 +136,7 @@ class WordIds:
         place = np.arange(len(of))
         ids[place + np.repeat(doc, n)] = self.pool[place - of + np.repeat(first, n)]
         end = np.cumsum(per_doc + 1)
-        return [np.array([*self.whole.encode(s, add_special_tokens=False).ids, END], "<u4") if slow[k] else ids[end[k] - per_doc[k] - 1 : end[k]] for k, s in enumerate(texts)]
+        return [self.one(s) if slow[k] else ids[end[k] - per_doc[k] - 1 : end[k]] for k, s in enumerate(texts)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -188,6 +195,58 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
+def room_of(made: list[tuple[int, int]], capacity: int) -> int:
+    return capacity - sum(n * m for n, m in made)
+
+
+def refill(bins: list[tuple[list[tuple[int, int]], int]], rest: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """bins with the pieces of rest (length: how many) added, longest first, each where least room is left; works on counts of bins alike."""
+    bins, by_room = list(bins), {}
+    for k, (made, _) in enumerate(bins):
+        by_room.setdefault(room_of(made, capacity), []).append(k)
+    for n in sorted(rest, reverse=True):
+        c = rest[n]
+        while c:
+            room = min((r for r, ks in by_room.items() if r >= n and ks), default=None)
+            if room is None:
+                fit = capacity // n
+                full, part = divmod(c, fit)
+                for times, m in ((full, fit), (1, part)):
+                    if times and m:
+                        bins.append(([(n, m)], times))
+                        by_room.setdefault(capacity - n * m, []).append(len(bins) - 1)
+                break
+            k = by_room[room].pop()
+            made, alike = bins[k]
+            fit = min(room // n, c)
+            times = min(alike, c // fit)
+            if times < alike:
+                bins.append((made, alike - times))
+                by_room[room].append(len(bins) - 1)
+            bins[k] = ([*made, (n, fit)], times)
+            by_room.setdefault(room - n * fit, []).append(k)
+            c -= fit * times
+    return bins
+
+
+def filled(bins: list[tuple[list[tuple[int, int]], int]], rest: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The fewest bins found: those of the configurations that substitution left with too much room are taken apart, and
+    their pieces go in with the rest; "too much" is halved from the capacity on until the bound is met or it is nothing."""
+    volume = sum(n * m * alike for made, alike in bins for n, m in made) + sum(n * c for n, c in rest.items())
+    best, most = None, capacity
+    while most and (best is None or sum(alike for _, alike in best) > -(-volume // capacity)):
+        loose = dict(rest)
+        for made, alike in bins:
+            if room_of(made, capacity) >= most:
+                for n, m in made:
+                    loose[n] = loose.get(n, 0) + m * alike
+        tried = refill([b for b in bins if room_of(b[0], capacity) < most], loose, capacity)
+        if best is None or sum(alike for _, alike in tried) < sum(alike for _, alike in best):
+            best = tried
+        most //= 2
+    return best or []
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first rank, pieces, first bin, pieces a bin, first offset) that place every piece."""
     bins: list[tuple[list[tuple[int, int]], int]] = []  # ([(length, how often)], bins alike)
@@ -240,31 +299,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
             for n, c in q:
                 if c:
                     rest[n] = rest.get(n, 0) + c
-    by_room: dict[int, list[int]] = {}
-    for k, (made, _) in enumerate(bins):
-        by_room.setdefault(capacity - sum(n * m for n, m in made), []).append(k)
-    for n in sorted(rest, reverse=True):
-        c = rest[n]
-        while c:
-            room = min((r for r, ks in by_room.items() if r >= n and ks), default=None)
-            if room is None:
-                fit = capacity // n
-                full, part = divmod(c, fit)
-                for times, m in ((full, fit), (1, part)):
-                    if times and m:
-                        bins.append(([(n, m)], times))
-                        by_room.setdefault(capacity - n * m, []).append(len(bins) - 1)
-                break
-            k = by_room[room].pop()
-            made, alike = bins[k]
-            fit = min(room // n, c)
-            times = min(alike, c // fit)
-            if times < alike:
-                bins.append((made, alike - times))
-                by_room[room].append(len(bins) - 1)
-            bins[k] = ([*made, (n, fit)], times)
-            by_room.setdefault(room - n * fit, []).append(k)
-            c -= fit * times
+    bins = filled(bins, rest, capacity)
     out, rank, first = [], dict.fromkeys(counts, 0), 0
     for made, alike in bins:
         at = 0

@@ -354,6 +354,36 @@ def test_plan_is_near_the_bound():
     assert bins <= 1.01 * -(-int((n * c).sum()) // 2048) + 1
 
 
+def test_plan_is_no_worse_than_best_fit_on_real_lengths(sf_dir):
+    import bisect
+
+    import pyarrow.parquet as pq
+
+    ids, counts = packing.WordIds(packing.tokenizer_path()), {}
+    for batch in pq.ParquetFile(f"{sf_dir}/documents.parquet").iter_batches(256, columns=["text"]):
+        for a in ids.texts([s or "" for s in batch.column(0).to_pylist()]):
+            for at in range(0, len(a), 2048):
+                n = min(2048, len(a) - at)
+                counts[n] = counts.get(n, 0) + 1
+    for times in (1, 7):
+        rooms, bins = [], 0  # plain best-fit decreasing, a piece at a time
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n] * times):
+                k = bisect.bisect_left(rooms, n)
+                room = rooms.pop(k) if k < len(rooms) else 2048
+                bins += room == 2048
+                bisect.insort(rooms, room - n)
+        plan = packing.plan({n: c * times for n, c in counts.items()})
+        assert max(first + pieces // each for _, _, pieces, first, each, _ in plan) <= bins
+
+
+def test_words_that_the_tokenizer_splits_in_another_way(monkeypatch):
+    ids = packing.WordIds(packing.tokenizer_path())
+    monkeypatch.setattr(ids, "learn", lambda *_: False)
+    texts = ["a plain text", "", "it's another"]
+    assert [a.tolist() for a in ids.texts(texts)] == [[*ids.whole.encode(s, add_special_tokens=False).ids, 0] for s in texts]
+
+
 def test_plan_rows_do_not_follow_the_corpus():
     rng = np.random.Generator(np.random.PCG64(8))
     n, c = np.unique(np.minimum(2048, rng.lognormal(6, 1, 50_000).astype(int) + 1), return_counts=True)
