@@ -52,24 +52,30 @@ def most_active_days(f: DataFrame, n: int = MOST_ACTIVE_DAYS) -> DataFrame:
     return by(f, "day").drop("tokens").orderBy(F.desc("sessions"), F.desc("turns"), "day").limit(n)
 
 
-def token_breakdown(sessions: DataFrame) -> DataFrame:
-    """Sums, observed flags and the count of sessions that report any category; observed means the key is present."""
+def _breakdown() -> list[Column]:
     seen = [F.coalesce(F.col("observed")[c], F.lit(False)) for c in CATEGORIES]
     sums = [F.coalesce(F.sum(F.when(s, F.coalesce(F.col("usage")[f"{c}_tokens"], F.lit(0)))), F.lit(0)).cast("long").alias(c) for c, s in zip(CATEGORIES, seen)]
     flags = [F.coalesce(F.bool_or(s), F.lit(False)).alias(f"observed_{c}") for c, s in zip(CATEGORIES, seen)]
-    return sessions.agg(*sums, *flags, F.count_if(seen[0] | seen[1] | seen[2] | seen[3] | seen[4]).alias("observed_sessions"))
+    return [*sums, *flags, F.count_if(seen[0] | seen[1] | seen[2] | seen[3] | seen[4]).alias("observed_sessions")]
 
 
-def cost_partition(sessions: DataFrame, use_estimates: bool) -> DataFrame:
+def token_breakdown(sessions: DataFrame) -> DataFrame:
+    """Sums, observed flags and the count of sessions that report any category; observed means the key is present."""
+    return sessions.agg(*_breakdown())
+
+
+def _costs(use_estimates: bool) -> list[Column]:
     logged, est = F.col("cost_usd"), F.col("estimate.cost_usd") if use_estimates else F.lit(None).cast("double")
     kind = F.when(logged.isNotNull(), "logged").when(est.isNotNull(), "estimated").otherwise("unpriced")
-    s = sessions.select(kind.alias("kind"), logged.alias("logged"), est.alias("est"), stats_tokens(F.col("usage")).alias("tokens"))
-    is_ = lambda k: F.col("kind") == k
-    return s.agg(
-        F.sum(F.when(is_("logged"), F.col("logged"))).alias("logged_cost"), F.count_if(is_("logged")).alias("logged_sessions"),
-        F.sum(F.when(is_("estimated"), F.col("est"))).alias("estimated_cost"), F.count_if(is_("estimated")).alias("estimated_sessions"),
-        F.count_if(is_("unpriced")).alias("unpriced_sessions"), F.coalesce(F.sum(F.when(is_("unpriced"), F.col("tokens"))), F.lit(0)).alias("unpriced_tokens"),
-    )
+    return [
+        F.sum(logged).alias("logged_cost"), F.count_if(kind == "logged").alias("logged_sessions"),
+        F.sum(F.when(kind == "estimated", est)).alias("estimated_cost"), F.count_if(kind == "estimated").alias("estimated_sessions"),
+        F.count_if(kind == "unpriced").alias("unpriced_sessions"), F.coalesce(F.sum(F.when(kind == "unpriced", stats_tokens(F.col("usage")))), F.lit(0)).alias("unpriced_tokens"),
+    ]
+
+
+def cost_partition(sessions: DataFrame, use_estimates: bool) -> DataFrame:
+    return sessions.agg(*_costs(use_estimates))
 
 
 def report(f: DataFrame) -> DataFrame:
@@ -131,13 +137,27 @@ def stacked_widths(segments: DataFrame, ord_: str, value: str, width: int) -> Da
 def full_report(sessions: DataFrame, use_estimates: bool = False, home: str = "") -> DataFrame:
     """One row with totals, costs and breakdown, and maps by tool, project and day.
 
-    The maps hold a row a group (tools, projects, days), never a row a session; most active days are the first ten of their order.
+    Sessions are read once and combined by tool, project and day; grouping sets over those rows give all parts. The maps hold
+    a row a group, never a row a session; most active days are the first ten of their order. No sessions give zeros and empty maps.
     """
-    f = facts(sessions, home)
-    row = F.struct("sessions", "turns", "tokens")
-    as_map = lambda key: by(f, key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), row.alias("value"))))).alias(f"by_{key}"))
-    days = most_active_days(f).select(F.struct((-F.col("sessions")).alias("s"), (-F.col("turns")).alias("t"), "day", "sessions", "turns").alias("d")).agg(F.sort_array(F.collect_list("d")).alias("d"))
-    out = totals(f)
-    for part in (cost_partition(sessions, use_estimates), token_breakdown(sessions).select(F.struct("*").alias("token_breakdown")), as_map("tool"), as_map("project"), as_map("day"), days.select(F.transform("d", lambda d: F.struct(d["day"].alias("day"), d["sessions"].alias("sessions"), d["turns"].alias("turns"))).alias("most_active_days"))):
-        out = out.join(F.broadcast(part))  # one row each
-    return out
+    more = ["usage", "observed", "cost_usd", *(["estimate"] if use_estimates else [])]
+    cells = facts(sessions, home, *more).groupBy("tool", "project", "day").agg(*_SUMS(), *_costs(use_estimates), *_breakdown())
+    parts, flags = cells.columns[3:], {f"observed_{c}" for c in CATEGORIES}
+
+    def filled(x: Column, c: str) -> Column:
+        """Costs that no session has stay null; counts are 0 and flags false."""
+        return (x if c in ("logged_cost", "estimated_cost") else F.coalesce(x, F.lit(False if c in flags else 0))).alias(c)
+
+    cube = cells.groupingSets([[], ["tool"], ["project"], ["day"]], "tool", "project", "day").agg(F.grouping_id().alias("g"), *(filled((F.bool_or if c in flags else F.sum)(c), c) for c in parts))
+    total = lambda c: filled(F.max(F.when(F.col("g") == 7, F.col(c))), c)
+
+    def groups(g: int, key: str, *row: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when((F.col("g") == g) & F.col(key).isNotNull(), F.struct(*row))))
+
+    as_map = lambda g, key: F.map_from_entries(groups(g, key, F.col(key).alias("key"), F.struct("sessions", "turns", "tokens").alias("value"))).alias(f"by_{key}")
+    days = F.slice(groups(6, "day", (-F.col("sessions")).alias("s"), (-F.col("turns")).alias("t"), F.col("day"), F.col("sessions"), F.col("turns")), 1, MOST_ACTIVE_DAYS)
+    seen = parts[parts.index(CATEGORIES[0]) :]
+    return cube.agg(
+        *(total(c) for c in parts[: -len(seen)]), F.struct(*(total(c) for c in seen)).alias("token_breakdown"), as_map(3, "tool"), as_map(5, "project"), as_map(6, "day"),
+        F.transform(days, lambda d: F.struct(d["day"].alias("day"), d["sessions"].alias("sessions"), d["turns"].alias("turns"))).alias("most_active_days"),
+    )
