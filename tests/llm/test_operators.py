@@ -2,10 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,66 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
     assert toxicity.reject(odd, np.full(toxicity.SIZE, -1.0)).columns == odd.columns
 
 
+def test_classifiers_of_one_label(spark, odd):
+    never = lambda c: F.lit(False)
+    for op, label in ((quality, "quality"), (toxicity, "toxic")):
+        for value in (0, 1):
+            labels = spark.createDataFrame([(k, value) for k in range(13)] + [(None, 1 - value), (5, None)], f"doc_id long, {label} int")
+            scores = [r.score for r in op.score(odd, op.fit(odd, labels, never, label)).collect()]
+            assert len(scores) == 14 and all(0 <= x <= 1 for x in scores)
+            assert all(x >= 0.5 if value else x <= 0.5 for x in scores)
+
+
+def plain_ftrl(rows_, epochs, alpha, beta, l1, l2, balance, seed, bias):
+    """One row and one feature at a time, in dicts."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    ones = sum(y for _, y in rows_) / len(rows_)
+    importance = {1: (0.5 / ones) ** balance, 0: (0.5 / (1 - ones)) ** balance}
+    order = np.random.Generator(np.random.PCG64(seed))
+    for _ in range(epochs):
+        for k in order.permutation(len(rows_)):
+            x, y = {**rows_[k][0], bias: 1.0}, rows_[k][1]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = importance[y] * (p - y) * v
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+    return {i: weight(i) for i in z}
+
+
+def test_quality_weights_equal_plain_ftrl(spark, sf_dir):
+    common.tune(spark)
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    fold = lambda c: F.crc32(c.cast("string")) % 3 == 1
+    known = docs.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(~fold(F.col("doc_id")))
+    known = known.select("doc_id", "text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS)).alias("shard")).toPandas().sort_values("doc_id")
+    total = {}
+    for shard, part in known.groupby("shard"):
+        batch = pa.RecordBatch.from_pydict({"doc_id": part.doc_id.tolist(), "text": part.text.tolist()})
+        rows_ = [(dict(zip(i.tolist(), x.astype(np.float32).tolist())), y) for (_, i, x), y in zip(quality.features(batch), part.quality.tolist())]
+        for i, w in plain_ftrl(rows_, 4, 0.5, 1.0, 0.02, 0.01, 0.5, int(shard), quality.SIZE - 1).items():
+            total[i] = total.get(i, 0.0) + w / known["shard"].nunique()
+    got = quality.fit(docs, labels, fold)
+    expected = np.zeros(quality.SIZE)
+    expected[list(total)] = list(total.values())
+    assert len(known) > 50 and np.allclose(got, expected, atol=1e-6) and np.abs(got).max() > 0.1
+    text = "Some words, and SOME more words, words."
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    low = [t.lower() for t in tokens]
+    counts = Counter(low) + Counter(zip(low, low[1:])) + Counter({"shout": 1, "again": sum(t in low[max(k - 2, 0) : k] for k, t in enumerate(low))})
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+    assert np.allclose(sorted(quality.flat(batch)[2]), sorted(math.log1p(c) / norm for c in counts.values()))
+
+
 def brute_repeats(texts):
     seen = {}
     for b in texts:
@@ -472,6 +535,30 @@ def test_stages_keep_columns_of_any_name(spark):
     assert {(r.doc_id, r.text is None, r.hits) for r in docs.collect()} == {(1, False, 7), (3, True, 1)}
 
 
+def test_every_stage_on_empty_and_odd_tables(spark, sf_dir):
+    import corpus_pipeline as c
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "label", "score", "toxic", "piece", "length", "rank", "sequence_id", "document"]
+    odd_docs = spark.createDataFrame([(*r[:4], None, *range(8)) for r in odd_rows()] + [(None, None, None, None, None, *range(8))] * 2, ", ".join(f"{n} {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names))
+    for name, stage in c.STAGES:
+        none = stage(spark, odd_docs.limit(0), sf_dir)
+        some = stage(spark, odd_docs, sf_dir)
+        assert none.columns == some.columns and none.count() == 0
+        if name != "packing":
+            assert some.columns == names
+        kept = [(r.doc_id, r.text) for r in some.collect()] if name != "packing" else [r.doc_id for r in some.collect()]
+        if name == "toxicity":
+            assert len(kept) == 16
+        elif name == "near_duplicates":  # null and empty texts are alike, so are the texts of BASE
+            assert sorted(d for d, _ in kept) == [0, 2, 3, 4, 5, 8, 9, 10, 12]
+        elif name == "repeated_passages":
+            assert sorted(d for d, _ in kept if d is not None) == sorted(d for d, *_ in odd_rows()) and not any(t for d, t in kept if d in (6, 11))
+        elif name == "mixing":
+            assert all(kept.count(k) <= 2 * [(d, t) for d, t, *_ in odd_rows()].count(k) for k in kept if k[1] and k[1].strip())
+        else:
+            assert set(kept) == {None, *range(13)}
+
+
 def test_pipeline_equals_its_stages(spark, sf_dir):
     import corpus_pipeline
 
