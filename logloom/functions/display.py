@@ -16,7 +16,8 @@ def humanize_tokens(n: Column) -> Column:
 
 
 def money(amount: Column, estimated: bool = False) -> Column:
-    return F.concat(F.lit("~$" if estimated else "$"), F.format_string("%.2f", amount.cast("double")))
+    """Whole cents of amount * 100 in doubles, halves away from zero, as a cast to DECIMAL(18, 2) rounds in the queries' SQL."""
+    return F.concat(F.lit("~$" if estimated else "$"), F.format_string("%.2f", F.round(amount.cast("double") * 100) / 100))
 
 
 def percent(value: Column, digits: int = 1) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..constants import TOOLS
+from ..functions.display import money
 from ..functions.privacy import anonymize_path, anonymize_paths_in_text, csv_cell, neutral_markdown, redact, redact_json
 
 
@@ -86,7 +87,7 @@ def sessions_csv(s: DataFrame, keep: tuple[str, ...] = ("session_key",)) -> Data
 
 
 def summary_csv(s: DataFrame, keep: tuple[str, ...] = ("session_key",)) -> DataFrame:
-    est = F.concat(F.lit("~$"), F.format_string("%.2f", "estimated_cost"), F.lit(" est"))
+    est = F.concat(money(F.col("estimated_cost"), True), F.lit(" est"))
     cost = F.coalesce(F.when(F.col("estimated_cost").isNotNull(), est), F.col("cost_usd").cast("string"), F.lit("unknown"))
     return csv_rows(s, ["started_at", "tool", "project_path", "turn_count", "total_tokens", cost], keep)
 
