@@ -6,6 +6,9 @@ A search reads the index rows of its needles' trigrams alone (the index is sorte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +24,26 @@ def grams_of(needle: str) -> set[str]:
     return {low[k : k + SIZE] for k in range(len(low) - SIZE + 1)}
 
 
+def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, lower-cased text) -> each part's distinct grams of a batch. Every character is looked at once, so a long text costs no more than its length."""
+    for batch in batches:
+        seen: dict[int, set[str]] = {}
+        for part, low in zip(*(c.to_pylist() for c in batch.columns)):
+            seen.setdefault(part, set()).update([low[k : k + SIZE] for k in range(len(low) - SIZE + 1)])
+        for part, grams in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(grams), pa.int32()), pa.array(list(grams), pa.string())], ["part", "gram"])
+
+
 def build(turns: DataFrame, path: str, parts: int = PARTS, text: str = "text") -> None:
-    """turns(session_key, ..., text) -> path/turns (by part) and path/index (gram, parts). A row of the index holds no more than `parts` numbers."""
+    """turns(session_key, ..., text) -> path/turns (by part) and path/index (gram, parts). A row of the index holds no more than `parts` numbers.
+
+    A part that outgrows the advised partition size is written by several tasks; the index is made from the written turns, so the input is read once and by as many tasks as the turns fill.
+    """
     placed = turns.withColumn("part", F.pmod(F.xxhash64("session_key"), F.lit(parts)).cast("int"))
-    placed.repartition("part").write.partitionBy("part").parquet(f"{path}/turns")
+    placed.hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/turns")
+    stored = turns.sparkSession.read.schema(placed.schema).parquet(f"{path}/turns")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    grams = F.when(F.length(low) >= SIZE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - SIZE + 1), lambda k: F.substring(low, k, F.lit(SIZE)))))
-    pairs = placed.select("part", F.explode(grams).alias("gram")).distinct()
+    pairs = stored.select("part", low.alias("low")).where(F.length("low") >= SIZE).mapInArrow(distinct_grams, "part int, gram string").distinct()
     index = pairs.groupBy("gram").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     index.repartitionByRange("gram").sortWithinPartitions("gram").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/index")
 

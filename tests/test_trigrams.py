@@ -39,3 +39,19 @@ def test_files_are_skipped(spark, stored):
     read = plan.select(F.input_file_name().alias("f")).distinct().count()
     assert read == 1 < every
     assert "PartitionFilters: [isnotnull(part" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_of_long_texts_costs_their_length(spark, tmp_path):
+    """A text of 200,000 characters: cutting each trigram out of the whole text again would look at some 10^10 of them."""
+    import random
+    import time
+
+    r = random.Random(3)
+    long = "".join(r.choice("abcdeÀ日 ") for _ in range(200_000)) + "NEEDLE"
+    turns = spark.createDataFrame([("a", 0, 0, "user", "text", long), ("b", 0, 0, "user", "text", "ab")], "session_key string, turn_index int, block_pos int, role string, kind string, text string")
+    start = time.monotonic()
+    trigrams.build(turns, str(tmp_path / "i"), 4)
+    assert time.monotonic() - start < 60
+    got = spark.read.parquet(str(tmp_path / "i" / "index")).collect()
+    assert {g.gram for g in got} == trigrams.grams_of(long) and all(len(g.parts) == 1 for g in got)
+    assert [h.session_key for h in trigrams.indexed_hits(spark, str(tmp_path / "i"), "needle").collect()] == ["a"]
