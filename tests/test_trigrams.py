@@ -55,3 +55,19 @@ def test_index_of_long_texts_costs_their_length(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "i" / "index")).collect()
     assert {g.gram for g in got} == trigrams.grams_of(long) and all(len(g.parts) == 1 for g in got)
     assert [h.session_key for h in trigrams.indexed_hits(spark, str(tmp_path / "i"), "needle").collect()] == ["a"]
+
+
+def test_a_crowded_part_is_written_by_several_tasks(spark, tmp_path):
+    rows = [("one" if k % 4 else f"s{k}", k, 0, "user", "text", f"{WORDS[k % 9]} {WORDS[k % 7]} {k * 7919 % 104729}" * 40) for k in range(4000)]
+    turns = spark.createDataFrame(rows, "session_key string, turn_index int, block_pos int, role string, kind string, text string")
+    held = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        trigrams.build(turns, str(tmp_path / "i"), 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", held)
+    files = spark.read.parquet(str(tmp_path / "i" / "turns")).where("session_key = 'one'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+    sessions = turns.select("session_key").distinct()
+    got = {r[0] for r in trigrams.indexed_sessions(spark, str(tmp_path / "i"), sessions, "gamma AND omega").collect()}
+    assert got == {r[0] for r in sessions_with_text(sessions, turns, parse_query("gamma AND omega")).collect()}
