@@ -1,7 +1,8 @@
 """Sessions and their statistics over logs that grow (ST1, ST2).
 
 Lines are mapped to events without state. The keyed state of a session holds what its row is made of: counts, bounds, the last usage of each message group and the
-weight of each model, so that appended lines change the row without reading the old ones. Each change leaves as two rows, the old row with sign -1 and the new one
+weight of each model, so that appended lines change the row without reading the old ones. Each call on a state is a round trip to the store, so the last groups and the
+heaviest model lie in the row of the counts: a short session is read and written once a batch, however many lines came. Each change leaves as two rows, the old row with sign -1 and the new one
 with sign +1; sums over sign * value are therefore right after any number of corrections.
 """
 
@@ -18,8 +19,10 @@ from ..operators.adapters import USAGE
 from ..operators.normalize import FIELDS, events_of, session_rows
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+GROUPS = 10_000  # groups of a session's new lines that a task holds before it writes them to the state
+RECENT = 4  # groups that lie beside a session's counts; older ones have rows of their own
 _USAGE = [f"{f} bigint" for f in FIELDS]
-HEAD = ["turns bigint", "started string", "ended string", "cwd string", "cwd_line bigint", "meta string", "meta_line bigint", "model string", "model_line bigint", "groups bigint", "total_line bigint", "version bigint", *_USAGE]
+HEAD = ["turns bigint", "started string", "ended string", "cwd string", "cwd_line bigint", "meta string", "meta_line bigint", "model string", "model_line bigint", "groups bigint", "total_line bigint", "version bigint", *_USAGE, "model_weight bigint", "spilled boolean", f"recent array<struct<grp:string,line:bigint,used:int,{','.join(f'{f}:bigint' for f in FIELDS)}>>"]
 CHANGE = f"session_key string, sign int, version bigint, cwd string, meta_id string, model string, started_at string, ended_at string, turn_count bigint, groups bigint, usage {USAGE}"
 
 
@@ -48,10 +51,13 @@ class SessionState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [h.split()[0] for h in HEAD]
-        known = self.head.exists()
-        h = dict(zip(names, self.head.get())) if known else {n: None for n in names} | {"turns": 0, "groups": 0, "version": 0}
+        held = self.head.get()  # each call on a state is a round trip to the store
+        known = held is not None
+        h = dict(zip(names, held)) if known else {n: None for n in names} | {"turns": 0, "groups": 0, "version": 0, "spilled": False}
+        h["recent"] = {g[0]: tuple(g[1:]) for g in h["recent"] or ()}
         before = self._row(key, h, -1) if known else None
         weights: dict[str, list[int]] = {}
+        groups: dict[str, Row] = {}
         for r in rows:
             h["turns"] += r.own_turns
             if r.ts:
@@ -63,27 +69,42 @@ class SessionState(StatefulProcessor):
                 w = weights.setdefault(r.model, [0, r.line])
                 weights[r.model] = [w[0] + r.weight, min(w[1], r.line)]
             if r.grp is not None:
-                self._group(h, r)
+                last = groups.get(r.grp)
+                if last is None or (r.used == 1 and (last.used != 1 or r.line >= last.line)):
+                    groups[r.grp] = r
+                if len(groups) >= GROUPS:
+                    self._grouped(h, groups)
             if r.used == 2 and (h["total_line"] is None or r.line >= h["total_line"]):
                 h["total_line"], h["groups"] = r.line, 1
                 h.update({f: r[f] for f in FIELDS})
+        self._grouped(h, groups)
         if weights:
             self._weigh(h, weights)
         h["version"] += 1
         after = self._row(key, h, 1)
         if before is None or before[3:] != after[3:]:
-            self.head.update(tuple(h[n] for n in names))
+            self.head.update(self._kept(h, names))
             if before is not None:
                 yield before
             yield after
         else:
             h["version"] -= 1
-            self.head.update(tuple(h[n] for n in names))
+            self.head.update(self._kept(h, names))
+
+    def _kept(self, h: dict, names: list[str]) -> tuple:
+        return tuple([(g, *v) for g, v in h["recent"].items()] if n == "recent" else h[n] for n in names)
+
+    def _grouped(self, h: dict, groups: dict[str, Row]) -> None:
+        """Of each group the row that holds its last usage among those that came."""
+        for r in groups.values():
+            self._group(h, r)
+        groups.clear()
 
     def _group(self, h: dict, r: Row) -> None:
         """The group's own turn, once, and its last usage in place of the one before. Of a single group nulls are kept, of several they count as 0."""
-        at = (r.grp,)
-        old = self.groups.getValue(at) if self.groups.containsKey(at) else None
+        old = h["recent"].get(r.grp)
+        if old is None and h["spilled"]:
+            old = self.groups.getValue((r.grp,))
         if old is None:
             h["turns"] += 1
         old_line, old_used, *old_use = old if old is not None else (-1, 0, *(None,) * len(FIELDS))
@@ -94,17 +115,35 @@ class SessionState(StatefulProcessor):
             for f, was in zip(FIELDS, old_use):
                 single = h["groups"] == 1
                 h[f] = r[f] if single else (h[f] or 0) + (r[f] or 0) - (was or 0)
-            self.groups.updateValue(at, (r.line, 1, *(r[f] for f in FIELDS)))
+            self._put(h, r.grp, (r.line, 1, *(r[f] for f in FIELDS)))
         elif old is None:
-            self.groups.updateValue(at, (r.line, 0, *(None,) * len(FIELDS)))
+            self._put(h, r.grp, (r.line, 0, *(None,) * len(FIELDS)))
+
+    def _put(self, h: dict, grp: str, value: tuple) -> None:
+        """The group among the recent ones; the one that was put there first leaves for a row of its own."""
+        recent = h["recent"]
+        recent.pop(grp, None)
+        recent[grp] = value
+        if len(recent) > RECENT:
+            oldest = next(iter(recent))
+            self.groups.updateValue((oldest,), recent.pop(oldest))
+            h["spilled"] = True
 
     def _weigh(self, h: dict, weights: dict[str, list[int]]) -> None:
+        """Weights are positive, so a model only gains by lines that come: the heaviest is the one before or one that they name. It lies beside the counts, the others have rows."""
+        if h["model"] in weights:
+            w, line = weights.pop(h["model"])
+            h["model_weight"], h["model_line"] = h["model_weight"] + w, min(h["model_line"], line)
         for model, (w, line) in weights.items():
-            at = (model,)
-            old = self.models.getValue(at) if self.models.containsKey(at) else (0, line)
-            self.models.updateValue(at, (old[0] + w, min(old[1], line)))
-        best = max(((w, -line, model[0]) for model, (w, line) in self.models.iterator()), key=lambda x: x[:2])
-        h["model"], h["model_line"] = best[2], -best[1]
+            old = self.models.getValue((model,)) if h["model"] is not None else None
+            now = (old[0] + w, min(old[1], line)) if old is not None else (w, line)
+            best = (h["model_weight"], h["model_line"])
+            if h["model"] is None or (now[0], -now[1]) > (best[0], -best[1]):
+                if h["model"] is not None:
+                    self.models.updateValue((h["model"],), best)
+                h["model"], h["model_weight"], h["model_line"] = model, *now
+            else:
+                self.models.updateValue((model,), now)
 
     def _row(self, key, h: dict, sign: int) -> Row:
         use = {f: h[f] if h["groups"] == 1 else (h[f] or 0) for f in FIELDS} if h["groups"] else None
