@@ -365,6 +365,25 @@ def test_large_vectors_with_their_own_pivots(spark, kind):
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
 
 
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Many blocks of rows and several groups of queries: the queries' copies, 5 MB in all, are beyond what may be broadcast here; scores tie and repeat."""
+    for name, n in (("BLOCK", 32), ("QUERY_BLOCK", 8), ("QUERY_BYTES", 16 * 8 * (512 + 48))):
+        monkeypatch.setattr(pivots, name, n, raising=False)
+    x = np.random.Generator(np.random.PCG64(6)).integers(-3, 4, (600, 512))
+    x[300:400] = x[200:300]
+    x[500] = x[400]
+    frame = common.durable(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<long>"))
+    limit = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        got = pivots.top_k(frame, lambda c: F.pmod(c, F.lit(10)) == 0, 10).collect()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", limit)
+    s = x @ x.T
+    want = {(q, n + 1): (j, -t) for q in range(0, 600, 10) for n, (t, j) in enumerate(sorted((-int(s[q, j]), j) for j in range(600) if j != q)[:10])}
+    assert len(got) == 600 and {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+
+
 def test_how_many_embeddings_are_scored(spark):
     """Bounds never score more than all pairs, and first passes score FIRST a block; the count is the operator's own."""
     rows = common.durable(pivots.usable(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))).toPandas()
